@@ -21,13 +21,25 @@ def _labelled(module: str, function: str) -> Callable[[SparkSession, str], DataF
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_ledger": _over("secret_ledger", "secrets", "documents"),
+        "op2_bitsliced_topk": _over("bitsliced_topk", "nearest", "embeddings"),
         "op3_warc_store": _over("warc_store", "archived", "pages"),
+        "op4_simhash_dedup": _over("simhash_dedup", "simhash_groups", "documents"),
+        "op5_toxicity": _labelled("toxicity", "toxicity"),
+        "op6_poisson_mix": _over("poisson_mix", "mixture", "documents"),
+        "op7_suffix_repeat": _over("suffix_repeat", "judge", "documents"),
         "op8_line_dedup": _over("line_dedup", "dedup_digests", "documents"),
+        "op9_crf_quality": _labelled("crf_quality", "quality"),
         "op10_packing": _over("packing", "pack_documents", "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from notelake.llm import line_dedup, secret_ledger, warc_store
+    from notelake.llm import bitsliced_topk, line_dedup, poisson_mix, secret_ledger, warc_store
 
-    return {"op1_secret_ledger": secret_ledger.ORACLE_SQL, "op3_warc_store": warc_store.ORACLE_SQL, "op8_line_dedup": line_dedup.ORACLE_SQL}
+    return {
+        "op1_secret_ledger": secret_ledger.ORACLE_SQL,
+        "op2_bitsliced_topk": bitsliced_topk.ORACLE_SQL,
+        "op3_warc_store": warc_store.ORACLE_SQL,
+        "op6_poisson_mix": poisson_mix.ORACLE_SQL,
+        "op8_line_dedup": line_dedup.ORACLE_SQL,
+    }
