@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,6 +63,13 @@ SLUG = r"^[a-z0-9]+(-[a-z0-9]+)*$"
 SOURCE_EXTENSIONS = [".java", ".ts", ".tsx", ".js", ".jsx", ".kt"]
 
 
+BLANKS = " \t\n\x0b\x0c\r"
+
+
+def stripped(text: Column) -> Column:
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def lowered(text: Column) -> Column:
     """Lower case as simple mapping does it: the dotted capital I and the final sigma need care."""
     return F.translate(F.lower(F.translate(text, "İ", "i")), "ς", "σ")
@@ -109,13 +118,13 @@ def strip_code(body: Column) -> Column:
 
 def wikilinks(body: Column) -> Column:
     """Targets of [[target#heading|alias]] outside code, in order."""
-    return F.filter(F.transform(F.regexp_extract_all(strip_code(body), F.lit(WIKILINK), F.lit(1)), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.regexp_extract_all(strip_code(body), F.lit(WIKILINK), F.lit(1)), lambda t: stripped(t)), lambda t: t != "")
 
 
 def fenced_blocks(body: Column) -> Column:
     """array<struct<lang, code>>: info string and content of each fenced block."""
     blocks = F.filter(F.regexp_extract_all(body, F.lit(CODE), F.lit(0)), lambda b: b.startswith("```"))
-    inner = lambda b: F.expr("0") if b is None else F.substring(b, F.lit(4), F.length(b) - 6)
+    inner = lambda b: F.substring(b, F.lit(4), F.length(b) - 6)
     return F.transform(
         blocks,
         lambda b: F.struct(
@@ -137,11 +146,13 @@ def base_name(path: Column) -> Column:
 def first_banned(body: Column) -> Column:
     """The first banned phrase in the prose of a body, or null."""
     prose = F.lower(strip_code(body))
-    return F.try_element_at(F.filter(F.array(*map(F.lit, BANNED_PHRASES)), lambda p: F.contains(prose, p)), F.lit(1))
+    found = F.try_element_at(F.filter(F.array(*map(F.lit, BANNED_PHRASES)), lambda p: F.contains(prose, p)), F.lit(1))
+    # one pattern over all phrases first: most notes hold none
+    return F.when(F.lower(body).rlike("|".join(re.escape(p) for p in BANNED_PHRASES)), found)
 
 
 def conclusions(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(CONCLUSION), F.lit(0)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(CONCLUSION), F.lit(0)), lambda t: stripped(t))
 
 
 def segments(path: Column) -> Column:
@@ -166,7 +177,7 @@ def span_ref(span: Column) -> Column:
     is_path = extension.isin(SOURCE_EXTENSIONS)
     sound = (s != "") & ~s.rlike(r"[ \t\"'|$<>*?]")
     row = lambda kind, path, name, at: F.struct(s.alias("raw"), F.lit(kind).alias("kind"), path.alias("path"), name.alias("symbol"), at.alias("line"))
-    number = F.coalesce(F.expr("cast(null as int)"), F.when(line != "", line.cast("int")).otherwise(F.lit(0)))
+    number = F.when(line != "", line.cast("int")).otherwise(F.lit(0))
     return F.when(sound & is_path, row("path", F.translate(bare, "\\", "/"), F.lit(""), number)).when(
         sound & ~F.contains(bare, F.lit("/")) & (symbol != ""), row("symbol", F.lit(""), symbol, F.lit(0))
     )
