@@ -27,8 +27,9 @@ def round3(x: Column) -> Column:
 
 def saturated(words: Column, wanted: Column) -> Column:
     """Mean over the wanted terms of their counts, each up to three, by thirds; 0 without terms."""
-    total = F.aggregate(wanted, F.lit(0.0), lambda a, t: a + F.least(F.size(F.filter(words, lambda w: w == t)), F.lit(3)) / F.lit(3.0))
-    return F.when(F.size(wanted) > 0, total / F.size(wanted)).otherwise(F.lit(0.0))
+    # the words are bound once; named inside the inner lambda they would be computed anew for each term
+    bound = F.transform(F.array(words), lambda ws: F.aggregate(wanted, F.lit(0.0), lambda a, t: a + F.least(F.size(F.filter(ws, lambda w: w == t)), F.lit(3)) / F.lit(3.0)))
+    return F.when(F.size(wanted) > 0, F.get(bound, F.lit(0)) / F.size(wanted)).otherwise(F.lit(0.0))
 
 
 def blend(channels: list[tuple[str, Column, Column]]) -> Column:

@@ -71,7 +71,8 @@ def outcomes(drafts: DataFrame, invalid: DataFrame, dangling: DataFrame, similar
     rows = drafts
     for name, facts in (("n_issues", invalid), ("n_dangling", dangling), ("n_similar", similar)):
         rows = rows.join(facts.select("draft", F.col("n").alias(name)), "draft", "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    phrase = first_banned(F.coalesce("body", F.lit("")))
+    rows = rows.withColumn("phrase", first_banned(F.coalesce("body", F.lit(""))))
+    phrase = F.col("phrase")
     unshown = F.col("type").isin("howto", "api") & (F.size(fenced_blocks(F.coalesce("body", F.lit("")))) == 0)
     late = F.coalesce((F.col("freshness_days") > 0) & (F.lit(now_s) - F.col("verified_s") > F.col("freshness_days") * 86_400), F.lit(False))
     gate = lambda name, bad, remedy, detail: F.struct(F.lit(name).alias("gate"), F.when(bad, "fail").otherwise("pass").alias("verdict"), F.lit(remedy).alias("remedy"), F.when(bad, detail).otherwise(F.lit("")).alias("detail"))

@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from notelake.functions.score import NEIGHBOUR, WEIGHTS, blend, decide, f2, idf, round3, saturated
-from notelake.functions.text import terms, token_set, tokens
+from notelake.functions.score import NEIGHBOUR, blend, decide, f2, idf, round3, saturated
+from notelake.functions.text import STOPWORDS, terms, token_set, tokens
+from notelake.session import materialize
 
 LEADERS, SHOWN = 20, 10
 NOTHING = "cast(array() as array<string>)"
@@ -41,12 +42,12 @@ def ranked(documents: DataFrame, questions: DataFrame, leaders: int = LEADERS, s
     docs = documents.select(
         "rel",
         "body",
-        F.array_sort(F.array_except(F.array_distinct(F.concat(tokens(F.coalesce("title", F.lit(""))), tokens(F.replace(F.coalesce("slug", F.lit("")), F.lit("-"), F.lit(" "))))), F.array(*map(F.lit, _stop())))).alias("title_set"),
+        F.array_sort(F.array_except(F.array_distinct(F.concat(tokens(F.coalesce("title", F.lit(""))), tokens(F.replace(F.coalesce("slug", F.lit("")), F.lit("-"), F.lit(" "))))), F.array(*map(F.lit, STOPWORDS)))).alias("title_set"),
         token_set(F.col("tags")).alias("tag_set"),
         token_set(F.col("stack")).alias("stack_set"),
     )
-    front = docs.drop("body")
-    n = documents.count()
+    front = materialize(docs.drop("body"), "recall")  # token sets alone; they are read several times
+    n = front.count()
     asked = questions.select("question_id", terms(F.coalesce("question", F.lit(""))).alias("terms"), terms(F.concat_ws(" ", F.coalesce("stack", F.expr(NOTHING)))).alias("hints"))
     words = asked.select(F.explode(F.array_union("terms", "hints")).alias("term")).distinct()
     tag_df, stack_df = _frequency(front, "tag_set", words), _frequency(front, "stack_set", words)
@@ -90,12 +91,6 @@ def ranked(documents: DataFrame, questions: DataFrame, leaders: int = LEADERS, s
     return final.select("question_id", "rank", "rel", round3(F.col("score")).alias("score"), F.array_join("matched_on", ",").alias("matched_on"))
 
 
-def _stop() -> list[str]:
-    from notelake.functions.text import STOPWORDS
-
-    return STOPWORDS
-
-
 def verdicts(candidates: DataFrame, questions: DataFrame, stale: DataFrame) -> DataFrame:
     """question_id, verdict, top_score, neighbours. stale: rel, stale."""
     marked = candidates.join(stale, "rel", "left").withColumn("stale", F.coalesce("stale", F.lit(False)))
@@ -105,5 +100,3 @@ def verdicts(candidates: DataFrame, questions: DataFrame, stale: DataFrame) -> D
     rows = questions.select("question_id").join(top, "question_id", "left").withColumn("verdict", decide(F.col("top.score"), F.col("top.stale")))
     return rows.select("question_id", "verdict", F.coalesce("top.score", F.lit(0.0)).alias("top_score"), F.when(F.col("verdict") == "CREATE", F.coalesce("near", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("neighbours"))
 
-
-__all__ = ["WEIGHTS", "ranked", "verdicts"]

@@ -26,7 +26,8 @@ VIEWS = {
 
 
 def notes(spark: SparkSession, sf: str) -> DataFrame:
-    words = F.filter(F.split("text", r"[ \t\r\n]+"), lambda w: w != "")
+    head = F.regexp_extract("text", r"^[ \t\r\n]*((?:[^ \t\r\n]+[ \t\r\n]+){0,7}[^ \t\r\n]*)", 1)  # the text is not split beyond its title
+    words = F.filter(F.split(head, r"[ \t\r\n]+"), lambda w: w != "")
     return table(spark, sf, "documents").select(
         F.concat(F.lit("notes/"), F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".md")).alias("rel"), "doc_id", F.col("text").alias("body"), "lang", "source", F.array_join(F.slice(words, 1, 8), " ").alias("title")
     )
