@@ -18,6 +18,7 @@ from notelake.operators import graph as L
 from notelake.operators import history as H
 from notelake.operators import recall as R
 from notelake.operators import similarity as S
+from notelake.operators import sinks as K
 from notelake.plans import inputs as I
 from notelake.session import table
 
@@ -703,3 +704,27 @@ def link_status_rollup(spark, sf):
     code = F.when(k % 5 == 0, 200).when(k % 5 == 1, 404).when(k % 5 == 2, 301).when(k % 5 == 3, 500)
     cache = p.where("page_id % 4 = 0").select("url", F.when(k % 8 == 0, "unreachable").otherwise("alive").alias("verdict"), F.lit(I.NOW_S).alias("checked_s"))
     return G.cached_or_fresh(p, cache, p.select("url", code.alias("code")), I.NOW_S, 86_400).groupBy("verdict").agg(F.count("*").alias("urls"))
+
+
+# ------------------------------------------------------------------ tables
+
+
+@query("tags_explode", "select doc_id, array_to_string(list_sort(list_distinct([lang, source, 'all'])), ',') as tags from documents where doc_id % 4 <> 1")
+def tags_explode(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", F.array("lang", "source", F.lit("all")).alias("tags"))
+    rows = K.with_lists(d.where("doc_id % 4 <> 1").select("doc_id"), K.child_rows(d, "doc_id", "tags"), "doc_id", "tags")
+    return rows.select("doc_id", F.array_join("tags", ",").alias("tags"))
+
+
+@query("upsert_rows", "select s_suppkey as key, case when s_suppkey % 3 = 0 then s_acctbal + 1 else s_acctbal end as value from supplier where s_suppkey % 7 <> 2 union all select 1000000 + s_suppkey, s_acctbal from supplier where s_suppkey % 50 = 0")
+def upsert_rows(spark, sf):
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("value"))
+    new = s.where("key % 3 = 0").withColumn("value", F.col("value") + 1).union(s.where("key % 50 = 0").select(F.col("key") + 1000000, "value"))
+    kept = K.upserted(s, new, "key")
+    return K.pruned(kept, kept.where("key >= 1000000 or key % 7 <> 2"), "key")
+
+
+@query("managed_blocks", "select page_id, 'a' || chr(10) || '<b>' || chr(10) || url || chr(10) || '</b>' || chr(10) as text from pages where page_id % 2 = 0 union all select page_id, 'a' || chr(10) || '<b>' || chr(10) || url || chr(10) || '</b>' || chr(10) || 'z' from pages where page_id % 2 = 1")
+def managed_blocks(spark, sf):
+    text = F.when(F.col("page_id") % 2 == 0, "a\n").otherwise("a\n<b>\nold\nlines\n</b>\nz")
+    return table(spark, sf, "pages").select("page_id", K.put_block(text, "<b>", "</b>", F.col("url")).alias("text"))

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Folders a walk skips, and what is no content note.
-SKIPPED = [".git", ".obsidian", ".trash", ".forge", "node_modules", ".idea"]
+# Folders a walk skips (the last is the engine's own state), and what is no content note.
+SKIPPED = [".git", ".obsidian", ".trash", "node_modules", ".idea", ".notelake"]
 PLAIN_FILES = ["CLAUDE.md", "README.md", "lint-report.md"]
 PLAIN_FOLDERS = ["raw/", "sources/", "_archive/", "archive/", "reports/", "moc/weekly/"]
 TYPE_FOLDERS = r"^notes/([^/]+)/"
