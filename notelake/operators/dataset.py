@@ -71,3 +71,23 @@ def patched(old: DataFrame, changed: DataFrame, fresh: DataFrame, key: str) -> D
 def appended(log: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rows, one for each key, that the log does not hold."""
     return new.dropDuplicates(keys).join(log.select(*keys).distinct(), keys, "left_anti")
+
+
+def hashed_path(rel: Column) -> Column:
+    """The folder and the extension stay, the name becomes 16 digits of its hash."""
+    base = F.element_at(F.split(rel, "/"), -1)
+    folder = F.regexp_replace(rel, "[^/]*$", "")
+    return F.concat(folder, F.substring(F.sha2(F.regexp_replace(base, r"\.[^.]*$", ""), 256), 1, 16), F.regexp_extract(base, r"(\.[^.]*)$", 1))
+
+
+def anonymised(records: DataFrame, texts: list[str], lists: list[str], paths: list[str], blanked: list[str]) -> DataFrame:
+    """The records with texts and lists redacted for export, paths hashed and identifying hashes blanked; ``redactions`` counts."""
+    count, columns = F.lit(0), {}
+    for c in texts:
+        columns[c], n = redacted(F.coalesce(c, F.lit("")), urls=True)
+        count = count + n
+    for c in lists:
+        columns[c] = F.transform(c, lambda x: redacted(x, urls=True)[0])
+        count = count + F.aggregate(F.coalesce(c, F.expr("cast(array() as array<string>)")), F.lit(0), lambda a, x: a + redacted(x, urls=True)[1])
+    columns |= {c: hashed_path(F.col(c)) for c in paths} | {c: F.lit("") for c in blanked}
+    return records.select(*((columns[c] if c in columns else F.col(c)).alias(c) for c in records.columns), count.cast("long").alias("redactions"))
