@@ -7,7 +7,8 @@ logarithm of its length. The common prefix of neighbours in the suffix array is
 the rounds. The longest repeat that starts at a word is the larger of the common prefixes with its two
 neighbours; the maximal repeated substrings are the intervals of these values, so the union of their
 spans is the union of all such runs. A text fails if repeats of at least ``least`` words cover too
-large a fraction of its words, or if the longest repeat is too large a part of it.
+large a fraction of its words, or if the longest repeat has too many words, however long the text. The
+spans lie inside repeated windows, so only a fraction below ``percent_repeated`` adds to the base rule.
 
 The base rules (counts of words, symbols, lines that repeat, words in five-word windows that occur
 twice) come from the same arrays.
@@ -39,11 +40,10 @@ class Limits:
     percent_repeated: int = 20
     #: Repeats of at least so many words are spans.
     least: int = 10
-    #: Of the words, in spans.
-    most_covered: float = 0.3
-    #: The longest repeat, in words and as a part of all words.
+    #: Of the words, in spans: the published limit for ten-word repeats.
+    most_covered: float = 0.1
+    #: The longest repeat, in words.
     longest: int = 50
-    longest_part: float = 0.25
 
 
 def suffix_lcp(symbols: np.ndarray, owner: np.ndarray) -> np.ndarray:
@@ -166,7 +166,7 @@ def judge(documents: DataFrame, limits: Limits = Limits(), doc_id: str = "doc_id
         n, again = r["n_words"], r["n_repeat_words"]
         failed = (n < limits.fewest_words) | (100 * again > limits.percent_repeated * n)
         whole = np.maximum(n, 1)
-        fine = (r["covered_words"] <= limits.most_covered * whole) & ((r["longest_repeat"] <= limits.longest) | (r["longest_repeat"] <= limits.longest_part * whole))
+        fine = (r["covered_words"] <= limits.most_covered * whole) & (r["longest_repeat"] <= limits.longest)
         long = pa.int64()
         return pa.RecordBatch.from_arrays(
             [pa.array(ids, long), pa.array(n), pa.array(chars, long), pa.array(marks, long), pa.array(lines, long), pa.array(again), pa.array(failed), pa.array(fine & ~failed), pa.array(r["covered_words"]), pa.array(r["longest_repeat"])],

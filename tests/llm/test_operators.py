@@ -367,6 +367,23 @@ def test_judge_brute_force(spark):
         assert not (r["kept"] and failed)
 
 
+def test_judge_rejects_beyond_the_base_rule(spark):
+    fresh = (f"w{i}" for i in range(10**6))
+    some = lambda n: [next(fresh) for _ in range(n)]
+    passage, short, pair = some(900), [some(12) for _ in range(6)], some(51)
+    texts = [
+        passage + some(8200) + passage,  # 18% covered, longest 900
+        sum(([*p, *some(120), *p] for p in short), []),  # 14 to 17% covered, longest 12
+        pair + some(2000) + pair,  # 5% covered, longest 51
+        pair[:50] + some(2000) + pair[:50],
+        some(500),
+    ]
+    rows = sorted(suffix_repeat.judge(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect())
+    assert [r["longest_repeat"] for r in rows] == [900, 12, 51, 50, 0] and rows[1]["covered_words"] == 144
+    assert not any(r["base_failed"] for r in rows)
+    assert [r["kept"] for r in rows] == [False, False, False, True, True]
+
+
 def test_judge_edges(spark):
     assert suffix_repeat.judge(empty(spark)).count() == 0
     rows = suffix_repeat.judge(edge_documents(spark)).collect()
