@@ -43,6 +43,8 @@ from notelake.session import materialize, ship
 TAU = 3
 SEED = 42
 BLOCK = 4096
+#: Members of a component of candidates that meet in one task, of either side.
+MEETING = (128, 512)
 UNIT = 8
 #: Microseconds that a probe row and a candidate pair cost, for the choice of parts.
 ROW_US, PAIR_US = 2.0, 0.004
@@ -468,13 +470,40 @@ def shingle_set(data: bytes, width: int) -> np.ndarray:
     return np.unique(np.concatenate([np.array([xxhash.xxh32_intdigest(s) for s in some], dtype=np.uint32) for some in each_shingle(words, width)]))
 
 
+def overlaps(own: list[np.ndarray], met: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """How many elements each set of ``own`` has in common with each of ``met``: products of slices of their bitmaps."""
+    known = np.unique(np.concatenate(own))
+
+    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.searchsorted(known, flat)
+        good = known[np.minimum(at, len(known) - 1)] == flat
+        order = np.argsort(at[good], kind="stable")
+        return at[good][order], row[good][order]
+
+    out = np.zeros((len(own), len(met)), dtype=np.int64)
+    if not len(known):
+        return out
+    sides = [(*places(own), len(own)), (*places(met), len(met))]
+    for lo in range(0, len(known), step):
+        width, maps = min(step, len(known) - lo), []
+        for at, row, n in sides:
+            p, q = np.searchsorted(at, [lo, lo + width])
+            bits = np.zeros((n, width), dtype=np.float32)
+            bits[row[p:q], at[p:q] - lo] = 1
+            maps.append(bits)
+        out += (maps[0] @ maps[1].T).astype(np.int64)
+    return out
+
+
 def near_links(documents: DataFrame, width: int = 5, similarity: float = 0.8, tau: int = 18, total: int = 50, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(prints, classes, links): a row for every text, classes of equal words (same, doc, tkey: their smallest row), links (a, b) between their ``same``.
 
     Candidates differ in at most ``tau`` of 64 and ``total`` of 192 bits. Texts of similarity 0.8 differ in 10 of
     64 and 29 of 192 bits on average, with standard deviations of 2.9 and 5, so about one such pair in a thousand is
     not nominated directly. What a run hands on is the forest of its closest candidates, and each
-    part of the bits gives its own; the exact similarity of every link is then computed.
+    part of the bits gives its own; the exact similarity of every link is then computed, and what a component
+    of candidates holds beyond the groups of these links is compared pair by pair.
     """
     ship(documents.sparkSession)
     prints = materialize(fingerprints(documents, width, wide=True, doc_id=doc_id, text=text), "fingerprints")
@@ -502,7 +531,50 @@ def near_links(documents: DataFrame, width: int = 5, similarity: float = 0.8, ta
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
 
     pairs = candidates.join(words.select(F.col("same").alias("a"), F.col("words").alias("p")), "a").join(words.select(F.col("same").alias("b"), F.col("words").alias("q")), "b")
-    return prints, classes.select("same", "doc", "tkey"), pairs.select("a", "b", "p", "q").mapInArrow(similar, "a long, b long")
+    near = materialize(pairs.select("a", "b", "p", "q").mapInArrow(similar, "a long, b long"), "near")
+    return prints, classes.select("same", "doc", "tkey"), near.union(_across(candidates, near, words, classes, similarity))
+
+
+def _across(candidates: DataFrame, near: DataFrame, words: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) between groups of ``near`` that their components of ``candidates`` hold together.
+
+    A forest of candidates keeps their components, not every pair, and its links may fail where others hold. So in
+    every component with more than one group, all members outside its largest group (side 0) meet all members
+    (side 1) of like size; both sides are dealt out in blocks, and of the links of two blocks a forest goes on.
+    """
+    groups = connected_components(near).select("node", F.col("component").alias("group"))
+    members = connected_components(candidates).join(groups, "node", "left").select("node", "component", F.coalesce("group", "node").alias("group"))
+    counted = members.groupBy("component", "group").agg(F.count("*").alias("n")).groupBy("component").agg(F.sum("n").alias("all"), F.max(F.struct("n", "group")).alias("main"), F.count("*").alias("groups"))
+    mixed = counted.where("groups > 1 and all > 2").select("component", F.col("main.group").alias("main"))  # the one pair of two has been verified
+    sized = members.join(mixed, "component").join(classes.select(F.col("same").alias("node"), "size"), "node")
+    tier = F.when(F.col("size") > 0, F.floor(F.log("size") / float(np.log(1.01 / similarity)))).otherwise(-2).cast("int")  # sizes of linked sets are in one tier or in neighbours
+    one = materialize(sized.select("node", "component", "group", "size", tier.alias("tier"), (F.col("group") != F.col("main")).alias("other")), "members")
+    sides = one.withColumn("side", F.lit(1)).withColumn("at", F.col("tier")).unionByName(one.where("other").withColumn("side", F.lit(0)).withColumn("at", F.explode(F.array(*(F.col("tier") + k for k in (-1, 0, 1))))))
+    blocks = sides.groupBy("component", "at").agg(*(F.ceil(F.count(F.when(F.col("side") == k, 1)) / MEETING[k]).cast("int").alias(f"blocks{k}") for k in (0, 1))).where("blocks0 > 0 and blocks1 > 0")
+    dealt = sides.join(blocks, ["component", "at"])
+    home, others = F.when(F.col("side") == 0, F.pmod(F.xxhash64("node"), F.col("blocks0"))).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks1"))).cast("int"), F.when(F.col("side") == 0, F.col("blocks1")).otherwise(F.col("blocks0"))
+    cells = dealt.withColumn("home", home).withColumn("cell", F.explode(F.sequence(F.lit(0), others - 1))).select(
+        "component", "at", F.when(F.col("side") == 0, F.col("home")).otherwise(F.col("cell")).alias("i"), F.when(F.col("side") == 0, F.col("cell")).otherwise(F.col("home")).alias("j"), "side", "group", F.col("node").alias("same")
+    )
+    rows = cells.join(words, "same")
+
+    def meet(table: pa.Table) -> pa.Table:
+        side, group, same = (table.column(c).to_numpy() for c in ("side", "group", "same"))
+        sets = [np.frombuffer(x.as_py(), dtype=np.uint32) for x in table.column("words")]
+        own, met = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        out = np.zeros((0, 2), dtype=np.int64)
+        if len(own) and len(met):
+            size = np.array([len(x) for x in sets], dtype=np.int64)
+            x, y = size[own][:, None], size[met][None, :]
+            both = overlaps([sets[k] for k in own], [sets[k] for k in met])
+            r, o = np.nonzero((both >= similarity * (x + y - both)) & (group[own][:, None] != group[met][None, :]))
+            if len(r):
+                a, b = own[r], met[o]
+                k = forest(group[a], group[b], np.zeros(len(a), dtype=np.int64))
+                out = np.stack([same[a[k]], same[b[k]]], axis=1)
+        return pa.table({"a": np.ascontiguousarray(out[:, 0]), "b": np.ascontiguousarray(out[:, 1])})
+
+    return rows.groupBy("component", "at", "i", "j").applyInArrow(meet, "a long, b long")
 
 
 def one_of_each(documents: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

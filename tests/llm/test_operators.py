@@ -247,6 +247,34 @@ def test_near_duplicates_brute_force(spark):
     assert {r["doc_id"] for r in simhash_dedup.one_of_each(docs).collect()} == brute_kept(texts)
 
 
+def variants(rng, families, members, words, changes):
+    texts = {}
+    for _ in range(families):
+        base = [f"v{rng.randrange(10**6)}" for _ in range(words)]
+        for _ in range(members):
+            some = list(base)
+            for k in rng.sample(range(words), rng.choice(changes)):
+                some[k] = f"v{rng.randrange(10**6)}"
+            texts[len(texts)] = " ".join(some)
+    return texts
+
+
+@pytest.mark.parametrize("meeting", [(128, 512), (3, 5)])
+def test_near_duplicates_in_dense_families(spark, monkeypatch, meeting):
+    monkeypatch.setattr(simhash_dedup, "MEETING", meeting)
+    texts = variants(random.Random(5), 6, 40, 300, [4, 5])  # similarities on both sides of 0.8
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash_dedup.one_of_each(docs).collect()} == brute_kept(texts)
+
+
+def test_overlaps():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 300, n)).astype(np.uint32) for n in (0, 1, 50, 200, 90)]
+    for step in (7, 4096):
+        assert simhash_dedup.overlaps(sets[:3], sets, step).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets[:3]]
+        assert simhash_dedup.overlaps(sets[:1], sets, step).tolist() == [[0] * 5]
+
+
 def test_near_duplicates_edges(spark):
     kept = simhash_dedup.one_of_each(edge_documents(spark))
     assert kept.columns == edge_documents(spark).columns
