@@ -80,19 +80,23 @@ def _ones(bits: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(data: bytes, width: int, wide: bool = False) -> bytes:
-    """8 bytes; a bit is set if it is in over half the shingle hashes. ``wide``: also 16 of a second hash, and the number of distinct shingles in 8."""
+    """8 bytes; a bit is set if it is in over half the shingle hashes. ``wide``: of each distinct shingle once, as the similarity of sets asks; also 16 of a second hash, and the number of distinct shingles in 8."""
     words, n = shingles(data, width)
     if not n:
         return bytes(32 if wide else 8)
     total, distinct = 0, set()
     for some in each_shingle(words, width):
+        if wide:
+            some = list(set(some) - distinct)
+            distinct.update(some)
+            if not some:
+                continue
         raw = np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in some]), dtype=np.uint8).reshape(-1, 8)
         if wide:
             more = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s) for s in some]), dtype=np.uint8).reshape(-1, 16)
             raw = np.concatenate([raw, more], axis=1)
-            distinct.update(some)
         total = total + _ones(np.unpackbits(raw, axis=1))
-    return np.packbits(2 * total > n).tobytes() + (len(distinct).to_bytes(8, "big") if wide else b"")
+    return np.packbits(2 * total > (len(distinct) if wide else n)).tobytes() + (len(distinct).to_bytes(8, "big") if wide else b"")
 
 
 def _keyed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:

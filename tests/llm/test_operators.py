@@ -267,6 +267,21 @@ def test_near_duplicates_in_dense_families(spark, monkeypatch, meeting):
     assert {r["doc_id"] for r in simhash_dedup.one_of_each(docs).collect()} == brute_kept(texts)
 
 
+def test_near_duplicates_with_repeats_inside(spark):
+    rng = random.Random(8)
+    texts = {}
+    for _ in range(10):
+        words = lambda n: " ".join(f"r{rng.randrange(10**6)}" for _ in range(n))
+        body, line = words(300), words(12)
+        texts[len(texts)] = f"{body}\n{line}"
+        texts[len(texts)] = "\n".join([body, *[line] * 50])
+    assert len(brute_kept(texts)) == 10
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash_dedup.one_of_each(docs).collect()} == brute_kept(texts)
+    long = " ".join(f"r{k % 40_000}" for k in range(120_000)).encode()  # in several steps
+    assert simhash_dedup.fingerprint(long, 5, wide=True) == simhash_dedup.fingerprint(b" ".join(long.split()[:40_004]), 5, wide=True)
+
+
 def test_overlaps():
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, 300, n)).astype(np.uint32) for n in (0, 1, 50, 200, 90)]
