@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelake.session import materialize
+from notelake.session import discard, written
 
 
 def _star(pairs: DataFrame, larger: bool) -> DataFrame:
@@ -33,12 +33,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     links = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    links = materialize(links, "cc")
+    links, path = written(links, "cc")
     before = None
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _star(both, larger=True)
-        links = materialize(_star(large, larger=False), "cc")
+        last = path
+        links, path = written(_star(large, larger=False), "cc")
+        discard(edges.sparkSession, last)
         now = tuple(
             links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u"))).first()
         )

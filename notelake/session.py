@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -21,22 +22,45 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that all machines of the cluster share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that setting is absent, as in
-    tests on one machine, a temporary folder takes its place.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that setting is absent and the master
+    is local, as in tests on one machine, a temporary folder takes its place.
     """
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that all machines share")
         root = Path(tempfile.mkdtemp(prefix="notelake-")).as_uri()
         spark.conf.set(CHECKPOINT_KEY, root)
     return f"{root.rstrip('/')}/notelake-{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write ``df`` to the shared folder and read it back."""
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and the path of its table."""
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, label: str) -> DataFrame:
+    """Cut lineage: write ``df`` to the shared folder and read it back."""
+    return written(df, label)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def partitions(df: DataFrame, megabytes: int = 64) -> int:
+    """How many partitions a shuffle of about the tables that ``df`` reads needs: those of the session, more for large tables.
+
+    A table whose size is unknown, as one made from rows of the driver, does not count.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = (int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(x for x in sizes if x < 1 << 60) // (megabytes << 20))
 
 
 def ship(spark: SparkSession) -> None:
