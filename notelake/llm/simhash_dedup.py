@@ -15,14 +15,13 @@ differ in at most tau bits agree in some part i up to t_i bits (a part with t_i
   never its pairs. A value with more owners than a block is dealt out over cells of owner blocks,
   so that every owner meets every other in exactly one cell.
 
-Links then go to ``connected_components``. A second use, ``near_duplicates``, carries two more
-fingerprints along, links by the distance over all bits and keeps a link if the exact Jaccard
-similarity of the shingle sets is high enough.
+Links then go to ``connected_components``. ``near_dups`` uses the same fingerprints and links to
+nominate near duplicates by the Jaccard similarity of shingle sets.
 
 Defined results: a null text is an empty one; texts without a word have fingerprint zero and are
 linked like any other; a null id counts as smaller than any other inside, and its component is the
 smallest id that is not null (null if there is none); repeated rows each come back; an empty table
-gives no rows; other columns are ignored (fingerprint groups) or kept (``near_duplicates``).
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,13 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notelake.operators.components import connected_components
-from notelake.session import materialize, ship
+from notelake.session import materialize, partitions, ship
 
 TAU = 3
 SEED = 42
 BLOCK = 4096
-#: Members of a component of candidates that meet in one task, of either side.
-MEETING = (128, 512)
 UNIT = 8
 #: Microseconds that a probe row and a candidate pair cost, for the choice of parts.
 ROW_US, PAIR_US = 2.0, 0.004
@@ -79,44 +76,33 @@ def _ones(bits: np.ndarray) -> np.ndarray:
     return total
 
 
-def fingerprint(data: bytes, width: int, wide: bool = False) -> bytes:
-    """8 bytes; a bit is set if it is in over half the shingle hashes. ``wide``: of each distinct shingle once, as the similarity of sets asks; also 16 of a second hash, and the number of distinct shingles in 8."""
+def fingerprint(data: bytes, width: int) -> bytes:
+    """8 bytes; a bit is set if it is in over half the shingle hashes."""
     words, n = shingles(data, width)
     if not n:
-        return bytes(32 if wide else 8)
-    total, distinct = 0, set()
+        return bytes(8)
+    total = 0
     for some in each_shingle(words, width):
-        if wide:
-            some = list(set(some) - distinct)
-            distinct.update(some)
-            if not some:
-                continue
         raw = np.frombuffer(b"".join([xxhash.xxh64_digest(s, SEED) for s in some]), dtype=np.uint8).reshape(-1, 8)
-        if wide:
-            more = np.frombuffer(b"".join([xxhash.xxh3_128_digest(s) for s in some]), dtype=np.uint8).reshape(-1, 16)
-            raw = np.concatenate([raw, more], axis=1)
         total = total + _ones(np.unpackbits(raw, axis=1))
-    return np.packbits(2 * total > (len(distinct) if wide else n)).tobytes() + (len(distinct).to_bytes(8, "big") if wide else b"")
+    return np.packbits(2 * total > n).tobytes()
 
 
-def _keyed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+def keyed(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc, text, tkey (a hash of the text): what names a row of a table whose ids may repeat."""
     return documents.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tkey"))
 
 
-def fingerprints(documents: DataFrame, width: int, wide: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, fp as bit patterns in longs; with ``wide`` also x1, x2, size (of the shingle set), same (a hash of the folded words) and tkey (one of the text)."""
-    names = ["doc", "fp", "x1", "x2", "size", "same", "tkey"] if wide else ["doc", "fp"]
+def fingerprints(documents: DataFrame, width: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc, fp (the bit pattern in a long)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(1)]
-            raw = b"".join([fingerprint(t, width, wide) + (xxhash.xxh3_64_digest(b" ".join(t.lower().split())) if wide else b"") for t in texts])
-            cols = np.frombuffer(raw, dtype=">i8").reshape(-1, 5 if wide else 1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(cols[:, i])) for i in range(cols.shape[1])), *batch.columns[2:]], names=names)
+            raw = b"".join([fingerprint((t.as_py() or "").encode("utf-8", "surrogatepass"), width) for t in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.frombuffer(raw, dtype=">i8").astype(np.int64))], names=["doc", "fp"])
 
     ship(documents.sparkSession)
-    keyed = _keyed(documents, doc_id, text)
-    return (keyed if wide else keyed.drop("tkey")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return keyed(documents, doc_id, text).drop("tkey").mapInArrow(run, "doc long, fp long")
 
 
 # ---------------------------------------------------------------- the choice of parts
@@ -261,6 +247,8 @@ def choose_parts(n: int, units: list[list[int]], histograms: np.ndarray, tau: in
         total, ts = allot([hi - lo for lo, hi in parts], cost, tau - len(parts) + 1)
         if total < best[0]:
             best = (total, [(sum(units[lo:hi], []), t) for (lo, hi), t in zip(parts, ts) if t >= 0])
+    if not best[1]:
+        raise ValueError(f"no plan finds all links within {tau} bits with {most_probes} probes of a part")
     return best[1]
 
 
@@ -273,23 +261,21 @@ def _masks(bits: list[int], t: int) -> np.ndarray:
     return np.array([sum(c) for k in range(1, t + 1) for c in combinations(single, k)], dtype=np.uint64)
 
 
-def _probes(parts: list[tuple[list[int], int]], payload: list[str]):
+def _probes(parts: list[tuple[list[int], int]]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["part", "key", "role", *payload]
+        names = ["part", "key", "role", "fp"]
         plan = [(i, np.uint64(sum(1 << (63 - b) for b in bits)), _masks(bits, t)) for i, (bits, t) in enumerate(parts)]
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(len(payload))]
-            fp = cols[0].view(np.uint64)
+            whole = batch.column(0).to_numpy()
+            fp = whole.view(np.uint64)
             for i, mask, flips in plan:
                 own = fp & mask
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, dtype=np.int32)), pa.array(own.view(np.int64)), pa.array(np.zeros(len(fp), dtype=np.int32)), *map(pa.array, cols)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, dtype=np.int32)), pa.array(own.view(np.int64)), pa.array(np.zeros(len(fp), dtype=np.int32)), pa.array(whole)], names=names)
                 for lo in range(0, len(flips), 256):
                     keys = own[:, None] ^ flips[None, lo : lo + 256]
                     row, col = np.nonzero(keys < own[:, None])
                     if len(row):
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(len(row), i, dtype=np.int32)), pa.array(keys[row, col].view(np.int64)), pa.array(np.ones(len(row), dtype=np.int32)), *(pa.array(c[row]) for c in cols)], names=names
-                        )
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), i, dtype=np.int32)), pa.array(keys[row, col].view(np.int64)), pa.array(np.ones(len(row), dtype=np.int32)), pa.array(whole[row])], names=names)
 
     return run
 
@@ -328,11 +314,11 @@ def forest(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return order[np.concatenate(taken)] if taken else np.zeros(0, dtype=np.int64)
 
 
-def _links(tau: int, total: int | None, ratio: float, chunk: int = 1_000_000, most: int = 100_000):
-    """Sorted probe rows in, links (a, b, h) out. The payload is fp, [x1, x2, node, size]."""
+def _links(tau: int, chunk: int = 1_000_000, most: int = 100_000):
+    """Sorted probe rows in, links (a, b, h) out."""
 
     def search(rows: np.ndarray, old: int) -> Iterator[np.ndarray]:
-        """rows: part, key, cell, role, payload; whole runs, but that the first ``old`` rows have met already."""
+        """rows: part, key, cell, role, fp; whole runs, but that the first ``old`` rows have met already."""
         new = np.empty(len(rows), dtype=bool)
         new[0] = True
         new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(axis=1)
@@ -350,19 +336,15 @@ def _links(tau: int, total: int | None, ratio: float, chunk: int = 1_000_000, mo
             lo, hi = int(cuts[k]), int(cuts[k + 1])
             own = np.arange(lo, lo + int(owner[lo:hi].sum()))
             rest = np.arange(max(lo, old), hi)
-            if total is not None:  # in order of size, a slice of visitors meets owners of like size only
-                own, rest = own[np.argsort(rows[own, 8], kind="stable")], rest[np.argsort(rows[rest, 8], kind="stable")]
-                owned, sizes = rows[own, 8], rows[rest, 8]
             mine = fp[own]
             step = max(1, min(256, chunk // len(own)))
             for c in range(0, len(rest), step):
                 some = rest[c : c + step]
-                p, q = (0, len(own)) if total is None else (np.searchsorted(owned, ratio * sizes[c], side="left"), np.searchsorted(owned, sizes[c : c + step][-1] / ratio, side="right"))
-                r, o = np.nonzero(np.bitwise_count(fp[some][:, None] ^ mine[None, p:q]) <= tau)
+                r, o = np.nonzero(np.bitwise_count(fp[some][:, None] ^ mine[None, :]) <= tau)
                 if len(r):
-                    r, o = some[r], own[p + o]
+                    r, o = some[r], own[o]
                     before = o < r
-                    yield from found(rows, r[before], o[before])
+                    yield from found(fp, r[before], o[before])
             meets[lo:hi] = 0
         todo = np.flatnonzero(meets)
         bound = np.cumsum(meets[todo])
@@ -373,21 +355,14 @@ def _links(tau: int, total: int | None, ratio: float, chunk: int = 1_000_000, mo
             r = np.repeat(todo[lo:hi], m)
             o = start[r] + (np.arange(len(r)) - np.repeat(np.cumsum(m) - m, m))
             good = np.bitwise_count(fp[r] ^ fp[o]) <= tau
-            yield from found(rows, r[good], o[good])
+            yield from found(fp, r[good], o[good])
             lo = hi
 
-    def found(rows: np.ndarray, r: np.ndarray, o: np.ndarray) -> Iterator[np.ndarray]:
+    def found(fp: np.ndarray, r: np.ndarray, o: np.ndarray) -> Iterator[np.ndarray]:
         """A spanning forest of the links between rows r and o."""
-        if not len(r):
-            return
-        columns = (4,) if total is None else (4, 5, 6)
-        h = sum(np.bitwise_count((rows[r, c] ^ rows[o, c]).view(np.uint64)).astype(np.int64) for c in columns)
-        node = 4 if total is None else 7
-        a, b = rows[r, node], rows[o, node]
+        h = np.bitwise_count(fp[r] ^ fp[o]).astype(np.int64)
+        a, b = fp[r].view(np.int64), fp[o].view(np.int64)
         good = a != b
-        if total is not None:
-            x, y = rows[r, 8], rows[o, 8]
-            good &= (h <= total) & (np.minimum(x, y) >= ratio * np.maximum(x, y))
         a, b, h = a[good], b[good], h[good]
         if len(a):
             k = forest(a, b, h)
@@ -424,32 +399,34 @@ def _links(tau: int, total: int | None, ratio: float, chunk: int = 1_000_000, mo
     return run
 
 
-def links(nodes: DataFrame, tau: int = TAU, total: int | None = None, ratio: float = 0.0) -> DataFrame:
-    """(a, b, h): links that connect whatever fingerprints within ``tau`` bits connect.
+def dealt(rows: DataFrame, crowded: DataFrame, by: list[str], spread: list[str]) -> DataFrame:
+    """``rows`` with ``cell``: the rows of a crowded key meet in cells, every two of them in exactly one.
 
-    nodes: distinct fp; with ``total`` (a bound on the distance over all 192 bits) also x1, x2, node,
-    size; sizes of linked nodes have at least ``ratio`` to each other.
+    crowded: ``by`` and the number of blocks of such a key. A row belongs to one block by its hash; it
+    owns the cell of that block (role 0) and visits (role 1) those of the blocks after it.
     """
-    spark = nodes.sparkSession
-    ship(spark)
-    payload = ["fp"] if total is None else ["fp", "x1", "x2", "node", "size"]
+    if crowded.isEmpty():
+        return rows.withColumn("cell", F.lit(0))
+    home = F.pmod(F.xxhash64(*spread), F.col("blocks")).cast("int")
+    placed = rows.join(crowded, by, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("home", F.when(F.col("role") == 0, home).otherwise(F.lit(0)))
+    return placed.withColumn("cell", F.explode(F.sequence("home", F.col("blocks") - 1))).withColumn("role", F.when((F.col("role") == 0) & (F.col("cell") == F.col("home")), 0).otherwise(1)).drop("blocks", "home")
+
+
+def links(nodes: DataFrame, tau: int = TAU) -> DataFrame:
+    """(a, b, h): links that connect whatever fingerprints within ``tau`` bits connect. nodes: distinct fp."""
+    ship(nodes.sparkSession)
     n, both = _co_occurrence(nodes)
     units = correlated_units(n, both)
     parts = choose_parts(n, units, _histograms(nodes, units), tau)
-    kind = "part int, key long, role int, " + ", ".join(f"{c} long" for c in payload)
-    probes = nodes.select(*payload).mapInArrow(_probes(parts, payload), kind)
+    kind = "part int, key long, role int, fp long"
+    probes = nodes.select("fp").mapInArrow(_probes(parts), kind)
     crowded = materialize(
-        nodes.select(*payload).mapInArrow(_probes([(bits, 0) for bits, _ in parts], payload), kind).groupBy("part", "key").count().where(F.col("count") > BLOCK).select("part", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")),
+        nodes.select("fp").mapInArrow(_probes([(bits, 0) for bits, _ in parts]), kind).groupBy("part", "key").count().where(F.col("count") > BLOCK).select("part", "key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")),
         "crowded",
     )
-    probes = probes.withColumn("cell", F.lit(0))
-    if not crowded.isEmpty():
-        home = F.pmod(F.xxhash64(*payload), F.col("blocks")).cast("int")
-        dealt = probes.drop("cell").join(crowded, ["part", "key"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("home", F.when(F.col("role") == 0, home).otherwise(F.lit(0)))
-        probes = dealt.withColumn("cell", F.explode(F.sequence("home", F.col("blocks") - 1))).withColumn("role", F.when((F.col("role") == 0) & (F.col("cell") == F.col("home")), 0).otherwise(1))
     order = ["part", "key", "cell", "role"]
-    met = probes.select(*order, *payload).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part", "key", "cell").sortWithinPartitions(*order)
-    return met.mapInArrow(_links(tau, total, ratio), "a long, b long, h long")
+    met = dealt(probes, crowded, ["part", "key"], ["fp"]).select(*order, "fp").repartition(partitions(nodes), "part", "key", "cell").sortWithinPartitions(*order)
+    return met.mapInArrow(_links(tau), "a long, b long, h long")
 
 
 def simhash_groups(documents: DataFrame, width: int = 3, tau: int = TAU, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -461,135 +438,3 @@ def simhash_groups(documents: DataFrame, width: int = 3, tau: int = TAU, doc_id:
     least = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     named = labelled.join(least, "component").select("fp", "component_id")
     return docs.join(named, "fp").select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-# ---------------------------------------------------------------- near duplicates by Jaccard similarity
-
-
-def shingle_set(data: bytes, width: int) -> np.ndarray:
-    """Sorted 32-bit hashes of the shingles of a text."""
-    words = data.lower().split()
-    if not words:
-        return np.zeros(0, dtype=np.uint32)
-    return np.unique(np.concatenate([np.array([xxhash.xxh32_intdigest(s) for s in some], dtype=np.uint32) for some in each_shingle(words, width)]))
-
-
-def overlaps(own: list[np.ndarray], met: list[np.ndarray], step: int = 4096) -> np.ndarray:
-    """How many elements each set of ``own`` has in common with each of ``met``: products of slices of their bitmaps."""
-    known = np.unique(np.concatenate(own))
-
-    def places(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        flat, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-        at = np.searchsorted(known, flat)
-        good = known[np.minimum(at, len(known) - 1)] == flat
-        order = np.argsort(at[good], kind="stable")
-        return at[good][order], row[good][order]
-
-    out = np.zeros((len(own), len(met)), dtype=np.int64)
-    if not len(known):
-        return out
-    sides = [(*places(own), len(own)), (*places(met), len(met))]
-    for lo in range(0, len(known), step):
-        width, maps = min(step, len(known) - lo), []
-        for at, row, n in sides:
-            p, q = np.searchsorted(at, [lo, lo + width])
-            bits = np.zeros((n, width), dtype=np.float32)
-            bits[row[p:q], at[p:q] - lo] = 1
-            maps.append(bits)
-        out += (maps[0] @ maps[1].T).astype(np.int64)
-    return out
-
-
-def near_links(documents: DataFrame, width: int = 5, similarity: float = 0.8, tau: int = 18, total: int = 50, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(prints, classes, links): a row for every text, classes of equal words (same, doc, tkey: their smallest row), links (a, b) between their ``same``.
-
-    Candidates differ in at most ``tau`` of 64 and ``total`` of 192 bits. Texts of similarity 0.8 differ in 10 of
-    64 and 29 of 192 bits on average, with standard deviations of 2.9 and 5, so about one such pair in a thousand is
-    not nominated directly. What a run hands on is the forest of its closest candidates, and each
-    part of the bits gives its own; the exact similarity of every link is then computed, and what a component
-    of candidates holds beyond the groups of these links is compared pair by pair.
-    """
-    ship(documents.sparkSession)
-    prints = materialize(fingerprints(documents, width, wide=True, doc_id=doc_id, text=text), "fingerprints")
-    classes = materialize(prints.groupBy("same").agg(F.min(F.struct("doc", "tkey")).alias("r"), F.first("fp").alias("fp"), F.first("x1").alias("x1"), F.first("x2").alias("x2"), F.first("size").alias("size")).select("same", "r.doc", "r.tkey", "fp", "x1", "x2", "size"), "classes")
-    found = links(classes.select("fp", "x1", "x2", F.col("same").alias("node"), "size"), tau, total, similarity).select("a", "b").distinct()
-    candidates = materialize(found, "candidates")
-    ends = candidates.select(F.col("a").alias("same")).union(candidates.select("b")).distinct()
-    wanted = classes.join(ends, "same", "left_semi").select("same", "doc", "tkey")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            raw = [shingle_set((t.as_py() or "").encode("utf-8", "surrogatepass"), width).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["same", "words"])
-
-    gathered = _keyed(documents, doc_id, text).join(wanted.hint("shuffle_hash"), ["doc", "tkey"]).select("same", "text")
-    words = materialize(gathered.mapInArrow(sets, "same long, words binary").dropDuplicates(["same"]), "sets")
-
-    def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_py(), dtype=np.uint32), np.frombuffer(y.as_py(), dtype=np.uint32)
-                both = len(np.intersect1d(p, q, assume_unique=True)) if min(len(p), len(q)) >= similarity * max(len(p), len(q)) else 0
-                keep.append(both >= similarity * (len(p) + len(q) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), batch.column(1).filter(pa.array(keep, pa.bool_()))], names=["a", "b"])
-
-    pairs = candidates.join(words.select(F.col("same").alias("a"), F.col("words").alias("p")), "a").join(words.select(F.col("same").alias("b"), F.col("words").alias("q")), "b")
-    near = materialize(pairs.select("a", "b", "p", "q").mapInArrow(similar, "a long, b long"), "near")
-    return prints, classes.select("same", "doc", "tkey"), near.union(_across(candidates, near, words, classes, similarity))
-
-
-def _across(candidates: DataFrame, near: DataFrame, words: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between groups of ``near`` that their components of ``candidates`` hold together.
-
-    A forest of candidates keeps their components, not every pair, and its links may fail where others hold. So in
-    every component with more than one group, all members outside its largest group (side 0) meet all members
-    (side 1) of like size; both sides are dealt out in blocks, and of the links of two blocks a forest goes on.
-    """
-    groups = connected_components(near).select("node", F.col("component").alias("group"))
-    members = connected_components(candidates).join(groups, "node", "left").select("node", "component", F.coalesce("group", "node").alias("group"))
-    counted = members.groupBy("component", "group").agg(F.count("*").alias("n")).groupBy("component").agg(F.sum("n").alias("all"), F.max(F.struct("n", "group")).alias("main"), F.count("*").alias("groups"))
-    mixed = counted.where("groups > 1 and all > 2").select("component", F.col("main.group").alias("main"))  # the one pair of two has been verified
-    sized = members.join(mixed, "component").join(classes.select(F.col("same").alias("node"), "size"), "node")
-    tier = F.when(F.col("size") > 0, F.floor(F.log("size") / float(np.log(1.01 / similarity)))).otherwise(-2).cast("int")  # sizes of linked sets are in one tier or in neighbours
-    one = materialize(sized.select("node", "component", "group", "size", tier.alias("tier"), (F.col("group") != F.col("main")).alias("other")), "members")
-    sides = one.withColumn("side", F.lit(1)).withColumn("at", F.col("tier")).unionByName(one.where("other").withColumn("side", F.lit(0)).withColumn("at", F.explode(F.array(*(F.col("tier") + k for k in (-1, 0, 1))))))
-    blocks = sides.groupBy("component", "at").agg(*(F.ceil(F.count(F.when(F.col("side") == k, 1)) / MEETING[k]).cast("int").alias(f"blocks{k}") for k in (0, 1))).where("blocks0 > 0 and blocks1 > 0")
-    dealt = sides.join(blocks, ["component", "at"])
-    home, others = F.when(F.col("side") == 0, F.pmod(F.xxhash64("node"), F.col("blocks0"))).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks1"))).cast("int"), F.when(F.col("side") == 0, F.col("blocks1")).otherwise(F.col("blocks0"))
-    cells = dealt.withColumn("home", home).withColumn("cell", F.explode(F.sequence(F.lit(0), others - 1))).select(
-        "component", "at", F.when(F.col("side") == 0, F.col("home")).otherwise(F.col("cell")).alias("i"), F.when(F.col("side") == 0, F.col("cell")).otherwise(F.col("home")).alias("j"), "side", "group", F.col("node").alias("same")
-    )
-    rows = cells.join(words, "same")
-
-    def meet(table: pa.Table) -> pa.Table:
-        side, group, same = (table.column(c).to_numpy() for c in ("side", "group", "same"))
-        sets = [np.frombuffer(x.as_py(), dtype=np.uint32) for x in table.column("words")]
-        own, met = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out = np.zeros((0, 2), dtype=np.int64)
-        if len(own) and len(met):
-            size = np.array([len(x) for x in sets], dtype=np.int64)
-            x, y = size[own][:, None], size[met][None, :]
-            both = overlaps([sets[k] for k in own], [sets[k] for k in met])
-            r, o = np.nonzero((both >= similarity * (x + y - both)) & (group[own][:, None] != group[met][None, :]))
-            if len(r):
-                a, b = own[r], met[o]
-                k = forest(group[a], group[b], np.zeros(len(a), dtype=np.int64))
-                out = np.stack([same[a[k]], same[b[k]]], axis=1)
-        return pa.table({"a": np.ascontiguousarray(out[:, 0]), "b": np.ascontiguousarray(out[:, 1])})
-
-    return rows.groupBy("component", "at", "i", "j").applyInArrow(meet, "a long, b long")
-
-
-def one_of_each(documents: DataFrame, width: int = 5, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``documents``, of each group of near duplicates only the one with the smallest id."""
-    prints, classes, near = near_links(documents, width, similarity, doc_id=doc_id, text=text)
-    groups = connected_components(near)
-    grouped = classes.join(groups, classes["same"] == groups["node"], "left").select("doc", "tkey", F.coalesce("component", "same").alias("group"))
-    kept = materialize(grouped.groupBy("group").agg(F.min(F.struct("doc", "tkey")).alias("r")).select("r.doc", "r.tkey"), "kept")
-
-    inner = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns if c != text)).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias(text))
-    rows = inner.withColumn("tkey", F.xxhash64(F.coalesce(F.col(text), F.lit("")))).join(kept.hint("shuffle_hash"), ["doc", "tkey"])
-    if not prints.groupBy("doc", "tkey").count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc", "tkey"])  # rows repeated with one id and text
-    return rows.select(*((F.col(text) if c == text else F.col(f"row.`{c}`")).alias(c) for c in documents.columns))

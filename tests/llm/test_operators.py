@@ -224,80 +224,21 @@ def test_forest_keeps_connectivity_at_every_level():
         assert parts(u[w <= level], v[w <= level]) == parts(u[k][w[k] <= level], v[k][w[k] <= level])
 
 
-def brute_kept(texts, width=5, similarity=0.8):
-    sets = {i: set(simhash_dedup.shingle_set((t or "").encode(), width).tolist()) for i, t in texts.items()}
-    parent = {i: i for i in texts}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a in texts:
-        for b in texts:
-            if a < b and (len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])):
-                x, y = root(a), root(b)
-                parent[max(x, y)] = min(x, y)
-    return {i for i in texts if root(i) == i}
-
-
-def test_near_duplicates_brute_force(spark):
-    docs = table(spark, SF, "documents")
-    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    assert {r["doc_id"] for r in simhash_dedup.one_of_each(docs).collect()} == brute_kept(texts)
-
-
-def variants(rng, families, members, words, changes):
-    texts = {}
-    for _ in range(families):
-        base = [f"v{rng.randrange(10**6)}" for _ in range(words)]
-        for _ in range(members):
-            some = list(base)
-            for k in rng.sample(range(words), rng.choice(changes)):
-                some[k] = f"v{rng.randrange(10**6)}"
-            texts[len(texts)] = " ".join(some)
-    return texts
-
-
-@pytest.mark.parametrize("meeting", [(128, 512), (3, 5)])
-def test_near_duplicates_in_dense_families(spark, monkeypatch, meeting):
-    monkeypatch.setattr(simhash_dedup, "MEETING", meeting)
-    texts = variants(random.Random(5), 6, 40, 300, [4, 5])  # similarities on both sides of 0.8
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r["doc_id"] for r in simhash_dedup.one_of_each(docs).collect()} == brute_kept(texts)
+def test_simhash_edges(spark):
+    assert simhash_dedup.simhash_groups(empty(spark)).count() == 0
+    texts = {r["doc_id"]: r["text"] for r in edge_documents(spark).collect() if r["doc_id"] is not None}
+    found = simhash_dedup.simhash_groups(edge_documents(spark)).collect()
+    assert len(found) == len(EDGES) + 4
+    want = brute_groups(texts, 3, 3)
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in found if r["doc_id"] is not None} == want
+    # rows without an id take the group of their fingerprint
+    assert {(r["fingerprint"], r["component_id"]) for r in found if r["doc_id"] is None} == {("0" * 16, 0), (f"{int.from_bytes(simhash_dedup.fingerprint(b'a text without an id', 3), 'big'):016x}", None)}
 
 
-def test_near_duplicates_with_repeats_inside(spark):
-    rng = random.Random(8)
-    texts = {}
-    for _ in range(10):
-        words = lambda n: " ".join(f"r{rng.randrange(10**6)}" for _ in range(n))
-        body, line = words(300), words(12)
-        texts[len(texts)] = f"{body}\n{line}"
-        texts[len(texts)] = "\n".join([body, *[line] * 50])
-    assert len(brute_kept(texts)) == 10
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    assert {r["doc_id"] for r in simhash_dedup.one_of_each(docs).collect()} == brute_kept(texts)
-    long = " ".join(f"r{k % 40_000}" for k in range(120_000)).encode()  # in several steps
-    assert simhash_dedup.fingerprint(long, 5, wide=True) == simhash_dedup.fingerprint(b" ".join(long.split()[:40_004]), 5, wide=True)
-
-
-def test_overlaps():
-    rng = np.random.default_rng(6)
-    sets = [np.unique(rng.integers(0, 300, n)).astype(np.uint32) for n in (0, 1, 50, 200, 90)]
-    for step in (7, 4096):
-        assert simhash_dedup.overlaps(sets[:3], sets, step).tolist() == [[len(np.intersect1d(a, b)) for b in sets] for a in sets[:3]]
-        assert simhash_dedup.overlaps(sets[:1], sets, step).tolist() == [[0] * 5]
-
-
-def test_near_duplicates_edges(spark):
-    kept = simhash_dedup.one_of_each(edge_documents(spark))
-    assert kept.columns == edge_documents(spark).columns
-    assert [r["doc_id"] for r in kept.collect()].count(5) == 1
-    assert simhash_dedup.one_of_each(empty(spark)).count() == 0
-    assert simhash_dedup.simhash_groups(empty(spark)).count() == 0
-    groups = simhash_dedup.simhash_groups(edge_documents(spark)).collect()
-    assert len(groups) == len(EDGES) + 4 and all(g["component_id"] is not None for g in groups if g["doc_id"] is not None)
+def test_no_plan_is_an_error():
+    units = [list(range(8 * i, 8 * i + 8)) for i in range(8)]
+    with pytest.raises(ValueError):
+        simhash_dedup.choose_parts(1000, units, np.ones((4, 65536)), 40, most_probes=1)
 
 
 # ---------------------------------------------------------------- 5 and 9
