@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from notelake.llm.line_dedup import dedup_lines
 from notelake.llm.packing import pack_documents
 from notelake.llm.poisson_mix import mixed_documents
-from notelake.llm.simhash_dedup import one_of_each
+from notelake.llm.near_dups import one_of_each
 from notelake.llm.toxicity import without_toxic
 from notelake.session import scratch, table
 
