@@ -111,7 +111,7 @@ def test_topk_edges(spark):
     frame = spark.createDataFrame([(*v, 1) for v in vectors], "vec_id long, embedding array<float>, label int")
     found = sorted(tuple(r) for r in bitsliced_topk.nearest(frame).collect())
     big = 64 * 1_000_000
-    assert [f for f in found if f[0] == 0] == [(0, 1, 8, 64 * big), (0, 2, 1, 2048), (0, 3, 20, 2048), (0, 4, 9, -32)]
+    assert [f for f in found if f[0] == 0] == [(0, 1, 8, 64 * big), (0, 2, 1, 2048), (0, 3, 1, 2048), (0, 4, 20, 2048), (0, 5, 9, -32)]
     assert bitsliced_topk.nearest(frame.where("vec_id is null")).count() == 0
 
 
@@ -121,7 +121,28 @@ def test_topk_blocks_do_not_matter(spark):
     rows = bitsliced_topk.quantised(frame)
     asked = rows.where("id % 20 = 0")
     whole = sorted(map(tuple, bitsliced_topk.top_k(rows, asked).collect()))
-    assert whole == sorted(map(tuple, bitsliced_topk.top_k(rows, asked, rows_in_block=37, queries_in_group=3).collect()))
+    assert whole == sorted(map(tuple, bitsliced_topk.top_k(rows, asked, rows_in_block=37, queries_in_group=(3, 3)).collect()))
+
+
+def test_topk_as_the_sql_counts_repeated_ids_and_rows(spark):
+    rng = np.random.default_rng(7)
+    rows = [(int(i), rng.integers(-200, 200, int(n)).astype(float).tolist()) for i, n in zip(rng.integers(0, 60, 300), rng.choice([3, 4], 300))]
+    rows += rows[:40] + [(20, rows[0][1]), (20, [1.5, 2.0, -3.0]), (20, [1.5, 2.0, -3.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    embeddings = frame.toPandas()  # noqa: F841
+    want = sorted(tuple(map(int, r)) for r in duckdb.connect().sql(bitsliced_topk.ORACLE_SQL).fetchall())
+    found = sorted(tuple(r) for r in bitsliced_topk.nearest(frame).select("query_id", "rank", "vec_id", "score").collect())
+    assert found == want and any(r[0] == 20 for r in found) and not any(r[0] == r[2] for r in found)
+
+
+def test_topk_is_exact_up_to_a_long(spark):
+    frame = lambda *rows: spark.createDataFrame(list(rows), "vec_id long, embedding array<double>")
+    found = bitsliced_topk.nearest(frame((0, [2.0**24, 1.0]), (1, [2.0**25 + 1, -(2.0**24)]), (2, [-(2.0**25), 3.5]))).collect()
+    want = {i: 2**30 * int(x * 64) + 64 * int(y * 64) for i, x, y in ((1, 2**25 + 1, -(2**24)), (2, -(2**25), 3.5))}
+    assert [(r["vec_id"], r["score"]) for r in found] == [(1, want[1]), (2, want[2])]
+    for rows in ([(0, [2.0**58]), (1, [0.0])], [(0, [2.0**40]), (1, [2.0**30])]):
+        with pytest.raises(Exception, match="beyond a long"):
+            bitsliced_topk.nearest(frame(*rows)).collect()
 
 
 # ---------------------------------------------------------------- 3
