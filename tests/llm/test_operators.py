@@ -152,7 +152,7 @@ def test_warc_round_trip(spark, tmp_path):
     big, small = "<p>é\r\n\r\n</p>" * 200, "tiny"
     pages = spark.createDataFrame([(1, "u1", big, 0), (5, "u5", big, 0), (3, "u3", big, 0), (2, None, small, 0), (4, "u4", small, 0), (6, "u6", None, 0), (7, "u7", None, 0), (None, "n", "x", 0), (9, "u", "z" * 1000, 0), (9, "u", "z" * 1000, 0)], "page_id long, url string, html string, address int")
     store = warc_store.archive(pages)
-    assert spark.read.parquet(store.payloads).count() == 2
+    assert spark.read.parquet(store.payloads).count() == 5  # every distinct payload once, large or small
     told = {r["page_id"]: r for r in warc_store.restore(spark, store).collect()}
     assert {k: (v["record_type"], v["refers_to"]) for k, v in told.items()} == {1: ("revisit", 5), 5: ("response", None), 3: ("revisit", 5), 2: ("response", None), 4: ("response", None), 6: ("response", None), 7: ("response", None), None: ("response", None), 9: ("response", None)}
     assert told[1]["payload_digest"] == hashlib.sha1(big.encode()).hexdigest() and told[1]["payload_bytes"] == len(big.encode())
@@ -166,6 +166,25 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc_store.archived(pages.limit(0)).count() == 0
 
 
+def test_warc_edges(spark, tmp_path):
+    """Very long and odd payloads, a target that looks like header lines, clashing columns; a damaged store is refused."""
+    odd = ["\x00\r\n\r\n\u2028Content-Length: 3\r\n", "é" * 500, "a" * 999, "y" * 3_000_000, "\r\n\r\n"]
+    url = "http://x/\r\nContent-Length: 1\u2028Content-Length: 2\u0085WARC-Refers-To: <urn:page:1>"
+    rows = [(i, url, odd[i % len(odd)], "r", "a", "s", 1) for i in range(11)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, record string, address string, sha1 string, payload_bytes int").repartition(3)
+    found = {r["page_id"]: r for r in warc_store.archived(pages).collect()}
+    for i, r in found.items():
+        data = odd[i % 5].encode()
+        top = max(k for k in range(11) if k % 5 == i % 5)
+        again = top if len(data) >= 1000 and top != i else None
+        assert (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) == (len(data), hashlib.sha1(data).hexdigest(), "revisit" if again is not None else "response", again)
+    store = warc_store.archive(pages)
+    damaged = warc_store.Archive(str(tmp_path / "payloads"), store.records)
+    spark.read.parquet(store.payloads).withColumn("payload", warc_store.F.overlay("payload", warc_store.F.lit(b"!"), 1)).write.parquet(damaged.payloads)
+    with pytest.raises(Exception, match="does not match its digest"):
+        warc_store.restore(spark, damaged).collect()
+
+
 # ---------------------------------------------------------------- 4
 
 
