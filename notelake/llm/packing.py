@@ -9,7 +9,8 @@ solved on that histogram in the driver, in time and memory that depend on C alon
   most, then the largest that fits; two at most, if the largest single one outweighs every pair);
 * best fit decreasing for the rest, over runs of equally filled sequences.
 
-The plan is a list of segments: the pieces of one length with ranks [r, r + n) go to sequences
+Every step of the two uses up a length, or a run of sequences of one filling, so their number depends on C
+alone, however many pieces there are. The plan is a list of segments: the pieces of one length with ranks [r, r + n) go to sequences
 s, s + 1, ... at one offset. Ranks need no sort: each task numbers its own pieces of each length,
 and the counts by task and length give each task its first rank.
 
@@ -141,8 +142,9 @@ class Plan:
                 two = len(small) < 3 or small[0] + small[1] + small[2] > room
                 pair = self._pair(room, j) if two and not (exact or one) else None
                 if exact or one or (pair is not None and partner >= pair):
-                    # each set is tested again with what is then left, but for exact complements
-                    self._fix((j, partner), times if exact else 1)
+                    # the test sees which lengths are left, and of each whether that is one, two, three or more:
+                    # while four of both lengths remain it ends the same, so so many sets are fixed at once
+                    self._fix((j, partner), times if exact else max(1, times - 4))
                     continue
                 break
         return self.sequences

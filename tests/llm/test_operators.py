@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -463,6 +464,44 @@ def test_ids_are_the_tokenizer_s(spark):
         assert np.frombuffer(ids, dtype="<u4").tolist() == plain.encode(t, add_special_tokens=False).ids
 
 
+def test_ids_of_random_text():
+    """Letters, marks, digits, signs and blanks of the Latin blocks and beyond, against the library."""
+    from tokenizers import Tokenizer
+
+    from notelake.llm.bpe import encoder
+
+    plain, rng = Tokenizer.from_file(packing.default_tokenizer()), random.Random(11)
+    pools = ["abcdefghij", "etaoinshrdlu ETAOIN", "0123456789", " \t\n\r\x0b\x0c\x1c\x85\xa0\u2009", "'stremvld", "".join(map(chr, range(0xA0, 0x180))), "!#$%&()*+-./:;<=>?@[]^_`{|}~", "ÀÉÎÕÜßſıİ\u0301\u0308ﬁ", "日本語한국어العربيةдруг😀𝒳", "<|endoftext|>"]
+    texts = ["".join(rng.choice(rng.choice(pools[: rng.choice([2, 7, 10])])) for _ in range(rng.randrange(1, 80))) for _ in range(4000)]
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(ids, dtype="<u4").tolist() for ids in encoder(packing.default_tokenizer()).encode(texts)] == want
+
+
+def test_pieces_of_all_documents_are_the_library_s(spark):
+    """start, length and digest of every piece of a whole table, and the places without gaps."""
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(packing.default_tokenizer())
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text").collect()
+    want = {}
+    for r, e in zip(docs, plain.encode_batch([r["text"] or "" for r in docs], add_special_tokens=False)):
+        ids = np.array([*e.ids, 1], dtype="<u4")
+        for k, lo in enumerate(range(0, len(ids), 4096)):
+            want[r["doc_id"], k] = (lo, len(ids[lo : lo + 4096]), zlib.crc32(ids[lo : lo + 4096].tobytes()))
+    rows = queries.queries()["op10_packing"](spark, "/root/testdata/sf0.01").collect()
+    assert {(r["doc_id"], r["piece"]): (r["start"], r["length"], r["ids_crc32"]) for r in rows} == want and len(rows) == len(want)
+    assert check_packing(rows, 4096) <= 1.02 * -(-sum(x[1] for x in want.values()) // 4096) + 1
+
+
+def test_the_plan_does_not_grow_with_the_pieces():
+    rng = random.Random(1)
+    for counts in ({2500: 2 * 10**9, 1500: 10**9, 1400: 10**9}, {n: rng.randrange(1, 10**6) for n in range(1, 4097)}, {n: 10**6 for n in range(1400, 4097)}, {1: 10**9, 3000: 10**7, 4095: 10**6}):
+        began = time.process_time()
+        plan = packing.Plan(counts, 4096)
+        assert len(plan.segments) < 3 * 4096 and time.process_time() - began < 10
+        assert sum(n * length for length, _, n, _, _ in plan.segments) == sum(n * length for length, n in counts.items())
+
+
 def check_packing(rows, capacity):
     by: dict = {}
     for r in rows:
