@@ -33,9 +33,10 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notelake.llm.sieve import sieve, sifted
 from notelake.llm.simhash_dedup import BLOCK, NO_ID, TAU, _ones, dealt, forest, keyed, links
 from notelake.operators.components import connected_components
 from notelake.session import materialize, partitions, ship
@@ -50,8 +51,8 @@ SALTED = 10_000
 SMALL = 16
 #: Members of a component of candidates that meet in one task, of either side.
 MEETING = (128, 512)
-#: Bits of a parity bitmap, in longs, and of the filter that keeps texts out of a join.
-LONGS, FILTER = 8, 1 << 24
+#: Bits of a parity bitmap, in longs.
+LONGS = 8
 MAPS = [f"m{k}" for k in range(LONGS)]
 
 
@@ -341,27 +342,10 @@ def _verified(pairs: DataFrame, words: DataFrame, bound: Similarity) -> DataFram
     return both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
 
 
-def _bit(key: Column) -> tuple[Column, Column]:
-    at = F.pmod(key, F.lit(FILTER))
-    return F.floor(at / 64).cast("int"), F.expr("shiftleft(1L, cast(pmod(tkey, 64) as int))")
-
-
-def _filter(rows: DataFrame) -> DataFrame:
-    """word, bits: a bitmap of the ``tkey`` of some rows, of 2**18 rows at most, whatever their number."""
-    word, bit = _bit(F.col("tkey"))
-    return rows.select(word.alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-
-
-def _maybe(rows: DataFrame, bits: DataFrame) -> DataFrame:
-    """``rows`` with ``maybe``: false only if its tkey is not one of those of the filter."""
-    word, bit = _bit(F.col("tkey"))
-    return rows.withColumn("word", word).join(F.broadcast(bits), "word", "left").withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))).drop("word", "bits")
-
-
 def _words_of(documents: DataFrame, classes: DataFrame, ends: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
     """node, words: the sets of the classes that ``ends`` names. Only their texts, and few others, are moved."""
     wanted = materialize(classes.join(ends, "node", "left_semi").select("node", "doc", "tkey"), "wanted")
-    texts = _maybe(keyed(documents, doc_id, text), _filter(wanted)).where("maybe").drop("maybe")
+    texts = sifted(keyed(documents, doc_id, text), sieve(wanted, "tkey"), "tkey").where("maybe").drop("maybe")
     gathered = texts.join(wanted, ["doc", "tkey"]).select("node", "text")
     return materialize(gathered.mapInArrow(_sets(width), "node long, words binary").dropDuplicates(["node"]), "sets")
 
@@ -473,10 +457,10 @@ def one_of_each(documents: DataFrame, width: int = 5, similarity: float = 0.8, d
     kept = materialize(grouped.groupBy("grp").agg(F.min(F.struct("doc", "tkey")).alias("r"), F.count("*").alias("n")).select("r.doc", "r.tkey"), "kept")
     repeated = prints.groupBy("doc", "tkey").agg(F.count("*").alias("n"))
     crowd = repeated.join(kept.withColumn("stays", F.lit(True)), ["doc", "tkey"], "left").where("n > 1 or stays is null").select("tkey")
-    bits = materialize(_filter(crowd), "crowd")
+    bits = materialize(sieve(crowd, "tkey"), "crowd")
 
     inner = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns if c != text)).alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text).alias(text))
-    rows = _maybe(inner.withColumn("tkey", F.xxhash64(F.coalesce(F.col(text), F.lit("")))), bits)
+    rows = sifted(inner.withColumn("tkey", F.xxhash64(F.coalesce(F.col(text), F.lit("")))), bits, "tkey")
     chosen = rows.where("maybe").join(kept, ["doc", "tkey"]).dropDuplicates(["doc", "tkey"])
     out = rows.where("not maybe").select("row", text).unionByName(chosen.select("row", text))
     return out.select(*((F.col(text) if c == text else F.col(f"row.`{c}`")).alias(c) for c in documents.columns))
