@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Commits of more files than this tell nothing about coupling.
@@ -23,7 +23,8 @@ def owners(changes: DataFrame) -> DataFrame:
 
 def coupling(changes: DataFrame, wide: int = WIDE, least: int = 2) -> DataFrame:
     """a, b, commits of files changed together; wide commits are left out, so a commit yields few pairs."""
-    narrow = changes.groupBy("sha").agg(F.collect_set("file").alias("files"), F.count("*").alias("n")).where(F.col("n") <= wide)
+    few = changes.groupBy("sha").agg(F.count("*").alias("n")).where(F.col("n") <= wide)  # counted first: a wide commit is gathered nowhere
+    narrow = changes.join(few.select("sha"), "sha", "left_semi").groupBy("sha").agg(F.collect_set("file").alias("files"))
     sides = F.flatten(F.transform("files", lambda a: F.transform(F.filter("files", lambda b: a < b), lambda b: F.struct(a.alias("a"), b.alias("b")))))
     return narrow.select(F.explode(sides).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("commits")).where(F.col("commits") >= least)
 
@@ -57,28 +58,6 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, when: str, value
     return both.withColumn("v", F.last("v", ignorenulls=True).over(order)).where("side = 1").select("row.*", F.col("v").alias(value))
 
 
-def verdict(present: Column, symbol: Column, symbol_now: Column, hash_then: Column, hash_now: Column, line_then: Column, line_now: Column) -> Column:
-    """The ladder of a citation: file gone, symbol gone, body changed, line moved, fine; body before line."""
-    return (
-        F.when(~present, "broken")
-        .when((symbol != "") & ~symbol_now, "broken")
-        .when(hash_then.isNotNull() & (hash_then != hash_now), "suspect")
-        .when((symbol != "") & (line_then != 0) & (line_then != line_now), "repaired")
-        .otherwise("ok")
-    )
-
-
-def drift(refs: DataFrame, now: DataFrame, then: DataFrame) -> DataFrame:
-    """refs(note, pos, repo, path, symbol, line) with verdict. now, then: repo, path, symbol, start, body_hash; symbol '' is the file."""
-    files = now.select("repo", "path").distinct().withColumn("present", F.lit(True))
-    head = now.select("repo", "path", "symbol", F.col("start").alias("line_now"), F.col("body_hash").alias("hash_now"))
-    base = then.select("repo", "path", "symbol", F.col("body_hash").alias("hash_then"))
-    rows = refs.join(files, ["repo", "path"], "left").join(head, ["repo", "path", "symbol"], "left").join(base, ["repo", "path", "symbol"], "left")
-    return rows.withColumn(
-        "verdict", verdict(F.coalesce("present", F.lit(False)), F.col("symbol"), F.col("hash_now").isNotNull(), F.col("hash_then"), F.col("hash_now"), F.col("line"), F.col("line_now"))
-    ).select("note", "pos", "repo", "path", "symbol", "line", "line_now", "verdict")
-
-
 def confidence(notes: DataFrame, findings: DataFrame, demotions: DataFrame) -> DataFrame:
     """slug, action (demoted, restored, stamped), confidence, remembered after a drift run.
 
@@ -97,20 +76,32 @@ def confidence(notes: DataFrame, findings: DataFrame, demotions: DataFrame) -> D
     )
 
 
-def resolve_paths(refs: DataFrame, files: DataFrame) -> DataFrame:
-    """ref_id, status, repo_path: shorthand citations against repository files.
+def resolved_in(refs: DataFrame, files: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """ref_id, n, at: how many files a citation names, the smallest of them; citations that name none have no row.
 
-    An equi join on the basename, then the cited parts in order; the fewest unstated parts win, but a bare
-    file name keeps all its matches and is ambiguous if there are several. refs: ref_id, path, repo ('' any).
+    An equi join on the basename (and on ``by``), then the cited parts in order; the fewest unstated parts win, but a
+    bare file name keeps all its matches. A bare name needs no list of its matches: what it names is counted
+    for each basename and repository first, so that a very common name meets one row.
     """
     from notelake.functions.text import is_subsequence, segments
 
-    want = refs.select("ref_id", F.col("repo").alias("want_repo"), segments(F.col("path")).alias("want")).withColumn("base", F.try_element_at("want", F.lit(-1)))
-    have = files.select(F.col("repo"), F.col("path"), segments(F.col("path")).alias("have")).withColumn("base", F.try_element_at("have", F.lit(-1)))
-    hits = want.join(have, "base").where(((F.col("want_repo") == "") | (F.col("want_repo") == F.col("repo"))) & is_subsequence(F.col("want"), F.col("have")))
-    hits = hits.select("ref_id", F.concat_ws(":", "repo", "path").alias("at"), F.when(F.size("want") == 1, 0).otherwise(F.size("have") - F.size("want")).alias("extra"))
-    best = hits.groupBy("ref_id").agg(F.min("extra").alias("extra"))
-    tight = hits.join(best, ["ref_id", "extra"]).groupBy("ref_id").agg(F.count("*").alias("n"), F.min("at").alias("at"))
+    by = by or []
+    base = lambda c: F.try_element_at(F.col(c), F.lit(-1))
+    want = refs.select("ref_id", *by, F.col("repo").alias("want_repo"), segments(F.col("path")).alias("want")).withColumn("base", base("want"))
+    have = files.select(*by, "repo", "path", segments(F.col("path")).alias("have")).withColumn("base", base("have")).where("base is not null")
+    spot = F.concat_ws(":", "repo", "path")
+    counted = have.groupBy(*by, "base", "repo").agg(F.count("*").alias("n"), F.min(spot).alias("at"))
+    whole = counted.groupBy(*by, "base").agg(F.sum("n").alias("n"), F.min("at").alias("at")).withColumn("want_repo", F.lit(""))
+    bare = want.where(F.size("want") == 1).join(counted.withColumnRenamed("repo", "want_repo").where("want_repo <> ''").unionByName(whole), [*by, "base", "want_repo"]).select("ref_id", "n", "at")
+    # of longer ones the last two parts are not an equality (parts may be left out), the last one is
+    hits = want.where(F.size("want") > 1).join(have, [*by, "base"]).where(((F.col("want_repo") == "") | (F.col("want_repo") == F.col("repo"))) & is_subsequence(F.col("want"), F.col("have")))
+    best = hits.groupBy("ref_id", (F.size("have") - F.size("want")).alias("extra")).agg(F.count("*").alias("n"), F.min(spot).alias("at"))
+    return bare.unionByName(best.groupBy("ref_id").agg(F.min_by(F.struct("n", "at"), "extra").alias("b")).select("ref_id", "b.n", "b.at"))
+
+
+def resolve_paths(refs: DataFrame, files: DataFrame) -> DataFrame:
+    """ref_id, status, repo_path: shorthand citations against repository files. refs: ref_id, path, repo ('' any)."""
+    tight = resolved_in(refs, files)
     return refs.select("ref_id").join(tight, "ref_id", "left").select(
         "ref_id", F.when(F.col("n").isNull(), "unresolved").when(F.col("n") == 1, "resolved").otherwise("ambiguous").alias("status"), F.when(F.col("n") == 1, F.col("at")).alias("repo_path")
     )

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,41 +18,9 @@ from notelake.operators import recall as R
 from notelake.operators import similarity as S
 from notelake.operators import sinks as K
 from notelake.plans import inputs as I
+from notelake.plans.registry import oracle_sql, queries, query
 from notelake.session import table
 
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _with(sql: str) -> str:
-    """Put the views that a statement names before its own."""
-    used = {v for v in I.VIEWS if v in sql}
-    if not used:
-        return sql
-    head, rest = ("with recursive", sql.removeprefix("with recursive")) if sql.startswith("with recursive") else ("with", sql.removeprefix("with ")) if sql.startswith("with ") else ("with", None)
-    views = ", ".join(f"{v} as ({I.VIEWS[v]})" for v in I.VIEWS if v in used)
-    return f"{head} {views}, {rest}" if rest is not None else f"{head} {views} {sql}"
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql is not None:
-            _SQL[name] = _with(sql.strip())
-        return f
-
-    return put
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
 def _list(values: list[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
 
@@ -316,53 +282,6 @@ def dangling_links(spark, sf):
     return L.resolve(I.page_links(spark, sf), I.page_paths(spark, sf)).where("rel is null").groupBy("src").agg(F.count("*").alias("dangling"))
 
 
-_EDGES = """e as (select 'f' || l_partkey || '.md' as src, 'f' || (l_partkey * 7 + l_linenumber) % 2500 || '.md' as dst from lineitem where l_quantity > 46 and l_partkey <> (l_partkey * 7 + l_linenumber) % 2500),
-    nodes as (select case when p_size > 45 then '' else 'dir/' end || 'f' || p_partkey || '.md' as rel, 'f' || p_partkey || '.md' as id from part),
-    g as (select a.rel as src, b.rel as dst from e join nodes a on a.id = e.src join nodes b on b.id = e.dst)"""
-
-
-def _graph(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    nodes = table(spark, sf, "part").select(F.concat(F.when(F.col("p_size") > 45, "").otherwise("dir/"), F.lit("f"), "p_partkey", F.lit(".md")).alias("rel"), F.concat(F.lit("f"), "p_partkey", F.lit(".md")).alias("id"))
-    to = (F.col("l_partkey") * 7 + F.col("l_linenumber")) % 2500
-    e = table(spark, sf, "lineitem").where((F.col("l_quantity") > 46) & (F.col("l_partkey") != to)).select(F.concat(F.lit("f"), "l_partkey", F.lit(".md")).alias("src"), F.concat(F.lit("f"), to, F.lit(".md")).alias("dst"))
-    a, b = nodes.select(F.col("rel").alias("a"), F.col("id").alias("src")), nodes.select(F.col("rel").alias("b"), F.col("id").alias("dst"))
-    return nodes.select("rel"), e.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"))
-
-
-_DEGREES = f"""{_EDGES}, d as (select n.rel, coalesce(o.n, 0) as out_degree, coalesce(i.n, 0) as in_degree from nodes n left join (select src, count(*) as n from g group by 1) o on o.src = n.rel
-    left join (select dst, count(*) as n from g group by 1) i on i.dst = n.rel),
-    c as (select *, starts_with(rel, 'moc/') or not contains(rel, '/') or out_degree >= (select greatest(floor(count(*) * 0.10), 5) from nodes) as is_root from d)"""
-
-
-@query("degrees", f"with {_DEGREES} select rel, out_degree, in_degree, is_root, in_degree = 0 and not is_root as is_orphan from c")
-def degrees(spark, sf):
-    return L.degrees(*_graph(spark, sf))
-
-
-@query("orphans", f"with {_DEGREES} select rel from c where in_degree = 0 and not is_root")
-def orphans(spark, sf):
-    return L.degrees(*_graph(spark, sf)).where("is_orphan").select("rel")
-
-
-_NEAR = """e as (select distinct l_orderkey % 4000 as a, 4000 + l_partkey as b from lineitem where l_quantity > 49 and l_linenumber = 1),
-    u as (select a, b from e union select b, a from e), n as (select a as x from u union select b from u),
-    recursive_walk(x, y) as (select x, x from n union select w.x, u.b from recursive_walk w join u on u.a = w.y)"""
-
-
-@query("components", f"with recursive {_NEAR} select x as node, min(y) as component from recursive_walk group by x")
-def components(spark, sf):
-    lines = table(spark, sf, "lineitem").where("l_quantity > 49 and l_linenumber = 1")
-    from notelake.operators.components import connected_components
-
-    return connected_components(lines.select((F.col("l_orderkey") % 4000).alias("a"), (F.col("l_partkey") + 4000).alias("b")))
-
-
-@query("component_sizes", f"with recursive {_NEAR}, m as (select x, min(y) as component from recursive_walk group by x), t as (select count(*) as n from m) select component, count(*) as size, count(*) / max(t.n) as share from m, t group by component")
-def component_sizes(spark, sf):
-    members = components(spark, sf).select(F.col("node").alias("rel"), "component")
-    return L.component_sizes(members, members.select("rel", F.lit(False).alias("is_root"))).select("component", "size", "share")
-
-
 # ------------------------------------------------------------------ history
 
 
@@ -420,55 +339,6 @@ def asof_revision(spark, sf):
     return H.as_of(left, right, "user_id", "ts", "at", "revision").select("event_id", "revision")
 
 
-_SNAP = """select l_linestatus as repo, 'f' || (l_partkey % 300) as path, case when l_linenumber = 1 then '' else 's' || l_linenumber end as symbol, min(l_suppkey) as start, md5(cast(max(cast(l_quantity as integer)) as varchar)) as body_hash
-    from lineitem where l_orderkey % 29 = {0} group by 1, 2, 3"""
-_REFS = "select 'n' || l_suppkey as note, l_orderkey * 10 + l_linenumber as pos, l_linestatus as repo, 'f' || (l_partkey % 300) as path, case when l_linenumber = 1 then '' else 's' || l_linenumber end as symbol, l_suppkey as line from lineitem where l_orderkey % 29 in (3, 5)"
-_DRIFT = f"""n as ({_SNAP.format(3)}), t as ({_SNAP.format(7)}), r as ({_REFS}), f as (select distinct repo, path from n),
-    v as (select r.*, n.start as line_now, case when f.path is null then 'broken' when r.symbol <> '' and n.body_hash is null then 'broken' when t.body_hash <> n.body_hash then 'suspect'
-        when t.body_hash is not null and n.body_hash is null then 'ok' when r.symbol <> '' and r.line <> 0 and r.line <> n.start then 'repaired' else 'ok' end as verdict
-        from r left join f using (repo, path) left join n using (repo, path, symbol) left join t using (repo, path, symbol))"""
-
-
-def _drift(spark: SparkSession, sf: str) -> DataFrame:
-    li = table(spark, sf, "lineitem")
-    named = lambda d: d.select(F.col("l_linestatus").alias("repo"), F.concat(F.lit("f"), F.col("l_partkey") % 300).alias("path"), F.when(F.col("l_linenumber") == 1, "").otherwise(F.concat(F.lit("s"), "l_linenumber")).alias("symbol"), "l_suppkey", "l_quantity", "l_orderkey", "l_linenumber")
-    snap = lambda k: named(li.where(F.col("l_orderkey") % 29 == k)).groupBy("repo", "path", "symbol").agg(F.min("l_suppkey").alias("start"), F.md5(F.max(F.col("l_quantity").cast("int")).cast("string")).alias("body_hash"))
-    refs = named(li.where((F.col("l_orderkey") % 29).isin(3, 5))).select(F.concat(F.lit("n"), "l_suppkey").alias("note"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), "repo", "path", "symbol", F.col("l_suppkey").alias("line"))
-    return H.drift(refs, snap(3), snap(7))
-
-
-@query("drift_ladder", f"with {_DRIFT} select note, pos, repo, path, symbol, line, line_now, verdict from v")
-def drift_ladder(spark, sf):
-    return _drift(spark, sf)
-
-
-@query("drift_counts", f"with {_DRIFT} select verdict, count(*) as findings, count(distinct note) as notes from v group by verdict")
-def drift_counts(spark, sf):
-    return _drift(spark, sf).groupBy("verdict").agg(F.count("*").alias("findings"), F.count_distinct("note").alias("notes"))
-
-
-@query("first_broken", f"with {_DRIFT} select note, min(pos) as pos, arg_min(path, pos) as path from v where verdict = 'broken' group by note")
-def first_broken(spark, sf):
-    return _drift(spark, sf).where("verdict = 'broken'").groupBy("note").agg(F.min("pos").alias("pos"), F.min_by("path", "pos").alias("path"))
-
-
-_CONF = "c as (select 'n' || s_suppkey as slug, case s_suppkey % 4 when 0 then 'high' when 1 then 'medium' when 2 then 'low' else '' end as confidence from supplier), m as (select 'n' || s_suppkey as slug, 'high' as prior from supplier where s_suppkey % 3 = 0)"
-
-
-@query(
-    "confidence_transitions",
-    f"""with {_DRIFT}, {_CONF}, b as (select note as slug, bool_or(verdict = 'broken') as broken from v where pos % 4 = 0 group by note),
-    a as (select slug, confidence, prior, case when broken and confidence not in ('', 'low') and prior is null then 'demoted' when not broken and prior is not null then 'restored' else 'stamped' end as action from c join b using (slug) left join m using (slug))
-    select slug, action, case action when 'demoted' then 'low' when 'restored' then prior else confidence end as confidence, case action when 'demoted' then confidence when 'restored' then null else prior end as remembered from a""",
-)
-def confidence_transitions(spark, sf):
-    s = table(spark, sf, "supplier")
-    slug = F.concat(F.lit("n"), "s_suppkey").alias("slug")
-    notes = s.select(slug, F.element_at(F.array(*map(F.lit, ["high", "medium", "low", ""])), (F.col("s_suppkey") % 4 + 1).cast("int")).alias("confidence"))
-    findings = _drift(spark, sf).where("pos % 4 = 0").select(F.col("note").alias("slug"), "pos", "verdict")
-    return H.confidence(notes, findings, s.where("s_suppkey % 3 = 0").select(slug, F.lit("high").alias("prior")))
-
-
 @query(
     "path_resolution",
     """with f as (select 'r' || (p_partkey % 3) as repo, 'src/' || lower(p_brand) || '/' || lower(p_type) || '/' || 'F' || (p_partkey % 60) || '.java' as path from part),
@@ -634,64 +504,6 @@ def alias_rewrite(spark, sf):
 # ------------------------------------------------------------------ gates
 
 
-def _contracts(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("doc_id")
-    some = lambda n, bad, good: F.when(k % n == 0, F.lit(bad)).otherwise(F.lit(good))
-    return table(spark, sf, "documents").select(
-        F.concat(F.lit("n"), k).alias("rel"), F.when(k % 9 == 0, "ab").when(k % 9 == 1, F.repeat(F.lit("x"), 130)).otherwise("A title").alias("title"), F.when(k % 8 == 0, "Bad Slug").when(k % 8 == 1, F.lit(None)).otherwise("good-slug").alias("slug"),
-        some(7, "essay", "howto").alias("type"), F.when(k % 6 == 0, F.array(F.lit("Java"), F.lit("k8s"))).when(k % 6 == 1, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.lit("java"), F.lit("cobol"))).alias("stack"),
-        F.when(k % 5 == 0, F.array(F.lit("Bad Tag"))).otherwise(F.array(F.lit("ok"))).alias("tags"), F.when(k % 4 == 0, "9").when(k % 4 == 1, "x").otherwise("3").alias("depth"), some(3, "certain", "high").alias("confidence"),
-        F.lit("2024-02-10").alias("created"), F.when(k % 11 == 0, "2024-02-30").when(k % 11 == 1, "2024-01-01").otherwise("2024-03-01").alias("updated"), F.lit("2024-03-01").alias("verified"), some(13, "0", "90").alias("freshness_days"), some(10, "robot", "ask").alias("origin"),
-    )
-
-
-_ISSUES = """with i as (select 'n' || doc_id as rel, unnest(list_filter([
-    case when doc_id % 8 = 1 then {'key': 'slug', 'code': 'missing'} end, case when doc_id % 9 = 0 then {'key': 'title', 'code': 'too-short'} end, case when doc_id % 9 = 1 then {'key': 'title', 'code': 'too-long'} end,
-    case when doc_id % 8 = 0 then {'key': 'slug', 'code': 'bad-format'} end, case when doc_id % 7 = 0 then {'key': 'type', 'code': 'not-in-enum'} end, case when doc_id % 3 = 0 then {'key': 'confidence', 'code': 'not-in-enum'} end,
-    case when doc_id % 10 = 0 then {'key': 'origin', 'code': 'not-in-enum'} end, case when doc_id % 4 = 1 then {'key': 'depth', 'code': 'not-an-int'} end, case when doc_id % 4 = 0 then {'key': 'depth', 'code': 'out-of-range'} end,
-    case when doc_id % 13 = 0 then {'key': 'freshness_days', 'code': 'out-of-range'} end, case when doc_id % 11 = 0 then {'key': 'updated', 'code': 'bad-date'} end, case when doc_id % 11 = 1 then {'key': 'updated', 'code': 'date-order'} end,
-    case when doc_id % 6 = 1 then {'key': 'stack', 'code': 'too-few'} end, case when doc_id % 6 = 0 then {'key': 'stack', 'code': 'alias'} end, case when doc_id % 6 = 0 then {'key': 'stack', 'code': 'not-lowercase'} end,
-    case when doc_id % 6 > 1 then {'key': 'stack', 'code': 'not-in-vocabulary'} end, case when doc_id % 5 = 0 then {'key': 'tags', 'code': 'not-lowercase'} end, case when doc_id % 5 = 0 then {'key': 'tags', 'code': 'bad-item'} end],
-    lambda x: x is not null)) as x from documents)"""
-
-
-@query("validate_issues", _ISSUES + " select rel, x.key as key, x.code as code from i")
-def validate_issues(spark, sf):
-    return G.issues(_contracts(spark, sf), ["java", "go"], {"k8s": "kubernetes"})
-
-
-@query("issue_counts", _ISSUES + " select x.key as key, x.code as code, count(*) as n from i group by 1, 2")
-def issue_counts(spark, sf):
-    return validate_issues(spark, sf).groupBy("key", "code").agg(F.count("*").alias("n"))
-
-
-_GATES = f"""with g as (select doc_id as draft, unnest([
-    {{'gate': 'schema', 'verdict': case when doc_id % 3 = 0 then 'fail' else 'pass' end, 'remedy': 'fix-pass', 'detail': case when doc_id % 3 = 0 then '2 issues' else '' end}},
-    {{'gate': 'citation', 'verdict': case when doc_id % 4 < 2 then 'fail' else 'pass' end, 'remedy': 'tag-unverified', 'detail': case when doc_id % 4 < 2 then (doc_id % 4) || ' sources' else '' end}},
-    {{'gate': 'freshness', 'verdict': case when doc_id % 200 > 90 then 'fail' else 'pass' end, 'remedy': 'force-medium', 'detail': case when doc_id % 200 > 90 then 'past its freshness window' else '' end}},
-    {{'gate': 'antislop', 'verdict': case when contains(lower(text), 'in conclusion') or contains(lower(text), 'leverage') or doc_id % 5 = 0 then 'fail' else 'pass' end, 'remedy': 'rewrite-pass', 'detail': case when doc_id % 5 = 0 then 'no fenced code block' else '' end}},
-    {{'gate': 'link', 'verdict': case when doc_id % 7 = 0 then 'fail' else 'pass' end, 'remedy': 'relink', 'detail': case when doc_id % 7 = 0 then '1 dangling' else '' end}},
-    {{'gate': 'duplicate', 'verdict': 'pass', 'remedy': 'merge', 'detail': ''}}]) as o from documents)"""
-
-
-def _outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    d = table(spark, sf, "documents")
-    k = F.col("doc_id")
-    drafts = d.select(k.alias("draft"), F.when(k % 5 == 0, "howto").otherwise("concept").alias("type"), F.col("text").alias("body"), (k % 4).alias("n_sources"), F.lit(2).alias("source_floor"), (F.lit(I.ASK_NOW_S) - (k % 200) * 86_400).alias("verified_s"), F.lit(90).alias("freshness_days"))
-    facts = lambda n, v: d.where(k % n == 0).select(k.alias("draft"), F.lit(v).alias("n"))
-    return G.outcomes(drafts, facts(3, 2), facts(7, 1), facts(10**12, 0), I.ASK_NOW_S)
-
-
-@query("gate_outcomes", _GATES + " select draft, o.gate as gate, o.verdict as verdict, o.remedy as remedy, o.detail as detail from g")
-def gate_outcomes(spark, sf):
-    return _outcomes(spark, sf)
-
-
-@query("quarantine", _GATES + " select draft, bool_or(o.verdict = 'fail' and o.remedy not in ('tag-unverified', 'force-medium')) as quarantine from g group by draft")
-def quarantine(spark, sf):
-    return G.quarantined(_outcomes(spark, sf))
-
-
 @query(
     "link_status_rollup",
     """with u as (select page_id, url, case page_id % 5 when 0 then 200 when 1 then 404 when 2 then 301 when 3 then 500 end as code from pages),
@@ -728,3 +540,10 @@ def upsert_rows(spark, sf):
 def managed_blocks(spark, sf):
     text = F.when(F.col("page_id") % 2 == 0, "a\n").otherwise("a\n<b>\nold\nlines\n</b>\nz")
     return table(spark, sf, "pages").select("page_id", K.put_block(text, "<b>", "</b>", F.col("url")).alias("text"))
+
+
+# the queries of the other modules put themselves down where they are imported
+from notelake.plans import codebase as _codebase  # noqa: E402, F401
+from notelake.plans import contracts as _contracts  # noqa: E402, F401
+
+__all__ = ["oracle_sql", "queries"]

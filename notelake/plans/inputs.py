@@ -15,12 +15,12 @@ VIEWS = {
     "notes": """select 'notes/' || lpad(cast(doc_id as varchar), 8, '0') || '.md' as rel, doc_id, text as body, lang, source,
         array_to_string(list_filter(string_split_regex(text, '[ \\t\\r\\n]+'), lambda w: w <> '')[1:8], ' ') as title from documents""",
     "changes": "select l_orderkey as sha, 'c' || o_custkey as author, 'f' || l_partkey as file from lineitem join orders on l_orderkey = o_orderkey",
-    "cited": "select distinct 'f' || l_partkey as file, 'n' || l_suppkey as note from lineitem where l_returnflag = 'R' and l_quantity > 40",
+    "cited": "select distinct 'f' || l_suppkey as file, 'n' || l_partkey as note from lineitem",
     "code_files": "select 'f' || p_partkey as file, p_brand as dir, p_type as symbol, p_size as lines from part",
-    "asks": "select event_id, 'ask' as event, event_type || '-' || (user_id % 40) as topic, user_id, ts, epoch(ts) as ts_s, value from events where event_type <> 'error'",
-    "slugs": "select distinct event_type || '-' || (user_id % 40) as slug from events where user_id % 2 = 0",
+    "asks": "select event_id, 'ask' as event, event_type || '-' || user_id as topic, user_id, ts, epoch(ts) as ts_s, value from events where event_type <> 'error'",
+    "slugs": "select distinct kind || '-' || user_id as slug from events, (values ('click'), ('view'), ('purchase')) k(kind) where event_type in ('signup', 'error')",
     "page_links": "select 'pages/' || page_id || '.md' as src, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as target from pages",
-    "page_paths": "select 'pages/' || page_id || '.md' as rel from pages union all select distinct 'words/' || list_extract(string_split_regex(text, '[ \\t\\r\\n]+'), 1) || '.md' as rel from documents where doc_id % 3 = 0",
+    "page_paths": "select 'pages/' || page_id || '.md' as rel from pages union all select distinct 'words/' || list_extract(string_split_regex(text, '[ \\t\\r\\n]+'), 1) || '.md' as rel from documents",
     "order_notes": "select 'o' || o_orderkey as rel, strftime(o_orderdate, '%Y-%m-%d') as verified, cast(epoch(o_orderdate) as bigint) as verified_s, (o_orderkey % 4) * 365 as freshness_days from orders",
 }
 
@@ -39,7 +39,7 @@ def changes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def cited(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").where("l_returnflag = 'R' and l_quantity > 40").select(F.concat(F.lit("f"), "l_partkey").alias("file"), F.concat(F.lit("n"), "l_suppkey").alias("note")).distinct()
+    return table(spark, sf, "lineitem").select(F.concat(F.lit("f"), "l_suppkey").alias("file"), F.concat(F.lit("n"), "l_partkey").alias("note")).distinct()
 
 
 def code_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -51,12 +51,14 @@ def seconds(column: str):
 
 
 def asks(spark: SparkSession, sf: str) -> DataFrame:
-    topic = F.concat("event_type", F.lit("-"), F.col("user_id") % 40)
+    topic = F.concat("event_type", F.lit("-"), "user_id")
     return table(spark, sf, "events").where("event_type <> 'error'").select("event_id", F.lit("ask").alias("event"), topic.alias("topic"), "user_id", "ts", "value")
 
 
 def slugs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").where("user_id % 2 = 0").select(F.concat("event_type", F.lit("-"), F.col("user_id") % 40).alias("slug")).distinct()
+    """Topics of users who signed up or met an error count as written."""
+    e = table(spark, sf, "events").where("event_type in ('signup', 'error')").select(F.explode(F.array(*map(F.lit, ["click", "view", "purchase"]))).alias("kind"), "user_id")
+    return e.select(F.concat_ws("-", "kind", "user_id").alias("slug")).distinct()
 
 
 def page_links(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,7 +66,7 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def page_paths(spark: SparkSession, sf: str) -> DataFrame:
-    words = table(spark, sf, "documents").where("doc_id % 3 = 0").select(F.concat(F.lit("words/"), F.get(F.split("text", r"[ \t\r\n]+"), F.lit(0)), F.lit(".md")).alias("rel")).distinct()
+    words = table(spark, sf, "documents").select(F.concat(F.lit("words/"), F.get(F.split("text", r"[ \t\r\n]+"), F.lit(0)), F.lit(".md")).alias("rel")).distinct()
     return table(spark, sf, "pages").select(F.concat(F.lit("pages/"), "page_id", F.lit(".md")).alias("rel")).union(words)
 
 
