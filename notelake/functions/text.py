@@ -190,8 +190,9 @@ SYMBOL = r"^([A-Z][A-Za-z0-9_]{2,})(?:\.([A-Za-z_][A-Za-z0-9_]*))?(?:\(\))?$"
 
 def body_refs(body: Column) -> Column:
     """Citations in inline code spans, the first of each spelling, in order."""
-    refs = F.filter(F.transform(F.regexp_extract_all(body, F.lit("`([^`\\n]{1,200})`"), F.lit(1)), span_ref), lambda r: r.isNotNull())
-    return F.filter(refs, lambda r, i: F.array_position(F.transform(refs, lambda x: x["raw"]), r["raw"]) == i + 1)
+    # equal spans are equal citations once trimmed, so the distinct spans in order are the first of each
+    spans = F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit("`([^`\\n]{1,200})`"), F.lit(1)), lambda s: F.trim(s)))
+    return F.filter(F.transform(spans, span_ref), lambda r: r.isNotNull())
 
 
 def canonical_ref(entry: Column) -> Column:

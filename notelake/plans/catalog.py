@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.functions import text as T
 from notelake.functions.dates import week_key
-from notelake.functions.redact import redacted
+from notelake.functions.redact import INTERNAL_URL, STAGES, redaction
 from notelake.functions.score import round3, saturated
 from notelake.operators import asks as A
 from notelake.operators import dataset as X
@@ -143,11 +145,8 @@ def near_dup_minhash(spark, sf):
 
 # ------------------------------------------------------------------ text functions
 
-_R2 = [
-    (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[REDACTED-EMAIL]"),
-    (r"(?:/Users|/home)/[A-Za-z0-9_.-]+(?:/[A-Za-z0-9_.\-]+)*", "[REDACTED-PATH]"),
-    (r"\b(?:sk-|ghp_|AKIA)[A-Za-z0-9_-]{10,}\b", "[REDACTED-KEY]"),
-]
+# the same patterns for the SQL, whose expressions know the bounds of words but no look-around
+_R2 = [(re.sub(r"\(\?<!\[0-9A-Za-z_\]\)|\(\?:\(\?<=\[0-9A-Za-z_\]\)\(\?!\[0-9A-Za-z_\]\)\)", r"\\b", p), mark) for p, mark in STAGES[:3]]
 
 
 def _redact_sql() -> str:
@@ -165,8 +164,8 @@ def _redact_sql() -> str:
 
 @query("redact_notes", _redact_sql())
 def redact_notes(spark, sf):
-    body, n = redacted(F.col("body"))
-    return I.notes(spark, sf).select("rel", n.cast("long").alias("redactions"), F.sha2(body, 256).alias("text_hash"))
+    rows = I.notes(spark, sf).select("rel", redaction(F.col("body")).alias("r"))
+    return rows.select("rel", F.col("r.n").cast("long").alias("redactions"), F.sha2("r.text", 256).alias("text_hash"))
 
 
 _PLANTED = [
@@ -180,22 +179,26 @@ _PLANTED = [
 ]
 
 
-def _rows(spark: SparkSession, values: list[str]) -> DataFrame:
-    return spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id long, body string")
+def _rows(spark: SparkSession, sf: str, values: list[str]) -> DataFrame:
+    """All documents and conversations, and planted texts with ids below zero."""
+    planted = spark.createDataFrame([(-1 - i, v) for i, v in enumerate(values)], "id long, body string")
+    said = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 10**12).alias("id"), F.col("text").alias("body"))
+    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("body")).unionByName(said).unionByName(planted)
 
 
-@query(
-    "redact_planted",
-    "select * from (values "
-    + ", ".join(f"(cast({i} as bigint), cast({n} as bigint), '{t}')" for i, (n, t) in enumerate([
-        (2, "mail [REDACTED-EMAIL] or [REDACTED-EMAIL] now"), (2, "see [REDACTED-PATH] and [REDACTED-PATH]"), (3, "key [REDACTED-KEY] and [REDACTED-KEY] and [REDACTED-KEY]"),
-        (1, "hash [REDACTED-KEY] ok, getPaymentOutboxMessageBySagaIdAndSagaStatus stays"), (1, "é[REDACTED-KEY] a 2026-04-13-local-ai-continue-rag-spring"),
-        (3, "[REDACTED-URL] [REDACTED-URL] [REDACTED-URL] https://example.org/z"), (0, "")]))
-    + ") v(id, redactions, body)",
-)
+def _rows_sql(values: list[str]) -> str:
+    quoted = ", ".join(f"({-1 - i}, $q${v}$q$)" for i, v in enumerate(values))
+    return f"b as (select doc_id as id, coalesce(text, '') as body from documents union all select conv_id * 1000 + turn + 1000000000000, text from conversations union all select * from (values {quoted}) v(id, body))"
+
+
+_URL = INTERNAL_URL.replace("(?<![0-9A-Za-z_])", r"\b")
+
+
+@query("redact_planted", f"with {_rows_sql(_PLANTED)}, u as (select id, body, len(regexp_extract_all(body, '{_URL}')) as urls from b) select id, cast(urls as bigint) as urls, urls > 0 as found from u")
 def redact_planted(spark, sf):
-    body, n = redacted(F.col("body"), urls=True)
-    return _rows(spark, _PLANTED).select("id", n.cast("long").alias("redactions"), body.alias("body"))
+    """Internal addresses alone: what is left of them after the other stages."""
+    rows = _rows(spark, sf, _PLANTED).select("id", F.regexp_count("body", F.lit(INTERNAL_URL)).cast("long").alias("urls"), redaction(F.col("body"), urls=True).alias("r"))
+    return rows.select("id", "urls", F.contains("r.text", F.lit("[REDACTED-URL]")).alias("found"))
 
 
 @query("qhash", "select item_id, substr(sha256(text), 1, 12) as q_hash, substr(sha256(text), 1, 16) as text_hash from benchmark")
@@ -226,36 +229,49 @@ _BODIES = [
 ]
 
 
-@query(
-    "wikilinks",
-    f"with b(id, body) as (values {', '.join(f'(cast({i} as bigint), ' + repr(b).replace(chr(92) + 'n', chr(39) + ' || chr(10) || ' + chr(39)) + ')' if chr(39) not in b else f'(cast({i} as bigint), $${b}$$)' for i, b in enumerate(_BODIES))})"
-    r" select id, array_to_string(list_filter(list_transform(regexp_extract_all(regexp_replace(body, '(?s)```.*?```|`[^`\n]*`', ' ', 'g'), '\[\[([^\]\[|#]+)(?:#[^\]\[|]*)?(?:\|[^\]\[]*)?\]\]', 1), lambda t: trim(t)), lambda t: t <> ''), ',') as targets from b",
-)
+_TEXTS = _rows_sql(_BODIES)
+_CODE = "(?s)```.*?```|`[^`\\n]*`"
+
+
+@query("wikilinks", rf"with {_TEXTS} select id, array_to_string(list_filter(list_transform(regexp_extract_all(regexp_replace(body, '{_CODE}', ' ', 'g'), '\[\[([^\]\[|#]+)(?:#[^\]\[|]*)?(?:\|[^\]\[]*)?\]\]', 1), lambda t: trim(t)), lambda t: t <> ''), ',') as targets from b")
 def wikilinks(spark, sf):
-    return _rows(spark, _BODIES).select("id", F.array_join(T.wikilinks(F.col("body")), ",").alias("targets"))
+    return _rows(spark, sf, _BODIES).select("id", F.array_join(T.wikilinks(F.col("body")), ",").alias("targets"))
 
 
-@query("conclusions", "select * from (values (cast(1 as bigint), 'We decided that caching stays.|We agreed that x|we Concluded that'), (cast(0 as bigint), ''), (cast(2 as bigint), ''), (cast(3 as bigint), ''), (cast(4 as bigint), '')) v(id, found)")
+@query("conclusions", rf"with {_TEXTS} select id, array_to_string(list_transform(regexp_extract_all(body, '(?i)\bwe (established|decided|concluded|agreed) that\b[^.\n]*[.\n]?'), lambda t: trim(t, ' ' || chr(9) || chr(10) || chr(13))), '|') as found from b")
 def conclusions(spark, sf):
-    return _rows(spark, _BODIES).select("id", F.array_join(T.conclusions(F.col("body")), "|").alias("found"))
+    return _rows(spark, sf, _BODIES).select("id", F.array_join(T.conclusions(F.col("body")), "|").alias("found"))
+
+
+_EXTENSIONS = ", ".join(f"'{e}'" for e in T.SOURCE_EXTENSIONS)
+_NAME = "^([A-Z][A-Za-z0-9_]{2,})(?:\\.([A-Za-z_][A-Za-z0-9_]*))?(?:\\(\\))?$"
 
 
 @query(
     "code_refs",
-    "select * from (values (cast(2 as bigint), 1, 'path', 'src/main/App.java', '', 42), (cast(2 as bigint), 2, 'symbol', '', 'Money.add', 0), (cast(2 as bigint), 3, 'symbol', '', 'Foo', 0), (cast(2 as bigint), 4, 'path', 'x.tsx', '', 9)) v(id, pos, kind, path, symbol, line)",
+    rf"""with {_TEXTS}, s as (select id, unnest(range(1, len(m) + 1)) as i, trim(unnest(m)) as raw from (select id, regexp_extract_all(body, '`([^`\n]{{1,200}})`', 1) as m from b)),
+    t as (select id, raw, min(i) as i from s where raw <> '' and not regexp_matches(raw, '[ \t"''|$<>*?]') group by 1, 2),
+    p as (select *, regexp_extract(raw, '(?::|#L)(\d{{1,6}})$', 1) as line, regexp_replace(raw, '(?::|#L)\d{{1,6}}$', '') as bare from t),
+    k as (select *, lower(regexp_extract(bare, '(\.[^.]*)$', 1)) in ({_EXTENSIONS}) as is_path, regexp_extract(bare, '{_NAME}', 1) as a, regexp_extract(bare, '{_NAME}', 2) as m from p),
+    f as (select *, row_number() over (partition by id order by i) as pos from k where is_path or (not contains(bare, '/') and a <> ''))
+    select id, cast(pos as integer) as pos, case when is_path then 'path' else 'symbol' end as kind, case when is_path then replace(bare, chr(92), '/') else '' end as path, case when is_path then '' when m = '' then a else a || '.' || m end as symbol,
+        case when is_path and line <> '' then cast(line as integer) else 0 end as line from f""",
 )
 def code_refs(spark, sf):
-    return _rows(spark, _BODIES).select("id", F.posexplode(T.body_refs(F.col("body"))).alias("pos", "r")).select("id", (F.col("pos") + 1).alias("pos"), "r.kind", "r.path", "r.symbol", "r.line")
+    return _rows(spark, sf, _BODIES).select("id", F.posexplode(T.body_refs(F.col("body"))).alias("pos", "r")).select("id", (F.col("pos") + 1).alias("pos"), "r.kind", "r.path", "r.symbol", "r.line")
 
 
-@query("code_fences", "select * from (values (cast(0 as bigint), 'java'), (cast(3 as bigint), ''), (cast(3 as bigint), 'go')) v(id, lang)")
+@query("code_fences", rf"with {_TEXTS}, f as (select id, unnest(list_filter(regexp_extract_all(body, '{_CODE}'), lambda x: starts_with(x, '```'))) as x from b) select id, lower(split_part(trim(split_part(x[4:-4], chr(10), 1)), ' ', 1)) as lang from f")
 def code_fences(spark, sf):
-    return _rows(spark, _BODIES).select("id", F.explode(T.fenced_blocks(F.col("body"))).alias("f")).select("id", "f.lang")
+    return _rows(spark, sf, _BODIES).select("id", F.explode(T.fenced_blocks(F.col("body"))).alias("f")).select("id", "f.lang")
+
+
+_FIRST = " ".join("when contains(prose, '" + p.replace("'", "''") + "') then '" + p.replace("'", "''") + "'" for p in T.BANNED_PHRASES)
 
 
-@query("banned_phrases", "select * from (values (cast(3 as bigint), 'it''s important to note that')) v(id, phrase)")
+@query("banned_phrases", rf"with {_TEXTS}, p as (select id, lower(regexp_replace(body, '{_CODE}', ' ', 'g')) as prose from b), f as (select id, case {_FIRST} end as phrase from p) select id, phrase from f where phrase is not null")
 def banned_phrases(spark, sf):
-    return _rows(spark, _BODIES).select("id", T.first_banned(F.col("body")).alias("phrase")).where("phrase is not null")
+    return _rows(spark, sf, _BODIES).select("id", T.first_banned(F.col("body")).alias("phrase")).where("phrase is not null")
 
 
 @query("url_hosts", "select page_id, coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1), ''), url) as host from pages")
@@ -543,6 +559,7 @@ def managed_blocks(spark, sf):
 
 
 # the queries of the other modules put themselves down where they are imported
+from notelake.plans import captures as _captures  # noqa: E402, F401
 from notelake.plans import codebase as _codebase  # noqa: E402, F401
 from notelake.plans import contracts as _contracts  # noqa: E402, F401
 
