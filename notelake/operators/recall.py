@@ -1,8 +1,10 @@
 """Ranked lexical retrieval for one or many questions.
 
-Questions are exploded to terms and meet the documents' tokens in equi joins, so a document is
-scored only for questions it shares a term with; documents that share none enter by path, as far as
-the leaders are not filled. Bodies are read for the leaders alone. Sums run over sorted arrays in one
+Questions are exploded to terms and meet the tokens of titles in equi joins. Tags and stack are met by class: documents
+of equal tags and stack that share no title word with a question have one score, so of each class
+the first by path are enough, and a term that is a tag of half of all documents meets a few rows.
+Documents that share no term enter by path, as far as the leaders are not filled. Bodies are read for
+the leaders alone, and do not move where these are few. Sums run over sorted arrays in one
 row, so they are the same on every partitioning.
 """
 
@@ -16,6 +18,8 @@ from notelake.functions.text import STOPWORDS, terms, token_set, tokens
 from notelake.session import materialize
 
 LEADERS, SHOWN = 20, 10
+#: Leaders of all questions up to which the bodies stay where they are.
+MOST_BROADCAST = 50_000
 NOTHING = "cast(array() as array<string>)"
 
 
@@ -59,7 +63,10 @@ def ranked(documents: DataFrame, questions: DataFrame, leaders: int = LEADERS, s
     tag_w, stack_w = _weights(scope, "terms", tag_df, n), _weights(scope, "stack_terms", stack_df, n)
     scope = scope.join(gather(tag_w, "tag_w"), "question_id", "left").join(gather(stack_w, "stack_w"), "question_id", "left")
 
-    token_rows = front.select("rel", F.explode(F.array_distinct(F.concat("title_set", "tag_set", "stack_set"))).alias("term"))
+    # equal scores go by path: of a class no more than ``leaders + shown`` without a title word can be among the candidates
+    place = F.row_number().over(Window.partitionBy(F.size("title_set") > 0, "tag_set", "stack_set").orderBy("rel"))
+    heads = front.withColumn("place", place).where(F.col("place") <= leaders + shown)
+    token_rows = front.select("rel", F.explode("title_set").alias("term")).union(heads.select("rel", F.explode(F.array_union("tag_set", "stack_set")).alias("term")))
     asking = scope.select("question_id", F.explode(F.array_union("terms", "stack_terms")).alias("term"))
     pairs = token_rows.join(asking, "term").select("question_id", "rel").distinct()
     by_path = front.select("rel").orderBy("rel").limit(2 * leaders)
@@ -82,8 +89,10 @@ def ranked(documents: DataFrame, questions: DataFrame, leaders: int = LEADERS, s
     order = lambda: Window.partitionBy("question_id").orderBy(F.col("score").desc(), "rel")
     first = first.withColumn("score", blend(front_channels)).withColumn("rank", F.row_number().over(order()))
     # beyond the leaders a document keeps its score without a body, if that is above zero
+    first = materialize(first.where(F.col("rank") <= leaders + shown), "leaders")
     lead, rest = first.where(F.col("rank") <= leaders), first.where((F.col("rank") > leaders) & (F.col("rank") <= leaders + shown) & (F.col("score") > 0))
-    read = lead.join(docs.select("rel", "body"), "rel").withColumn("body_v", saturated(tokens(F.coalesce("body", F.lit(""))), F.col("terms")))
+    few = F.broadcast(lead) if lead.count() <= MOST_BROADCAST else lead  # leaders a question, some hundred bytes each
+    read = docs.select("rel", "body").join(few, "rel").withColumn("body_v", saturated(tokens(F.coalesce("body", F.lit(""))), F.col("terms")))
     full = [*front_channels, ("body", F.lit(True), F.col("body_v"))]
     named = lambda channels: F.filter(F.array(*(F.when(on & (v > 0), F.lit(c)) for c, on, v in channels)), lambda c: c.isNotNull())
     both = read.select("question_id", "rel", blend(full).alias("score"), named(full).alias("matched_on")).unionByName(rest.select("question_id", "rel", "score", named(front_channels).alias("matched_on")))

@@ -127,9 +127,17 @@ def body_saturation(spark, sf):
 _WORDS = r"list_distinct(list_filter(string_split_regex(lower(body), '[^\p{L}\p{N}]+'), lambda t: t <> ''))"
 
 
+_CLASSES = f"""w as (select doc_id as id, lang, list_sort({_WORDS}) as w from notes), m as (select id, lang, w, min(id) over (partition by lang, w) as rep from w where len(w) > 0)"""
+
+
+@query("near_dup_members", f"with {_CLASSES} select id, rep from m")
+def near_dup_members(spark, sf):
+    return S.members(I.notes(spark, sf).select(F.col("doc_id").alias("id"), F.col("lang").alias("grp"), F.col("body").alias("text")))
+
+
 @query(
     "near_dup_exact",
-    f"""with w as (select doc_id as id, lang, {_WORDS} as w from notes), s as (select id, lang, len(w) as n, unnest(w) as t from w where len(w) > 0),
+    f"""with {_CLASSES}, s as (select id, lang, len(w) as n, unnest(w) as t from m where id = rep),
     p as (select a.id as a, b.id as b, count(*) as common, max(a.n) as na, max(b.n) as nb from s a join s b on a.lang = b.lang and a.t = b.t and a.id < b.id group by 1, 2)
     select a, b, common, floor(common / (na + nb - common) * 1000000 + 0.5) / 1000000 as score from p where common / (na + nb - common) >= 0.4""",
 )
