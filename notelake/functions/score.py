@@ -22,7 +22,8 @@ def idf(df: Column, n: Column) -> Column:
 
 
 def round3(x: Column) -> Column:
-    return F.floor(x * 1000 + 0.5) / 1000
+    """Three places, halves away from zero."""
+    return F.when(x < 0, -F.floor(-x * 1000 + 0.5)).otherwise(F.floor(x * 1000 + 0.5)) / 1000
 
 
 def saturated(words: Column, wanted: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.text import slug
@@ -50,14 +50,28 @@ def drop_block(text: Column, begin: str, end: str) -> Column:
 
 
 def unique_slugs(titles: DataFrame, taken: DataFrame) -> DataFrame:
-    """title, slug: the slug, or the first of slug-2, slug-3, ... that is free. Each title is judged alone."""
+    """title, slug: the slug, or the first of slug-2, slug-3, ... that is free; equal titles follow each other.
+
+    What another title of the batch is itself called is not given out as a number either.
+    """
     wanted = titles.select("title", F.coalesce(F.nullif(slug(F.col("title")), F.lit("")), F.lit("untitled")).alias("base"))
-    numbered = taken.select(F.regexp_replace("slug", "-[0-9]{1,9}$", "").alias("base"), F.regexp_extract("slug", "-([0-9]{1,9})$", 1).try_cast("int").alias("n"))
+    wanted = wanted.withColumn("turn", F.row_number().over(Window.partitionBy("base").orderBy("title")))
+    every = taken.select("slug").union(wanted.select("base")).distinct()
+    numbered = every.select(F.regexp_replace("slug", "-[0-9]{1,9}$", "").alias("base"), F.regexp_extract("slug", "-([0-9]{1,9})$", 1).try_cast("int").alias("n"))
     exact = taken.select(F.col("slug").alias("base")).distinct().withColumn("used", F.lit(True))
-    used = numbered.where("n is not null").groupBy("base").agg(F.collect_set("n").alias("numbers"))
+    used = numbered.where("n >= 2").groupBy("base").agg(F.sort_array(F.collect_set("n")).alias("numbers"))
     rows = wanted.join(exact, "base", "left").join(used, "base", "left")
-    free = F.array_min(F.array_except(F.sequence(F.lit(2), F.coalesce(F.size("numbers"), F.lit(0)) + 2), F.coalesce("numbers", F.expr("cast(array() as array<int>)"))))
-    return rows.select("title", F.when(F.col("used"), F.concat_ws("-", "base", free)).otherwise(F.col("base")).alias("slug"))
+    # the k-th number from 2 on that is not among the used ones
+    first = F.col("turn") + F.when(F.col("used"), 1).otherwise(0)
+    free = F.aggregate(F.coalesce("numbers", F.expr("cast(array() as array<int>)")), first, lambda at, n: F.when(n <= at, at + 1).otherwise(at))
+    return rows.select("title", F.when(F.col("used") | (F.col("turn") > 1), F.concat_ws("-", "base", free)).otherwise(F.col("base")).alias("slug"))
+
+
+def fragments(files: DataFrame, begin: str, end: str) -> DataFrame:
+    """dir, text: a managed block for every directory with its cited files. files: dir, file, slugs array<string>, text (of the directory's document, '' if none)."""
+    lines = F.array_sort(F.collect_list(F.concat(F.lit("- `"), "file", F.lit("`: "), F.array_join("slugs", ", "))))
+    grouped = files.groupBy("dir").agg(F.first("text").alias("text"), F.array_join(lines, "\n").alias("body"))
+    return grouped.select("dir", put_block(F.col("text"), begin, end, F.col("body")).alias("text"))
 
 
 def write_if_changed(path: str, text: str) -> bool:

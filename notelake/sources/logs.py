@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 ASK = "ts timestamp, event string, q_hash string, topic string, stack array<string>, decision string, recall_top_score double, duration_ms bigint, sources bigint, project string"
+LINK = "url string, verdict string, checked_s long"
+LINE_BYTES = 16 << 20
 TRANSCRIPT = "message struct<role:string,content:array<struct<type:string,text:string>>>"
 
 
@@ -25,13 +26,27 @@ def permissive(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Any bad line fails the read, so an export stops with nothing written; an absent file is empty."""
+    """Any bad line, or one over ``LINE_BYTES``, fails the read and is named by file and line; an absent file is empty."""
     try:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        lines = spark.read.text(path)
     except Exception as e:
         if not _absent(e):
             raise
         return spark.createDataFrame([], schema)
+    marked = lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    parsed = marked.withColumn("r", F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    wrong = (F.trim("value") != "") & (F.col("r._bad").isNotNull() | F.col("r").isNull() | (F.octet_length("value") > LINE_BYTES))
+    first = parsed.where(wrong).select("file", "block", "at").orderBy("file", "block", "at").limit(1).collect()
+    if first:
+        f = first[0]
+        line = marked.where((F.col("file") == f["file"]) & ((F.col("block") < f["block"]) | ((F.col("block") == f["block"]) & (F.col("at") <= f["at"])))).count()
+        raise ValueError(f"{f['file']}:{line}: not a record of the log")
+    return parsed.where(F.trim("value") != "").select("r.*").drop("_bad")
+
+
+def link_cache(spark: SparkSession, path: str) -> DataFrame:
+    """url, verdict, checked_s of earlier probes; a cache that is absent or damaged is an empty one."""
+    return permissive(spark, path, LINK).where("url is not null and verdict in ('alive', 'dead', 'unreachable') and checked_s is not null")
 
 
 def assistant_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -62,6 +77,3 @@ def dependencies(manifests: DataFrame) -> DataFrame:
     rows = manifests.select("path", F.explode(found).alias("d")).where("d.name <> ''")
     return rows.groupBy("d.name").agg(F.max_by("d.version", "path").alias("version"))
 
-
-def schema_of(text: str) -> StructType:
-    return StructType.fromDDL(text)

@@ -43,15 +43,30 @@ def edits_within(added: DataFrame, edits: DataFrame, days: int = 7) -> DataFrame
     return a.join(e, F.expr(f"a.key = e.key and e.edited_ts between a.added_ts and a.added_ts + interval {days} days")).select("a.key", "added_ts", "edited_ts")
 
 
-def upsert(path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: the newest row of each key wins. Generations are whole tables; a batch that is run again overwrites its own."""
+def _newest(spark: SparkSession, path: str, before: int) -> str | None:
+    """The table of the last generation before an epoch, whatever epochs were skipped."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
+    found = sorted(int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+    older = [n for n in found if n < before]
+    return f"{path}/epoch={older[-1]}" if older else None
+
+
+def upsert(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: of each key the row with the largest ``order`` wins, in a batch and against what is stored; later batches win ties.
+
+    Generations are whole tables, so one is read while the next is written; a batch that is run again
+    overwrites its own. For tables of the size of a note index, not of a corpus.
+    """
 
     def put(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates([key])
-        if epoch:
-            old = spark.read.parquet(f"{path}/epoch={epoch - 1}")
-            fresh = old.join(fresh.select(key), key, "left_anti").unionByName(fresh)
-        fresh.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        old = _newest(spark, path, epoch)
+        rows = batch.withColumn("_epoch", F.lit(1))
+        if old:
+            rows = rows.unionByName(spark.read.parquet(old).withColumn("_epoch", F.lit(0)))
+        newest = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(order, "_epoch", F.xxhash64(*batch.columns))).alias("r")).select("r.*")
+        newest.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return put

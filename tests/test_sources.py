@@ -79,6 +79,6 @@ def test_streams_equal_batches(spark, tmp_path):
     assert sorted(map(tuple, spark.table("counts").collect())) == sorted(map(tuple, batch.collect()))
     out = str(tmp_path / "latest")
     rows = incremental.ask_stream(spark, str(folder), 1).select("topic", F.col("ts").cast("string").alias("ts"))
-    put = rows.writeStream.foreachBatch(incremental.upsert(out, "topic")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    put = rows.writeStream.foreachBatch(incremental.upsert(out, "topic", "ts")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert put.awaitTermination(120)
     assert spark.read.parquet(f"{out}/epoch=2").count() == 4
