@@ -8,13 +8,15 @@ What fingerprints miss is found by prefix filtering, which loses nothing. Shingl
 the whole corpus, frequent ones last; sets of similarity t share one of their first n - ceil(t n) + 1.
 Shingles that only one class or one group holds are dropped by an aggregate. The classes of each other
 shingle meet in a task, where two necessary conditions hold candidates back: the ratio of the sizes, and
-the distance of parity bitmaps, which never exceeds the symmetric difference of the sets.
+the distance of parity bitmaps, which never exceeds the symmetric difference of the sets. A class has a
+bitmap of about two bits for each of its shingles, and one of 512 bits folded from it.
 
-* Up to ``SMALL`` classes of one shingle hand on every candidate pair; each is verified.
-* More hand on a spanning forest of their candidates. It is verified; where its components then
-  hold more than one group, their members meet in blocks and are compared on their sets, and
-  each two blocks hand on a forest of verified links. A shingle of more classes than a block is
-  dealt out over cells, and the rows of a frequent one are salted before that.
+* Up to ``SMALL`` classes of one shingle meet on the folded bitmaps. Their candidate pairs are compared on the
+  whole bitmaps, and what is left, little more than the links, is verified on the sets.
+* More classes of one shingle meet on the whole bitmaps and hand on a spanning forest of their candidates.
+  It is verified; where its components then hold more than one group, their members meet in blocks
+  and are compared on their sets, and each two blocks hand on a forest of verified links. A shingle of more
+  classes than a block is dealt out over cells, and the rows of a frequent one are salted before that.
 
 So no link is lost, and no group is gathered in a task or paired up as a whole. The order is learnt
 from counts in windows of shingles; which shingles count as frequent changes work, never results.
@@ -42,16 +44,16 @@ from notelake.operators.components import connected_components
 from notelake.session import materialize, partitions, ship
 
 #: Shingles that are counted at a time, and how often one must occur among them to count as frequent.
-WINDOW, FREQUENT = 4_000_000, 4
+WINDOW, FREQUENT = 4_000_000, 3
 #: Frequent shingles that are known everywhere, the most frequent first: a table of 2 MB.
 KNOWN = 2**17
 #: Occurrences of a shingle that go to one task unsalted.
 SALTED = 10_000
 #: Classes of one shingle that hand on all their candidate pairs.
-SMALL = 16
+SMALL = 64
 #: Members of a component of candidates that meet in one task, of either side.
 MEETING = (128, 512)
-#: Bits of a parity bitmap, in longs.
+#: Bits of a folded parity bitmap, in longs.
 LONGS = 8
 MAPS = [f"m{k}" for k in range(LONGS)]
 
@@ -91,9 +93,18 @@ def set_fingerprint(hashes: np.ndarray, step: int = 50_000) -> np.ndarray:
 
 
 def parity(hashes: np.ndarray) -> np.ndarray:
-    """How many hashes fall on each of the bits, modulo two."""
-    bits = np.bincount((hashes >> np.uint64(64 - (64 * LONGS - 1).bit_length())).astype(np.int64), minlength=64 * LONGS) & 1
-    return np.packbits(bits.astype(np.uint8))
+    """How many hashes fall on each bit, modulo two; a power of two of bits, two or more for each hash."""
+    bits = max(64 * LONGS, 1 << (2 * len(hashes)).bit_length())
+    count = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(count.astype(np.uint8)).view(np.uint64)
+
+
+def narrowed(maps: np.ndarray, longs: int) -> np.ndarray:
+    """Bitmaps (rows of longs) of fewer bits: those of the same sets."""
+    while maps.shape[-1] > longs:
+        half = maps.shape[-1] // 2
+        maps = maps[..., :half] ^ maps[..., half:]
+    return maps
 
 
 class Similarity:
@@ -119,7 +130,7 @@ class Similarity:
 
 # ---------------------------------------------------------------- one row a text, and the frequent shingles
 
-PRINTS = ["kind", "doc", "tkey", "s1", "s2", "fp", "size", *MAPS]
+PRINTS = ["kind", "doc", "tkey", "s1", "s2", "fp", "size", *MAPS, "whole"]
 TEXT, SHINGLE = 0, 1
 
 
@@ -130,16 +141,18 @@ def _prints(width: int):
         found, n = np.unique(np.concatenate(pending), return_counts=True)
         found, n = found[n >= FREQUENT], n[n >= FREQUENT]
         cols = {"kind": np.full(len(found), SHINGLE), "s1": found.view(np.int64), "size": n}
-        return pa.RecordBatch.from_arrays([pa.array(cols.get(c, np.zeros(len(found))).astype(np.int64)) for c in PRINTS], names=PRINTS)
+        return pa.RecordBatch.from_arrays([*(pa.array(cols.get(c, np.zeros(len(found))).astype(np.int64)) for c in PRINTS[:-1]), pa.nulls(len(found), pa.binary())], names=PRINTS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pending, held = [], 0
         for batch in batches:
-            raw, size = [], []
+            raw, size, whole = [], [], []
             for t in batch.column(1):
                 words = folded(t.as_py())
                 hashes = shingle_set(words, width)
-                raw += [xxhash.xxh3_128_digest(b" ".join(words)), set_fingerprint(hashes).tobytes(), parity(hashes).tobytes()]
+                maps = parity(hashes)
+                raw += [xxhash.xxh3_128_digest(b" ".join(words)), set_fingerprint(hashes).tobytes(), narrowed(maps, LONGS).tobytes()]
+                whole.append(maps.tobytes())
                 size.append(len(hashes))
                 pending.append(hashes)
                 held += len(hashes)
@@ -149,7 +162,7 @@ def _prints(width: int):
             cols = np.frombuffer(b"".join(raw), dtype="<i8").reshape(-1, 3 + LONGS)
             zero = pa.array(np.full(len(size), TEXT, dtype=np.int64))
             yield pa.RecordBatch.from_arrays(
-                [zero, batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(cols[:, k])) for k in range(3)), pa.array(size, pa.int64()), *(pa.array(np.ascontiguousarray(cols[:, 3 + k])) for k in range(LONGS))], names=PRINTS
+                [zero, batch.column(0), batch.column(2), *(pa.array(np.ascontiguousarray(cols[:, k])) for k in range(3)), pa.array(size, pa.int64()), *(pa.array(np.ascontiguousarray(cols[:, 3 + k])) for k in range(LONGS)), pa.array(whole, pa.binary())], names=PRINTS
             )
         if pending:
             yield frequent(pending)
@@ -213,78 +226,99 @@ def _held_by_several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 # ---------------------------------------------------------------- candidates of one shingle
 
-MET = ["key", "cell", "role", "node", "grp", "size", *MAPS]
+FOLDED = ["key", "node", "grp", "size", *MAPS]
+MET = ["key", "cell", "role", "node", "grp", "size", "whole"]
+
 
+def _runs(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[pa.RecordBatch]:
+    """Sorted rows in batches that end where a run of equal first ``by`` columns does."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = np.stack([batch.column(k).to_numpy() for k in range(by)], axis=1)
+        head = np.array([kept[-1].column(k)[-1].as_py() for k in range(by)]) if kept else rows[0]
+        change = np.flatnonzero(np.append((rows[0] != head).any(), (rows[1:] != rows[:-1]).any(axis=1)))
+        if len(change):
+            last = int(change[-1])
+            yield pa.concat_batches([*kept, batch.slice(0, last)])
+            kept = [batch.slice(last)]
+        else:
+            kept.append(batch)
+    if kept:
+        yield pa.concat_batches(kept)
 
-def _candidates(bound: Similarity, area: int = 1 << 18):
-    """Sorted rows of MET in, candidates (a, b, family) out: all pairs of a small run, a forest of a large one."""
 
-    def passing(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the pairs of rows i, j may be similar, and their distances."""
-        x, y = rows[i, 5], rows[j, 5]
-        good = np.flatnonzero((rows[i, 4] != rows[j, 4]) & bound.sizes(x, y))
-        i, j, x, y = i[good], j[good], x[good], y[good]
-        d = np.bitwise_count((rows[i, 6:] ^ rows[j, 6:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-        near = bound.distance(x, y, d)
-        return good[near], d[near]
+def _starts(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the runs of equal rows begin, and their lengths."""
+    first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]).any(axis=1)))
+    return first, np.diff(np.append(first, len(rows)))
 
-    def small(rows: np.ndarray, first: np.ndarray, n: int) -> Iterator[np.ndarray]:
+
+def _pairs(bound: Similarity, area: int = 1 << 18):
+    """Rows of FOLDED by key in, all candidate pairs (a, b) out."""
+
+    def of(rows: np.ndarray, first: np.ndarray, n: int) -> Iterator[np.ndarray]:
         """Runs of n rows that begin at ``first``."""
         p, q = np.triu_indices(n, 1)
-        for lo in range(0, len(first), max(1, area // len(p))):
-            at = first[lo : lo + max(1, area // len(p))]
-            i, j = (at[:, None] + p).ravel(), (at[:, None] + q).ravel()
-            met = np.flatnonzero((rows[i, 2] == 0) | (rows[j, 2] == 0))
-            i, j = i[met], j[met]
-            good, _ = passing(rows, i, j)
-            yield np.stack([rows[i[good], 3], rows[j[good], 3], np.zeros(len(good), dtype=np.int64)], axis=1)
-
-    def large(rows: np.ndarray) -> np.ndarray:
-        """A run: owners meet owners and visitors, in blocks; of all candidates a forest stays."""
-        own = np.flatnonzero(rows[:, 2] == 0)
+        step = max(1, area // len(p))
+        for lo in range(0, len(first), step):
+            at = first[lo : lo + step, None]
+            i, j = (at + p).ravel(), (at + q).ravel()
+            good = (rows[i, 2] != rows[j, 2]) & bound.sizes(rows[i, 3], rows[j, 3])
+            i, j = i[good], j[good]
+            d = np.bitwise_count((rows[i, 4:] ^ rows[j, 4:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            near = bound.distance(rows[i, 3], rows[j, 3], d)
+            yield np.sort(np.stack([rows[i[near], 1], rows[j[near], 1]], axis=1), axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _runs(batches, 1):
+            rows = np.stack([c.to_numpy() for c in batch.columns], axis=1)
+            first, size = _starts(rows[:, :1])
+            found = [x for n in np.unique(size[size > 1]).tolist() for x in of(rows, first[size == n], n)]
+            if found:
+                some = np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(some[:, k])) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _families(bound: Similarity, area: int = 1 << 21):
+    """Rows of MET by key, cell and role in, a spanning forest (a, b) of the candidates of each run out."""
+
+    def forested(facts: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
+        """facts: role, node, grp, size. Owners (role 0) meet owners and visitors."""
+        width = np.array([len(m) for m in maps])
         a = b = d = np.zeros(0, dtype=np.int64)
-        step = max(1, area // max(1, len(own)))
-        for lo in range(0, len(rows), step):
-            some = np.arange(lo, min(len(rows), lo + step))
-            i, j = np.repeat(own, len(some)), np.tile(some, len(own))
-            met = np.flatnonzero((i < j) | (rows[j, 2] != 0))
-            i, j = i[met], j[met]
-            good, h = passing(rows, i, j)
-            if len(good):
-                a, b, d = np.concatenate([a, rows[i[good], 3]]), np.concatenate([b, rows[j[good], 3]]), np.concatenate([d, h])
-                k = forest(a, b, d)
-                a, b, d = a[k], b[k], d[k]
-        return np.stack([a, b, np.ones(len(a), dtype=np.int64)], axis=1)
-
-    def search(rows: np.ndarray) -> Iterator[np.ndarray]:
-        new = np.flatnonzero(np.append(True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1)))
-        size = np.diff(np.append(new, len(rows)))
-        for n in range(2, SMALL + 1):
-            if (size == n).any():
-                yield from small(rows, new[size == n], n)
-        for lo, n in zip(new[size > SMALL], size[size > SMALL]):
-            yield large(rows[lo : lo + n])
+        for longs in np.unique(width).tolist():
+            mine = np.flatnonzero(width == longs)
+            own = np.stack([maps[k] for k in mine])
+            for other in np.unique(width[width >= longs]).tolist():
+                rest = np.flatnonzero(width == other)
+                met = own if other == longs else narrowed(np.stack([maps[k] for k in rest]), longs)
+                step = max(1, area // (len(rest) * longs))
+                for lo in range(0, len(mine), step):
+                    i, j = mine[lo : lo + step, None], rest[None, :]
+                    fits = (facts[i, 2] != facts[j, 2]) & bound.sizes(facts[i, 3], facts[j, 3]) & ((facts[i, 0] == 0) | (facts[j, 0] == 0))
+                    if other == longs:
+                        fits &= i < j
+                    if not fits.any():
+                        continue
+                    h = np.bitwise_count(own[lo : lo + step, None, :] ^ met[None, :, :]).sum(axis=2, dtype=np.int64)
+                    r, o = np.nonzero(fits & bound.distance(facts[i, 3], facts[j, 3], h))
+                    a, b, d = np.concatenate([a, facts[mine[lo + r], 1]]), np.concatenate([b, facts[rest[o], 1]]), np.concatenate([d, h[r, o]])
+                    k = forest(a, b, d)
+                    a, b, d = a[k], b[k], d[k]
+        return np.sort(np.stack([a, b], axis=1), axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = np.stack([c.to_numpy().astype(np.int64) for c in batch.columns], axis=1)
-            rows = rows if kept is None else np.concatenate([kept, rows])
-            change = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1))
-            last = int(change[-1]) + 1 if len(change) else 0
-            done, kept = rows[:last], rows[last:]
-            yield from told(done)
-        if kept is not None:
-            yield from told(kept)
-
-    def told(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        found = [x for x in search(rows) if len(x)] if len(rows) else []
-        if found:
-            some = np.concatenate(found)
-            some = np.unique(np.concatenate([np.sort(some[:, :2], axis=1), some[:, 2:]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(some[:, k])) for k in range(3)], names=["a", "b", "family"])
+        for batch in _runs(batches, 2):
+            rows = np.stack([batch.column(k).to_numpy() for k in range(6)], axis=1)
+            maps = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in batch.column(6)]
+            for lo, n in zip(*_starts(rows[:, :2])):
+                some = forested(rows[lo : lo + n, 2:], maps[lo : lo + n])
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(some[:, k])) for k in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -327,6 +361,24 @@ def _sets(width: int):
     return run
 
 
+def _alike(pairs: DataFrame, classes: DataFrame, bound: Similarity) -> DataFrame:
+    """Those of the pairs (a, b) that their whole bitmaps leave."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (batch.column(k).to_numpy() for k in (2, 3))
+            d = np.zeros(batch.num_rows, dtype=np.int64)
+            for k, (p, q) in enumerate(zip(batch.column(4), batch.column(5))):
+                p, q = np.frombuffer(p.as_py(), dtype=np.uint64), np.frombuffer(q.as_py(), dtype=np.uint64)
+                longs = min(len(p), len(q))
+                d[k] = np.bitwise_count(narrowed(p, longs) ^ narrowed(q, longs)).sum(dtype=np.int64)
+            keep = pa.array(bound.distance(x, y, d))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
+
+    side = lambda end, size, maps: classes.select(F.col("node").alias(end), F.col("size").alias(size), F.col("whole").alias(maps))
+    return pairs.join(side("a", "x", "p"), "a").join(side("b", "y", "q"), "b").select("a", "b", "x", "y", "p", "q").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, words: DataFrame, bound: Similarity) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar."""
 
@@ -368,9 +420,9 @@ def near_links(documents: DataFrame, width: int = 5, similarity: float = 0.8, do
     spark, bound = documents.sparkSession, Similarity(similarity)
     ship(spark)
     rows = keyed(documents, doc_id, text).select("doc", "text", "tkey")
-    every = materialize(rows.mapInArrow(_prints(width), ", ".join(f"{c} long" for c in PRINTS)), "prints")
+    every = materialize(rows.mapInArrow(_prints(width), ", ".join(f"{c} long" for c in PRINTS[:-1]) + ", whole binary"), "prints")
     prints = every.where(f"kind = {TEXT}")
-    facts = ["fp", "size", *MAPS]
+    facts = ["fp", "size", *MAPS, "whole"]
     classes = materialize(
         prints.groupBy("s1", "s2").agg(F.min(F.struct("doc", "tkey")).alias("r"), *(F.first(c).alias(c) for c in facts)).select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "r.doc", "r.tkey", *facts), "classes"
     )
@@ -393,15 +445,20 @@ def near_links(documents: DataFrame, width: int = 5, similarity: float = 0.8, do
     n = partitions(documents, 16)
     held = rows.mapInArrow(_prefixes(width, bound, shared), "key long, salt long, s1 long").repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "s1").mapInArrow(_held_by_several, "key long, s1 long")
     postings = materialize(held.join(classes.select("s1", "node").join(groups, "node"), "s1").select("key", "node", "grp"), "postings")
-    mixed = materialize(postings.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
-    meet = postings.join(mixed.select("key"), "key", "left_semi").join(classes.select("node", "size", *MAPS), "node").withColumn("role", F.lit(0))
-    order = ["key", "cell", "role"]
-    met = dealt(meet, mixed.where("blocks > 1"), ["key"], ["node"]).select(*MET).repartition(partitions(postings, 8), "key", "cell").sortWithinPartitions(*order)
-    found = materialize(met.mapInArrow(_candidates(bound), "a long, b long, family long").groupBy("a", "b").agg(F.max("family").alias("family")), "candidates")
+    mixed = materialize(postings.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"), "mixed")
+    n = partitions(postings, 8)
+    few = postings.join(mixed.where(F.col("n") <= SMALL).select("key"), "key", "left_semi").join(classes.select("node", "size", *MAPS), "node").select(*FOLDED)
+    pairs = materialize(few.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_pairs(bound), "a long, b long").distinct(), "pairs")
+    pairs = _alike(pairs, classes, bound)
+    many = postings.join(mixed.where(F.col("n") > SMALL).select("key"), "key", "left_semi").join(classes.select("node", "size", "whole"), "node").withColumn("role", F.lit(0))
+    crowded = mixed.where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    met = dealt(many, crowded, ["key"], ["node"]).select(*MET).repartition(n, "key", "cell").sortWithinPartitions("key", "cell", "role")
+    families = materialize(met.mapInArrow(_families(bound), "a long, b long").distinct(), "families")
+    found = materialize(pairs.union(families).distinct(), "candidates")
     more = classes.select("node").join(_ends(found), "node", "left_semi").join(words.select("node"), "node", "left_anti")
     sets = words.unionByName(_words_of(documents, classes, more, width, doc_id, text))
-    near = materialize(near.union(_verified(found.select("a", "b"), sets, bound)), "near")
-    near = near.union(_across(found.where("family = 1").select("a", "b"), near, sets, classes, bound))
+    near = materialize(near.union(_verified(found, sets, bound)), "near")
+    near = near.union(_across(families, near, sets, classes, bound))
     return prints.select("doc", "tkey", "s1", "s2"), classes.select("node", "s1", "s2", "doc", "tkey"), near
 
 
