@@ -104,6 +104,47 @@ def test_minhash_is_near_jaccard(spark):
     assert set(found) == set(exact) == {("a", "b")} and abs(found["a", "b"] - exact["a", "b"]) < 0.12
 
 
+def test_minhash_as_written_out(spark):
+    """Signatures and estimates in plain integers, over whole texts; the exact pairs are found again."""
+    mask = 2**64 - 1
+
+    def plain(words):
+        hashes = []
+        for w in words:
+            h = 0xCBF29CE484222325
+            for b in w.encode():
+                h = (h ^ b) * 0x100000001B3 & mask
+            hashes.append(h)
+        maps = [((i * 0x9E3779B97F4A7C15 & mask) | 1, (i * 0xC2B2AE3D27D4EB4F + 0x165667B19E3779F9) & mask) for i in range(128)]
+        return [min((a * h + b) & mask for h in hashes) for a, b in maps]
+
+    rng = random.Random(3)
+    base = [[f"t{k}w{rng.randrange(10**6)}é" for _ in range(60)] for k in range(5)]
+    texts = {f"{k}-{m}": " ".join(f"n{m}x{j}" if rng.random() < 0.07 * m else w for j, w in enumerate(words)) for k, words in enumerate(base) for m in range(6)}
+    texts |= {"copy": texts["0-0"], "copy2": texts["0-0"].replace(" ", "\n"), "one": "word"}
+    frame = spark.createDataFrame([(i, "g", t) for i, t in texts.items()], "id string, grp string, text string")
+    least = {i: min(j for j, u in texts.items() if set(u.split()) == set(t.split())) for i, t in texts.items()}
+    reps = {i: t for i, t in texts.items() if least[i] == i}
+    sig = {i: plain(set(t.lower().split())) for i, t in reps.items()}
+    want = {}
+    for a in reps:
+        for b in reps:
+            score = sum(x == y for x, y in zip(sig[a], sig[b])) / 128
+            if a < b and score >= 0.4 and any(sig[a][2 * k : 2 * k + 2] == sig[b][2 * k : 2 * k + 2] for k in range(64)):
+                want[a, b] = score
+    assert {(r["a"], r["b"]): r["score"] for r in similarity.minhash_pairs(frame).collect()} == want
+    sets = {i: set(t.split()) for i, t in reps.items()}
+    exact = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in reps for b in reps if a < b and len(sets[a] & sets[b]) >= 0.4 * len(sets[a] | sets[b])}
+    assert {(r["a"], r["b"]): round(r["score"], 9) for r in similarity.exact_pairs(frame).collect()} == {k: round(v, 9) for k, v in exact.items()}
+    sure = [k for k, v in exact.items() if v >= 0.55]
+    assert sure and sum(k in want for k in sure) >= 0.9 * len(sure)
+    assert {r["id"]: r["rep"] for r in similarity.members(frame).collect()} == least and least["copy2"] == "0-0"
+
+
+def test_halves_go_away_from_zero(spark):
+    assert [one(spark, score.round3(F.lit(x))) for x in (0.0625, -0.0625, 0.0015, -0.0004)] == [0.063, -0.063, 0.002, 0.0]
+
+
 def test_wide_commits_do_not_couple(spark):
     rows = [(s, "ada" if s < 3 else "bob", f) for s in range(1, 4) for f in ("a.go", "b.go")] + [(9, "bob", f"x{i}") for i in range(26)]
     changes = spark.createDataFrame(rows, "sha long, author string, file string")
