@@ -28,7 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from notelake.session import materialize, ship
+from notelake.llm.sieve import sieve, sifted
+from notelake.session import materialize, partitions, ship
 
 MIN_CHARS = 40
 MIN_DOCS = 5
@@ -156,13 +157,14 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     """(doc, tkey, bitmap) of the documents that lose a line. docs: doc, tkey, text."""
     spark = docs.sparkSession
     ship(spark)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lines = docs.mapInArrow(_lines(min_chars), "h1 long, h2 long, doc long, tkey long, place int")
+    # written first: the ranges are found by sampling, which would hash all lines again
+    lines = materialize(docs.mapInArrow(_lines(min_chars), "h1 long, h2 long, doc long, tkey long, place int"), "hashes")
+    n = partitions(lines)
     by = [F.col("h1"), F.col("h2"), F.col("doc").desc(), F.col("tkey"), F.col("place")]
     marks = materialize(
         lines.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(_stream(min_docs), "h1 long, h2 long, doc long, tkey long, place int, state int"), "lines"
     )
-    # one or two boundary hashes for each partition
+    # one or two boundary hashes for each partition; partial counts leave one row a task and hash, so a hot one is small
     crossing = (
         marks.where(f"state <> {DROP}").groupBy("h1", "h2").agg(F.max("doc").alias("keeper"), F.count_distinct(F.when(F.col("state") == OPEN, F.col("doc"))).alias("docs"), F.max("state").alias("known"))
     ).where((F.col("docs") >= min_docs) | (F.col("known") == FACT))
@@ -180,8 +182,11 @@ def _with_bitmaps(documents: DataFrame, doc_id: str, text: str, carry: list[str]
     keyed = documents.select(
         F.coalesce(F.col(doc_id), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("tkey"), F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in carry if c != text)).alias("row")
     )
-    bitmaps = keep_bitmaps(keyed.select("doc", "tkey", "text"), min_chars, min_docs)
-    return keyed.join(bitmaps.hint("shuffle_hash"), ["doc", "tkey"], "left").select("row", "text", "bitmap")
+    bitmaps = materialize(keep_bitmaps(keyed.select("doc", "tkey", "text"), min_chars, min_docs), "bitmaps")
+    # texts that lose no line stay where they are read
+    rows = sifted(keyed, sieve(bitmaps, "tkey"), "tkey")
+    whole = rows.where("not maybe").select("row", "text", F.lit(None).cast("binary").alias("bitmap"))
+    return whole.unionByName(rows.where("maybe").join(bitmaps, ["doc", "tkey"], "left").select("row", "text", "bitmap"))
 
 
 def dedup_digests(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
