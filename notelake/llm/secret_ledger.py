@@ -4,8 +4,8 @@ Every version of every path is addressed by the SHA-256 of its text. The ledger
 each (blob, rule, rule version) that has ever been scanned, findings or none. A scan takes from the
 incoming versions one representative path for each blob, keeps the blobs for which some current
 (rule, version) pair is absent from the ledger, runs only those rules there, appends what it found,
-and joins the findings back to all paths of the blob. A text is moved once, to its representative;
-what is grouped and joined by blob is digests, so copies that make up a third of all rows are
+and joins the findings back to all paths of the blob. A text is scanned where it is read if its blob is
+new and has one path; others are moved once, to their representative. What is grouped and joined by blob is digests, so copies that make up a third of all rows are
 combined on the map side and split by the adaptive skew join.
 
 Defined results: a null text is an empty text; null paths and repeated rows are paths like any
@@ -20,7 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from notelake.session import scratch
+from notelake.llm.sieve import sieve, sifted
+from notelake.session import materialize, scratch
 
 
 @dataclass(frozen=True)
@@ -64,11 +65,17 @@ def blob_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+#: Matches that are walked in one go; a list is copied for each element that is put to it.
+WALK = 256
+SPANS = "array<struct<start:int,end:int>>"
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """array<struct<start, end>> of one rule, in code points, end exclusive.
 
     ``split`` gives what lies between the matches and ``regexp_extract_all`` the matches, so
-    running lengths give the places; a match that is too short stays in the running length.
+    running lengths give the places; a match that is too short stays in the running length. Very many
+    matches are walked in pieces, each from the sum of the lengths before it.
     """
     whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     tested = whole if rule.group == 0 else F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group))
@@ -78,25 +85,27 @@ def spans_of(text: Column, rule: Rule) -> Column:
         F.transform(tested, F.length).alias("t"),
         F.transform(F.slice(gaps, 1, F.size(whole)), F.length).alias("gap"),
     )
-    empty = F.expr("named_struct('at', 0, 'spans', cast(array() as array<struct<start:int,end:int>>))")
-    walked = F.aggregate(
-        rows,
-        empty,
-        lambda acc, m: F.struct(
-            (acc["at"] + m["gap"] + m["n"]).alias("at"),
-            F.when(
-                m["t"] >= rule.least,
-                F.array_append(
-                    acc["spans"],
-                    F.struct((acc["at"] + m["gap"]).alias("start"), (acc["at"] + m["gap"] + m["n"]).alias("end")),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-    )["spans"]
+
+    def walked(piece: Column, start: Column) -> Column:
+        none = F.struct(start.alias("at"), F.expr(f"cast(array() as {SPANS})").alias("spans"))
+        span = lambda acc, m: F.struct((acc["at"] + m["gap"]).alias("start"), (acc["at"] + m["gap"] + m["n"]).alias("end"))
+        step = lambda acc, m: F.struct((acc["at"] + m["gap"] + m["n"]).alias("at"), F.when(m["t"] >= rule.least, F.array_append(acc["spans"], span(acc, m))).otherwise(acc["spans"]).alias("spans"))
+        return F.aggregate(piece, none, step)["spans"]
+
+    def cut(all_rows: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_rows) - 1) / WALK).cast("int")), lambda k: F.slice(all_rows, k * WALK + 1, F.lit(WALK)))
+        length = lambda piece: F.aggregate(piece, F.lit(0), lambda a, m: a + m["gap"] + m["n"])
+        placed = F.aggregate(
+            pieces,
+            F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("starts")),
+            lambda acc, piece: F.struct((acc["at"] + length(piece)).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")),
+        )["starts"]
+        return F.flatten(F.transform(F.arrays_zip(pieces.alias("piece"), placed.alias("start")), lambda x: walked(x["piece"], x["start"])))
+
+    # bound once: named inside the lambdas the matches would be found anew for each of them
+    found = F.transform(F.array(rows), lambda r: F.when(F.size(r) <= WALK, walked(r, F.lit(0))).otherwise(cut(r)))
     likely = rule.pattern if rule.group else rule.pattern.removesuffix("+") + f"{{{max(1, rule.least - 4)}}}" if rule.pattern == "[0-9a-f]+" else rule.pattern
-    return F.when(text.rlike(likely), walked).otherwise(F.expr("cast(array() as array<struct<start:int,end:int>>)"))
+    return F.when(text.rlike(likely), F.get(found, F.lit(0))).otherwise(F.expr(f"cast(array() as {SPANS})"))
 
 
 def _seen(spark: SparkSession, ledger: str) -> DataFrame:
@@ -116,16 +125,15 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path
     spark = versions.sparkSession
     wanted = F.array(*(F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
     body = F.coalesce(F.col(text), F.lit(""))
-    keyed = versions.select(F.struct(F.col(path).alias("p")).alias("at"), body.alias("body"), blob_of(F.col(text)).alias("blob"))
-    one = keyed.groupBy("blob").agg(F.min("at").alias("at"))
+    keyed = versions.select(F.struct(F.col(path).alias("p")).alias("at"), body.alias("body"), blob_of(F.col(text)).alias("blob")).withColumn("bkey", F.xxhash64("blob"))
+    one = keyed.groupBy("blob").agg(F.min("at").alias("at"), F.count("*").alias("n"))
     seen = _seen(spark, ledger).groupBy("blob").agg(F.collect_set(F.struct("rule", "version")).alias("done"))
-    missing = (
-        one.join(seen, "blob", "left")
-        .select("at", "blob", F.array_except(wanted, F.coalesce("done", F.expr("cast(array() as array<struct<rule:string,version:int>>)"))).alias("todo"))
-        .where(F.size("todo") > 0)
-    )
-    # the small side is hashed and the texts stream past it, unsorted
-    found = keyed.join(missing.hint("shuffle_hash"), ["at", "blob"]).select(
+    known = F.coalesce("done", F.expr("cast(array() as array<struct<rule:string,version:int>>)"))
+    state = materialize(one.join(seen, "blob", "left").select("at", "blob", "n", F.array_except(wanted, known).alias("todo")), "blobs")
+    # a blob of one path that no rule has seen is scanned where it is read; texts of others are moved to their representative
+    rows = sifted(keyed, sieve(state.where((F.col("n") > 1) | (F.size("todo") < len(rules))).select(F.xxhash64("blob").alias("bkey")), "bkey"), "bkey")
+    moved = rows.where("maybe").join(state.where(F.size("todo") > 0).select("at", "blob", "todo"), ["at", "blob"]).select("blob", "body", "todo")
+    found = rows.where("not maybe").select("blob", "body", wanted.alias("todo")).unionByName(moved).select(
         "blob",
         "todo",
         F.array(
@@ -139,8 +147,8 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path
             )
         ).alias("each"),
     )
-    rows = found.select("blob", F.explode(F.filter("each", lambda x: x["spans"].isNotNull())).alias("x")).select("blob", "x.rule", "x.version", "x.spans")
-    rows.write.mode("append").parquet(ledger)
+    told = found.select("blob", F.explode(F.filter("each", lambda x: x["spans"].isNotNull())).alias("x")).select("blob", "x.rule", "x.version", "x.spans")
+    told.write.mode("append").parquet(ledger)
     return _seen(spark, ledger)
 
 

@@ -98,6 +98,22 @@ def test_ledger_scans_unseen_pairs_only(spark):
     assert found == {"a": 1, "b": 1, "c": 0, "d": 0}
 
 
+def test_secrets_of_very_many_matches(spark):
+    """More matches than are walked at a time, also across the pieces, against plain regular expressions."""
+    rng = random.Random(3)
+    bits = ["token=abcdefgh1", "token=short", "AKIA" + "Z" * 14, "0123456789abcdef" * 2, "é word", "AKIA1", "secret: 'longer_value'", "\n", "😀"]
+    texts = {i: " ".join(rng.choice(bits) for _ in range(n)) for i, n in enumerate([0, 1, 3, 255, 256, 257, 700, 3000])}
+    rows = {r["doc_id"]: r for r in secret_ledger.secrets(spark.createDataFrame(list(texts.items()) + [(7, texts[7]), (8, texts[6])], "doc_id long, text string")).collect()}
+    for i, text in [*texts.items(), (8, texts[6])]:
+        spans = []
+        for rank, rule in enumerate(secret_ledger.RULES):
+            spans += [(m.start(), rank, m.end(), rule.kind) for m in re.finditer(rule.pattern, text) if len(m[rule.group]) >= rule.least]
+        told = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
+        base = ",".join(f"{k}:{a}:{b}" for a, rank, b, k in sorted(spans) if rank < 3)
+        assert (rows[i]["spans"], rows[i]["base_sha256"]) == (told, hashlib.sha256(base.encode()).hexdigest())
+        assert (rows[i]["n_assign"], rows[i]["n_access"], rows[i]["n_hex"]) == tuple(sum(x[1] == k for x in spans) for k in range(3))
+
+
 def test_secrets_edges(spark):
     assert secret_ledger.secrets(empty(spark)).count() == 0
     assert secret_ledger.secrets(edge_documents(spark)).count() == len(EDGES) + 4
