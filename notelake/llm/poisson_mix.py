@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from notelake.session import partitions
+
 PIECE = 16.0
 #: Past so many counts the Poisson tail at rate PIECE is below 2**-52.
 MOST = 80
@@ -66,24 +68,28 @@ def counted(documents: DataFrame, rated: DataFrame, seed: int = SEED, doc_id: st
         salted = rated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = rows.withColumn("at", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
         joined = joined.join(salted, joined["src"].eqNullSafe(salted["source"]) & (joined["at"] == salted["salt"]))
-    one = lambda k: F.size(F.filter("cdf", lambda c: c <= _hash52(F.lit(seed).cast("string"), F.col("key"), k.cast("string")).cast("double") / float(2**52)))
-    return joined.select("row", "key", F.aggregate(F.sequence(F.lit(1), F.col("draws")), F.lit(0), lambda a, k: a + one(k)).alias("count"))
+    drawn = lambda k: _hash52(F.lit(seed).cast("string"), F.col("key"), k.cast("string")).cast("double") / float(2**52)
+    # the numbers are drawn once each, outside the lambda that compares them with the distribution
+    numbers = F.transform(F.sequence(F.lit(1), F.col("draws")), drawn)
+    return joined.select("row", "key", F.aggregate(numbers, F.lit(0), lambda a, u: a + F.size(F.filter("cdf", lambda c: c <= u))).alias("count"))
 
 
 def mix(documents: DataFrame, targets: dict[str, float] | None = None, temperature: float = TEMPERATURE, budget: float = 1.0, seed: int = SEED, doc_id: str = "doc_id", source: str = "source", shuffle: bool = True) -> DataFrame:
     """row (all columns), copy (from 0) and order_key; with ``shuffle`` in the order of order_key over all partitions."""
-    spark = documents.sparkSession
     copies = counted(documents, rates(documents, targets, temperature, budget, source), seed, doc_id, source).where("count > 0")
     copies = copies.select("row", "key", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("copy"))
     copies = copies.select("row", "copy", _hash52(F.lit(seed).cast("string"), F.lit("order"), F.col("key"), F.col("copy").cast("string")).alias("order_key"))
     if not shuffle:
         return copies
-    return copies.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "order_key").sortWithinPartitions("order_key")
+    # order keys are uniform, so even cuts of their range are even partitions, and none is sampled
+    n = partitions(documents)
+    return copies.repartitionById(n, F.floor(F.col("order_key") / float(2**52) * n).cast("int")).sortWithinPartitions("order_key")
 
 
 def mixture(documents: DataFrame) -> DataFrame:
-    """doc_id, source, copy, order_key of the mixed corpus."""
-    return mix(documents.select("doc_id", "source")).select("row.doc_id", "row.source", "copy", "order_key")
+    """doc_id, source, copy, order_key, text_sha256 of the mixed corpus; the texts are shuffled with their rows."""
+    rows = mix(documents.select("doc_id", "source", "text"))
+    return rows.select("row.doc_id", "row.source", "copy", "order_key", F.sha2(F.coalesce("row.text", F.lit("")), 256).alias("text_sha256"))
 
 
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
@@ -96,12 +102,12 @@ with s as (select source, count(*) as n, round(pow(cast(count(*) as double), {TE
 t as (select sum(n) as all_n, cast(sum(cast(wish as decimal(38, 9))) as double) as all_wish from s),
 r as (select source, cast(all_n as double) * wish / all_wish / n as rate from s, t),
 e as (select source, rate, cast(greatest(1, ceil(rate / {PIECE})) as integer) as draws from r),
-d as (select row_number() over () as rid, doc_id, documents.source, rate / draws as each, unnest(range(1, draws + 1)) as k
+d as (select row_number() over () as rid, doc_id, documents.source, sha256(coalesce(text, '')) as text_sha256, rate / draws as each, unnest(range(1, draws + 1)) as k
     from documents join e on documents.source is not distinct from e.source),
 u as (select *, cast(concat('0x', substr(md5({SEED} || ':' || coalesce(cast(doc_id as varchar), 'null') || ':' || k), 1, 13)) as bigint) / 4503599627370496.0 as x from d),
-c as (select rid, doc_id, source, sum(len(list_filter(list_transform(range(0, {MOST + 1}),
+c as (select rid, doc_id, source, text_sha256, sum(len(list_filter(list_transform(range(0, {MOST + 1}),
         lambda i: exp(-each) * list_sum(list_transform(range(0, i + 1), lambda j: pow(each, j) / gamma(j + 1)))), lambda v: v <= x))) as n
     from u group by all),
-o as (select doc_id, source, unnest(range(0, cast(n as bigint))) as copy from c)
-select doc_id, source, cast(copy as integer) as copy,
+o as (select doc_id, source, text_sha256, unnest(range(0, cast(n as bigint))) as copy from c)
+select doc_id, source, text_sha256, cast(copy as integer) as copy,
     cast(concat('0x', substr(md5({SEED} || ':order:' || coalesce(cast(doc_id as varchar), 'null') || ':' || copy), 1, 13)) as bigint) as order_key from o"""
