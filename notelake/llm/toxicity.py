@@ -5,8 +5,8 @@ from the training sample, since insults are inflected and compounded), the same
 stand to lexicon words, capitals, punctuation and obfuscation rates, and the length. Labels, language,
 source and id are no features.
 
-The sample is bounded (``MAX_TRAINING_ROWS``); the trees are fitted on three quarters of it and the
-calibration on the rest. Every document is scored, in one pass without a shuffle.
+The sample is bounded (``MAX_TRAINING_ROWS``); the lexicon and the trees are learnt from three quarters of it
+and the calibration from the rest. Every document is scored, in one pass without a shuffle.
 
 Defined results: a null or empty text has zero features and still gets a score; rows are judged one by
 one, so repeated rows, ties and null ids change nothing (a null id is held out); without usable labels
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notelake.llm.learn import MAX_TRAINING_ROWS, Isotonic, Trees, held_out, training_sample
-from notelake.session import ship
+from notelake.session import materialize, ship
 
 SEED_WORDS = frozenset("idiot idiots stupid moron moron loser losers trash scum pathetic worthless disgusting clown dumb fool ugly hate kill shut liar garbage filthy".split())
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta tes vous votre usted ustedes ti tus vosotros".split())
@@ -123,10 +123,10 @@ def _rows(words: Lexicon):
 
 def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS) -> Model:
     ship(documents.sparkSession)
-    sample = training_sample(documents, labels, "toxic", most)
-    words = Lexicon(learnt_words(sample))
+    sample = materialize(training_sample(documents, labels, "toxic", most).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)).cast("int")), "sample")  # read three times
+    words = Lexicon(learnt_words(sample.where("part > 0")))  # what calibrates is not learnt from
     # ``most`` rows of numbers
-    rows = sample.select("text", "label", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)).cast("int").alias("part")).mapInArrow(_rows(words), "label int, x array<double>, part int").toArrow()
+    rows = sample.select("text", "label", "part").mapInArrow(_rows(words), "label int, x array<double>, part int").toArrow()
     y, part = rows.column("label").to_numpy().astype(float), rows.column("part").to_numpy()
     x = np.array(rows.column("x").to_pylist()).reshape(-1, FEATURES)
     if y.sum() < 3 or (1 - y).sum() < 3:
