@@ -571,3 +571,44 @@ def test_packing_edges(spark):
     assert [x[:2] for x in long] == [(k, 4096 * k) for k in range(len(long))] and sum(x[2] for x in long) == 30_002
     assert sum(r["doc_id"] == 5 for r in rows) == 3
     assert [(r["length"], r["ids_crc32"]) for r in rows if r["doc_id"] == 0] == [(1, zlib.crc32((1).to_bytes(4, "little")))]
+
+
+def test_quality_query_line_by_line(spark):
+    """Every score of the query against the field walked in plain loops, one document at a time."""
+    docs, known = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = crf_quality.fit(docs, known)
+    found = {r["doc_id"]: r for r in queries.queries()["op9_crf_quality"](spark, SF).collect()}
+    move = np.exp(model.field.move)
+    for r in docs.collect():
+        x, size, first = crf_quality.line_features([(r["text"] or "").encode()])
+        n = len(size)
+        zero = np.zeros(x.shape[1])
+        emit = []
+        for t in range(n):
+            own = np.concatenate([x[t], x[t - 1] if t else zero, x[t + 1] if t + 1 < n else zero, [1.0]])
+            emit.append(np.array([1.0, np.exp(np.clip(own @ model.field.weight, -30, 30))]))
+        forward, backward = [emit[0] / emit[0].sum()], [np.ones(2)]
+        for t in range(1, n):
+            f = np.array([sum(forward[-1][i] * move[i, j] for i in (0, 1)) * emit[t][j] for j in (0, 1)])
+            forward.append(f / f.sum())
+        for t in range(n - 1, 0, -1):
+            b = np.array([sum(move[i, j] * emit[t][j] * backward[0][j] for j in (0, 1)) for i in (0, 1)])
+            backward.insert(0, b / b.sum())
+        good = [f[1] * b[1] / (f * b).sum() for f, b in zip(forward, backward)]
+        raw = sum(g * (s + 1) for g, s in zip(good, size)) / sum(s + 1 for s in size)
+        score = float(model.calibration(crf_quality._logit(np.array([raw])))[0])
+        row = found.pop(r["doc_id"])
+        assert abs(row["score"] - score) < 1e-6 and row["predicted"] == int(row["score"] >= 0.3)
+    assert not found
+
+
+def test_toxicity_query_one_by_one(spark):
+    """Every score of the query against the same model on one text at a time."""
+    docs, known = table(spark, SF, "documents"), table(spark, SF, "labels")
+    model = toxicity.fit(docs, known)
+    found = {r["doc_id"]: r for r in queries.queries()["op5_toxicity"](spark, SF).collect()}
+    for r in docs.collect():
+        row = found.pop(r["doc_id"])
+        score = float(model.scores(np.array([toxicity.features(r["text"] or "", model.words)]))[0])
+        assert abs(row["score"] - score) < 1e-9 and row["predicted"] == int(row["score"] >= 0.5)
+    assert not found
