@@ -17,6 +17,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -189,7 +190,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS,
     sample = training_sample(documents, labels, "quality", most).select("doc_id", "text", "label")
     sample = sample.where(F.size(F.split("text", "\n")) <= max(1, most_lines // 50))
     rows = sample.mapInArrow(run, "doc_id long, label int, x binary, size array<long>").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
+    rows.sort(key=lambda r: (zlib.crc32(b"draw %d" % r["doc_id"]), r["doc_id"], r["x"]))  # lines are drawn by a hash of the id
     kept, lines = [], 0
     for r in rows:
         if lines + len(r["size"]) <= most_lines:
