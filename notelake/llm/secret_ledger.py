@@ -117,21 +117,27 @@ def _seen(spark: SparkSession, ledger: str) -> DataFrame:
         return spark.createDataFrame([], LEDGER)
 
 
-def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path: str = "path", text: str = "text") -> DataFrame:
+def addresses(versions: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
+    """at (struct of the path), blob of every row, written: no text is hashed for them again."""
+    return materialize(versions.select(F.struct(F.col(path).alias("p")).alias("at"), blob_of(F.col(text)).alias("blob")), "addresses")
+
+
+def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path: str = "path", text: str = "text", known_as: DataFrame | None = None) -> DataFrame:
     """Scan the unseen (blob, rule version) pairs of ``versions``, append them to ``ledger``.
 
-    Returns the appended rows' ledger, i.e. the whole ledger read again.
+    Returns the appended rows' ledger, i.e. the whole ledger read again. known_as: ``addresses`` of the versions, if there.
     """
     spark = versions.sparkSession
     wanted = F.array(*(F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version")) for r in rules))
-    body = F.coalesce(F.col(text), F.lit(""))
-    keyed = versions.select(F.struct(F.col(path).alias("p")).alias("at"), body.alias("body"), blob_of(F.col(text)).alias("blob")).withColumn("bkey", F.xxhash64("blob"))
-    one = keyed.groupBy("blob").agg(F.min("at").alias("at"), F.count("*").alias("n"))
+    named = addresses(versions, path, text) if known_as is None else known_as
+    one = named.groupBy("blob").agg(F.min("at").alias("at"), F.count("*").alias("n"))
     seen = _seen(spark, ledger).groupBy("blob").agg(F.collect_set(F.struct("rule", "version")).alias("done"))
     known = F.coalesce("done", F.expr("cast(array() as array<struct<rule:string,version:int>>)"))
     state = materialize(one.join(seen, "blob", "left").select("at", "blob", "n", F.array_except(wanted, known).alias("todo")), "blobs")
     # a blob of one path that no rule has seen is scanned where it is read; texts of others are moved to their representative
-    rows = sifted(keyed, sieve(state.where((F.col("n") > 1) | (F.size("todo") < len(rules))).select(F.xxhash64("blob").alias("bkey")), "bkey"), "bkey")
+    shared = named.join(state.where((F.col("n") > 1) | (F.size("todo") < len(rules))).select("blob"), "blob", "left_semi")
+    keyed = versions.select(F.struct(F.col(path).alias("p")).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("body")).withColumn("pkey", F.xxhash64("at"))
+    rows = sifted(keyed, sieve(shared.select(F.xxhash64("at").alias("pkey")), "pkey"), "pkey").withColumn("blob", blob_of(F.col("body")))
     moved = rows.where("maybe").join(state.where(F.size("todo") > 0).select("at", "blob", "todo"), ["at", "blob"]).select("blob", "body", "todo")
     found = rows.where("not maybe").select("blob", "body", wanted.alias("todo")).unionByName(moved).select(
         "blob",
@@ -152,10 +158,10 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, path
     return _seen(spark, ledger)
 
 
-def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "path", text: str = "text") -> DataFrame:
+def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, path: str = "path", text: str = "text", known_as: DataFrame | None = None) -> DataFrame:
     """(path, spans): for every row of ``versions`` the spans of the current rule versions.
 
-    spans is array<struct<start, rank, end, kind>> in order; rank is the rule's place in ``rules``.
+    spans is array<struct<start, rank, end, kind>> in order; rank is the rule's place in ``rules``. known_as: ``addresses`` of the versions, if there.
     """
     order = F.create_map(*(x for i, r in enumerate(rules) for x in (F.lit(f"{r.kind} {r.version}"), F.lit(i))))
     flat = (
@@ -167,7 +173,7 @@ def findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = R
         .groupBy("blob")
         .agg(F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
     )
-    paths = versions.select(F.col(path).alias("path"), blob_of(F.col(text)).alias("blob"))
+    paths = versions.select(F.col(path).alias("path"), blob_of(F.col(text)).alias("blob")) if known_as is None else known_as.select("at.p", "blob").withColumnRenamed("p", "path")
     empty = F.expr("cast(array() as array<struct<start:int,rank:int,end:int,kind:string>>)")
     return paths.join(flat, "blob", "left").select("path", F.coalesce("spans", empty).alias("spans"))
 
@@ -179,7 +185,8 @@ def joined(spans: Column) -> Column:
 def secrets(documents: DataFrame, ledger: str | None = None) -> DataFrame:
     """The digest columns of every row of ``documents`` (doc_id, text); a new ledger unless one is named."""
     ledger = ledger or scratch(documents.sparkSession, "secrets")
-    found = findings(documents, scan(documents, ledger, path="doc_id"), path="doc_id")
+    named = addresses(documents, "doc_id")
+    found = findings(documents, scan(documents, ledger, path="doc_id", known_as=named), path="doc_id", known_as=named)
     base = F.filter("spans", lambda s: s["rank"] < len(BASE_RULES))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select(
