@@ -18,6 +18,10 @@ def _labelled(module: str, function: str) -> Callable[[SparkSession, str], DataF
     return lambda spark, sf_dir: getattr(import_module(f"notelake.llm.{module}"), function)(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _tables(module: str, function: str, *names: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: getattr(import_module(f"notelake.llm.{module}"), function)(*(table(spark, sf_dir, n) for n in names))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_ledger": _over("secret_ledger", "secrets", "documents"),
@@ -30,11 +34,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": _over("line_dedup", "dedup_digests", "documents"),
         "op9_crf_quality": _labelled("crf_quality", "quality"),
         "op10_packing": _over("packing", "pack_documents", "documents"),
+        "op11_tolerant_asof": _tables("tolerant_asof", "click_orders", "clicks", "sales"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from notelake.llm import bitsliced_topk, line_dedup, poisson_mix, secret_ledger, warc_store
+    from notelake.llm import bitsliced_topk, line_dedup, poisson_mix, secret_ledger, tolerant_asof, warc_store
 
     return {
         "op1_secret_ledger": secret_ledger.ORACLE_SQL,
@@ -42,4 +47,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_warc_store": warc_store.ORACLE_SQL,
         "op6_poisson_mix": poisson_mix.ORACLE_SQL,
         "op8_line_dedup": line_dedup.ORACLE_SQL,
+        "op11_tolerant_asof": tolerant_asof.ORACLE_SQL,
     }
