@@ -35,11 +35,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_crf_quality": _labelled("crf_quality", "quality"),
         "op10_packing": _over("packing", "pack_documents", "documents"),
         "op11_tolerant_asof": _tables("tolerant_asof", "click_orders", "clicks", "sales"),
+        "op13_minimax_shards": _over("minimax_shards", "sharded", "documents"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from notelake.llm import bitsliced_topk, line_dedup, poisson_mix, secret_ledger, tolerant_asof, warc_store
+    from notelake.llm import bitsliced_topk, line_dedup, minimax_shards, poisson_mix, secret_ledger, tolerant_asof, warc_store
 
     return {
         "op1_secret_ledger": secret_ledger.ORACLE_SQL,
@@ -48,4 +49,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_poisson_mix": poisson_mix.ORACLE_SQL,
         "op8_line_dedup": line_dedup.ORACLE_SQL,
         "op11_tolerant_asof": tolerant_asof.ORACLE_SQL,
+        "op13_minimax_shards": minimax_shards.ORACLE_SQL,
     }
