@@ -35,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_crf_quality": _labelled("crf_quality", "quality"),
         "op10_packing": _over("packing", "pack_documents", "documents"),
         "op11_tolerant_asof": _tables("tolerant_asof", "click_orders", "clicks", "sales"),
+        "op12_token_alignment": _over("token_alignment", "align", "documents"),
         "op13_minimax_shards": _over("minimax_shards", "sharded", "documents"),
     }
 
