@@ -61,14 +61,14 @@ def _tied(orders: DataFrame, ties: list[str]) -> DataFrame:
 
 def _narrower(rows: DataFrame, width: int, fan: int) -> DataFrame:
     """The rows of split buckets in buckets of ``width``: each in its own, and the last before a bucket in that one too."""
-    sub = F.greatest(F.floor((F.col("o.at") - F.col("start")) / F.lit(width)), F.lit(-1)).cast("int")  # -1: before the bucket
+    sub = F.greatest(F.floor((F.col("o.at") - F.col("start")) / F.lit(width)), F.lit(-1)).cast("long")  # -1: before the bucket
     dealt = rows.select("key", "start", sub.alias("sub"), "o")
     own = dealt.where("sub >= 0").select("key", (F.col("start") + F.col("sub") * F.lit(width)).alias("start"), "o")
     last = dealt.groupBy("key", "start", "sub").agg(F.max("o").alias("o"))
     # fan + 1 entries at most
     lists = last.groupBy("key", "start").agg(F.collect_list(F.struct("sub", "o")).alias("lasts"))
     before = F.array_max(F.filter("lasts", lambda x: x["sub"] < F.col("sub")))
-    carried = lists.select("key", "start", "lasts", F.explode(F.sequence(F.lit(0), F.lit(fan - 1))).alias("sub")).select("key", (F.col("start") + F.col("sub") * F.lit(width)).alias("start"), before["o"].alias("o"))
+    carried = lists.select("key", "start", "lasts", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fan - 1).cast("long"))).alias("sub")).select("key", (F.col("start") + F.col("sub") * F.lit(width)).alias("start"), before["o"].alias("o"))
     return own.union(carried.where("o is not null"))
 
 
