@@ -14,7 +14,8 @@ Two things keep a group small, however the rows are spread:
 
 So a click meets at most ``MOST`` orders on the level where its bucket is whole, and one marker on each level above;
 levels are at most log(tolerance in microseconds) to the base ``FAN``, 9 for 30 days. The rows made by a split are at most
-``FAN`` a bucket of more than ``MOST`` rows, so they grow with the orders. Nothing is collected but whether any bucket was split.
+``FAN`` a bucket of more than ``MOST`` rows, so they grow with the orders. Nothing is
+collected but whether any bucket was split, and nothing is broadcast: the joins are merge joins, whose hot keys Spark splits.
 
 Defined results: a null client or time, on either side, never matches, and such a click is returned unmatched;
 copies of a click count once (of copies that differ, the latest time, then the largest client); a null click_id is an id like
@@ -88,11 +89,11 @@ def tolerant_asof(asks: DataFrame, orders: DataFrame, ties: list[str], tolerance
         counts = rows.groupBy("key", "start").count()
         split = materialize(counts.where(F.col("count") > most).select("key", "start", F.lit(True).alias("split")), "asof-split")
         last = width == 1 or split.isEmpty()
-        marked = rows.withColumn("split", F.lit(None).cast("boolean")) if last else materialize(rows.join(split, ["key", "start"], "left"), "asof-rows")
+        marked = rows.withColumn("split", F.lit(None).cast("boolean")) if last else materialize(rows.join(split.hint("merge"), ["key", "start"], "left"), "asof-rows")
         targets = marked.where("split is null")
         if not last:
             targets = targets.unionByName(split, allowMissingColumns=True)
-        t = targets.select(F.col("key").alias("t_key"), F.col("start").alias("t_start"), "o", "split")
+        t = targets.select(F.col("key").alias("t_key"), F.col("start").alias("t_start"), "o", "split").hint("merge")
         fits = F.col("split") | ((F.col("o.at") <= at) & (F.col("o.at") >= at - tolerance))
         pairs = asked.join(t, (F.col("key") == F.col("t_key")) & (F.col("start") == F.col("t_start")) & fits, "left")
         first = F.row_number().over(Window.partitionBy("ask").orderBy(F.col("o").desc_nulls_last()))
