@@ -13,8 +13,8 @@ bitmap of about two bits for each of its shingles, and one of 512 bits folded fr
 
 * Up to ``SMALL`` classes of one shingle meet on the folded bitmaps. Their candidate pairs are compared on the
   whole bitmaps, and what is left, little more than the links, is verified on the sets.
-* More classes of one shingle meet on the whole bitmaps and hand on a spanning forest of their candidates.
-  It is verified; where its components then hold more than one group, their members meet in blocks
+* More classes of one shingle meet on the whole bitmaps and hand on spanning forests of their candidates.
+  They are verified; where its components then hold more than one group, their members meet in blocks
   and are compared on their sets, and each two blocks hand on a forest of verified links. A shingle of more
   classes than a block is dealt out over cells, and the rows of a frequent one are salted before that.
 
@@ -284,41 +284,66 @@ def _pairs(bound: Similarity, area: int = 1 << 18):
 
 
 def _families(bound: Similarity, area: int = 1 << 21):
-    """Rows of MET by key, cell and role in, a spanning forest (a, b) of the candidates of each run out."""
+    """Rows of MET by key, cell and role in, spanning forests (a, b) of the candidates of each run out.
 
-    def forested(facts: np.ndarray, maps: list[np.ndarray]) -> np.ndarray:
-        """facts: role, node, grp, size. Owners (role 0) meet owners and visitors."""
-        width = np.array([len(m) for m in maps])
+    A run's owners (role 0, about a block at most) are held; its visitors pass by, ``BLOCK`` at a time, and each piece hands on
+    a forest of its own, so a task holds two blocks however long a run is.
+    """
+
+    def met(facts: np.ndarray, maps: list[np.ndarray], others: np.ndarray, visiting: list[np.ndarray], same: bool) -> np.ndarray:
+        """facts: node, grp, size. A forest of the candidates between two sides, or within one (``same``)."""
         a = b = d = np.zeros(0, dtype=np.int64)
+        width, wide = np.array([len(m) for m in maps]), np.array([len(m) for m in visiting])
         for longs in np.unique(width).tolist():
             mine = np.flatnonzero(width == longs)
             own = np.stack([maps[k] for k in mine])
-            for other in np.unique(width[width >= longs]).tolist():
-                rest = np.flatnonzero(width == other)
-                met = own if other == longs else narrowed(np.stack([maps[k] for k in rest]), longs)
-                step = max(1, area // (len(rest) * longs))
+            for other in np.unique(wide).tolist():
+                if same and other < longs:
+                    continue  # met as the other side
+                rest, least = np.flatnonzero(wide == other), min(longs, other)
+                left, right = narrowed(own, least), narrowed(np.stack([visiting[k] for k in rest]), least)
+                step = max(1, area // (len(rest) * least))
                 for lo in range(0, len(mine), step):
                     i, j = mine[lo : lo + step, None], rest[None, :]
-                    fits = (facts[i, 2] != facts[j, 2]) & bound.sizes(facts[i, 3], facts[j, 3]) & ((facts[i, 0] == 0) | (facts[j, 0] == 0))
-                    if other == longs:
+                    fits = (facts[i, 1] != others[j, 1]) & bound.sizes(facts[i, 2], others[j, 2])
+                    if same and other == longs:
                         fits &= i < j
                     if not fits.any():
                         continue
-                    h = np.bitwise_count(own[lo : lo + step, None, :] ^ met[None, :, :]).sum(axis=2, dtype=np.int64)
-                    r, o = np.nonzero(fits & bound.distance(facts[i, 3], facts[j, 3], h))
-                    a, b, d = np.concatenate([a, facts[mine[lo + r], 1]]), np.concatenate([b, facts[rest[o], 1]]), np.concatenate([d, h[r, o]])
+                    h = np.bitwise_count(left[lo : lo + step, None, :] ^ right[None, :, :]).sum(axis=2, dtype=np.int64)
+                    r, o = np.nonzero(fits & bound.distance(facts[i, 2], others[j, 2], h))
+                    a, b, d = np.concatenate([a, facts[mine[lo + r], 0]]), np.concatenate([b, others[rest[o], 0]]), np.concatenate([d, h[r, o]])
                     k = forest(a, b, d)
                     a, b, d = a[k], b[k], d[k]
         return np.sort(np.stack([a, b], axis=1), axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _runs(batches, 2):
+        current, facts, maps, among = None, np.zeros((0, 3), dtype=np.int64), [], True
+
+        def told(some: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(some[:, k])) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = np.stack([batch.column(k).to_numpy() for k in range(6)], axis=1)
-            maps = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in batch.column(6)]
-            for lo, n in zip(*_starts(rows[:, :2])):
-                some = forested(rows[lo : lo + n, 2:], maps[lo : lo + n])
-                if len(some):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(some[:, k])) for k in (0, 1)], names=["a", "b"])
+            for lo, n in zip(*_starts(rows[:, :3])):
+                here = [np.frombuffer(x.as_py(), dtype=np.uint64) for x in batch.column(6).slice(lo, n)]
+                if current != tuple(rows[lo, :2]):
+                    if not among:
+                        yield from told(met(facts, maps, facts, maps, True))
+                    current, facts, maps, among = tuple(rows[lo, :2]), np.zeros((0, 3), dtype=np.int64), [], True
+                if rows[lo, 2] == 0:
+                    facts, maps, among = np.concatenate([facts, rows[lo : lo + n, 3:]]), maps + here, False
+                    continue
+                if not among:
+                    yield from told(met(facts, maps, facts, maps, True))
+                    among = True
+                for at in range(0, n, BLOCK):
+                    yield from told(met(facts, maps, rows[lo + at : lo + min(n, at + BLOCK), 3:], here[at : at + BLOCK], False))
+        if not among:
+            yield from told(met(facts, maps, facts, maps, True))
 
     return run
 

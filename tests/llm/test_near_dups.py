@@ -6,6 +6,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from notelake.llm import near_dups
@@ -92,6 +93,45 @@ def test_dense_family(spark, monkeypatch, small, meeting, block, salted):
     assert kept(spark, texts) == brute_kept(texts)[0]
 
 
+@pytest.mark.parametrize("piece", [1, 7, 1000])
+def test_a_run_is_streamed(monkeypatch, piece):
+    """Visitors of a hot shingle pass by in pieces: no more than owners and a piece are compared at once, and what is connected stays so."""
+    monkeypatch.setattr(near_dups, "BLOCK", 20)
+    rng, bound = np.random.default_rng(4), near_dups.Similarity(0.8)
+    bases = [rng.integers(0, 2**64, 60, dtype=np.uint64) for _ in range(4)]
+    sets = [np.unique(np.concatenate([bases[k % 4][: 60 - k % 3], rng.integers(0, 2**64, k % 5 + 200 * (k % 11 == 0), dtype=np.uint64)])) for k in range(400)]
+    rows = sorted([(k % 3, k % 2, int(k >= 90), k, k % 50, len(x), near_dups.parity(x).tobytes()) for k, x in enumerate(sets)])
+    pieces, stack = [], np.stack
+
+    def watched(arrays, *a, **b):
+        pieces.append(len(arrays))
+        return stack(arrays, *a, **b)
+
+    names = ["key", "cell", "role", "node", "grp", "size", "whole"]
+    table_ = [pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[lo : lo + piece]], pa.binary() if c == 6 else pa.int64()) for c in range(7)], names=names) for lo in range(0, len(rows), piece)]
+    monkeypatch.setattr(near_dups.np, "stack", watched)
+    found = [tuple(x) for batch in near_dups._families(bound)(iter(table_)) for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+    monkeypatch.undo()
+    assert max(pieces) <= 20
+
+    def roots(pairs):
+        up = list(range(400))
+        top = lambda x: x if up[x] == x else top(up[x])
+        for a, b in pairs:
+            up[max(top(a), top(b))] = min(top(a), top(b))
+        return [top(x) for x in range(400)]
+
+    want = []
+    for p in rows:
+        for q in rows:
+            if p[:2] == q[:2] and p[3] < q[3] and 0 in (p[2], q[2]) and p[4] != q[4] and bound.sizes(p[5], q[5]):
+                x, y = (np.frombuffer(r[6], dtype=np.uint64) for r in (p, q))
+                longs = min(len(x), len(y))
+                if bound.distance(p[5], q[5], int(np.bitwise_count(near_dups.narrowed(x, longs) ^ near_dups.narrowed(y, longs)).sum())):
+                    want.append((p[3], q[3]))
+    assert set(found) <= set(want) and roots(found) == roots(want) and len(want) > 300
+
+
 def test_repeats_inside_and_common_passages(spark):
     rng, texts = random.Random(8), {}
     words = lambda n: " ".join(f"r{rng.randrange(10**6)}" for _ in range(n))
