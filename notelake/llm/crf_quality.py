@@ -5,14 +5,14 @@ trained on the lines of labelled documents, each with its document's label, by g
 likelihood. A document's raw score is the mean of its lines' forward-backward marginals for *good*, weighed
 by the lines' lengths; isotonic calibration on a quarter of the sample turns it into a probability.
 
-The sample is bounded in documents and in lines (``MAX_TRAINING_ROWS``, ``MAX_TRAINING_LINES``; documents
-beyond take no part in training). Every document is scored whole, in one pass without a shuffle. Class
+The sample is bounded in documents and in lines (``MAX_TRAINING_ROWS``, ``MAX_TRAINING_LINES``), and so are the lines of
+one of its documents (``MAX_LINES_OF_ONE``); documents beyond take no part in training. Every document is scored whole, in one pass without a shuffle. Class
 counts come from running sums over the bytes of a batch, and the two passes of the field run over all
 documents of a batch at once, so a text of very many lines costs time in proportion.
 
 Defined results: a null or empty text is one empty line; rows are judged one by one, so repeated rows,
 ties and null ids change nothing (a null id is held out); without usable labels every score is 0.5; an
-empty table gives no rows.
+empty table gives no rows; other columns of either table are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ from notelake.session import ship
 
 MAX_TRAINING_ROWS = 8_000
 MAX_TRAINING_LINES = 300_000
+MAX_LINES_OF_ONE = 6_000
 OWN = 15
 
 _KIND = np.zeros(256, dtype=np.int64)
@@ -175,7 +176,7 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS, most_lines: int = MAX_TRAINING_LINES) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS, most_lines: int = MAX_TRAINING_LINES, most_of_one: int = MAX_LINES_OF_ONE) -> Model:
     ship(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +189,7 @@ def fit(documents: DataFrame, labels: DataFrame, most: int = MAX_TRAINING_ROWS,
             )
 
     sample = training_sample(documents, labels, "quality", most).select("doc_id", "text", "label")
-    sample = sample.where(F.size(F.split("text", "\n")) <= max(1, most_lines // 50))
+    sample = sample.where(F.size(F.split("text", "\n")) <= most_of_one)
     rows = sample.mapInArrow(run, "doc_id long, label int, x binary, size array<long>").toArrow().to_pylist()
     rows.sort(key=lambda r: (zlib.crc32(b"draw %d" % r["doc_id"]), r["doc_id"], r["x"]))  # lines are drawn by a hash of the id
     kept, lines = [], 0
