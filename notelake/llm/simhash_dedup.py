@@ -425,7 +425,8 @@ def links(nodes: DataFrame, tau: int = TAU) -> DataFrame:
         "crowded",
     )
     order = ["part", "key", "cell", "role"]
-    met = dealt(probes, crowded, ["part", "key"], ["fp"]).select(*order, "fp").repartition(partitions(nodes), "part", "key", "cell").sortWithinPartitions(*order)
+    n = partitions(nodes, max(1, 64 // (4 * sum(1 + len(_masks(bits, t)) for bits, t in parts))))  # a fingerprint of 8 bytes gives at most so many rows of 28
+    met = dealt(probes, crowded, ["part", "key"], ["fp"]).select(*order, "fp").repartition(n, "part", "key", "cell").sortWithinPartitions(*order)
     return met.mapInArrow(_links(tau), "a long, b long, h long")
 
 

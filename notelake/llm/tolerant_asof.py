@@ -6,8 +6,8 @@ filter on the times, and ``row_number`` in the order of ties leave one order for
 
 Two things keep a group small, however the rows are spread:
 
-* orders of one client at one time are one row (the first in the order of ties, and their number), made
-  before anything is joined;
+* orders of one client at one time are one row (the first in the order of ties, and their number), and so are clicks of one
+  client and time, made before anything is joined; the answers go back to the clicks by client and time;
 * a bucket of more than ``MOST`` times is split into ``FAN`` narrower ones, again and again while it has to
   be. The last order before a narrower bucket goes into it too, as the replicas do on the first level, and
   a click whose bucket was split meets one marker, which sends it to the narrower bucket of its time.
@@ -74,17 +74,17 @@ def _narrower(rows: DataFrame, width: int, fan: int) -> DataFrame:
 
 
 def tolerant_asof(asks: DataFrame, orders: DataFrame, ties: list[str], tolerance: int = TOLERANCE, most: int = MOST, fan: int = FAN) -> DataFrame:
-    """ask, key, at, o: for each row of ``asks`` (ask, key, at; ask is unique) the struct ``o`` (at, the columns ``ties``, n_tied) of its
+    """ask, key, at, o: for each row of ``asks`` (ask, key, at) the struct ``o`` (at, the columns ``ties``, n_tied) of its
     order, or null. ``orders``: key, at and the columns ``ties``, the largest of which wins among equal times, the first column first."""
-    asks = asks.select("ask", "key", "at")
+    asks = materialize(asks.select("ask", "key", "at"), "asof-asks")
     whole = asks.where("key is not null and at is not null")
     tied = materialize(_tied(orders, ties), "asof-orders")
-    found = [asks.where("key is null or at is null").withColumn("o", F.lit(None).cast(tied.schema["o"].dataType))]
+    none = asks.where("key is null or at is null").withColumn("o", F.lit(None).cast(tied.schema["o"].dataType))
     own = F.col("o.at") - F.pmod(F.col("o.at"), F.lit(tolerance))
     rows = tied.select("key", F.explode(F.array(own, own + tolerance)).alias("start"), "o")
     at = F.col("at")
-    asked = whole.withColumn("start", at - F.pmod(at, F.lit(tolerance)))
-    width = tolerance
+    asked = whole.select("key", "at").distinct().withColumn("start", at - F.pmod(at, F.lit(tolerance)))
+    width, found = tolerance, []
     while True:
         counts = rows.groupBy("key", "start").count()
         split = materialize(counts.where(F.col("count") > most).select("key", "start", F.lit(True).alias("split")), "asof-split")
@@ -96,17 +96,18 @@ def tolerant_asof(asks: DataFrame, orders: DataFrame, ties: list[str], tolerance
         t = targets.select(F.col("key").alias("t_key"), F.col("start").alias("t_start"), "o", "split").hint("merge")
         fits = F.col("split") | ((F.col("o.at") <= at) & (F.col("o.at") >= at - tolerance))
         pairs = asked.join(t, (F.col("key") == F.col("t_key")) & (F.col("start") == F.col("t_start")) & fits, "left")
-        first = F.row_number().over(Window.partitionBy("ask").orderBy(F.col("o").desc_nulls_last()))
-        best = pairs.select("ask", "key", "at", "start", "o", "split", first.alias("nth")).where("nth = 1")
+        first = F.row_number().over(Window.partitionBy("key", "at").orderBy(F.col("o").desc_nulls_last()))
+        best = pairs.select("key", "at", "start", "o", "split", first.alias("nth")).where("nth = 1")
         if last:
-            found.append(best.select("ask", "key", "at", "o"))
+            found.append(best.select("key", "at", "o"))
             break
         best = materialize(best, "asof-level")
-        found.append(best.where("split is null").select("ask", "key", "at", "o"))
+        found.append(best.where("split is null").select("key", "at", "o"))
         width = -(-width // fan)
-        asked = best.where("split").select("ask", "key", "at", (F.col("start") + F.floor((at - F.col("start")) / F.lit(width)) * F.lit(width)).alias("start"))
+        asked = best.where("split").select("key", "at", (F.col("start") + F.floor((at - F.col("start")) / F.lit(width)) * F.lit(width)).alias("start"))
         rows = materialize(_narrower(marked.where("split"), width, fan), "asof-rows")
-    return reduce(DataFrame.union, found)
+    answers = reduce(DataFrame.union, found).hint("merge")
+    return whole.join(answers, ["key", "at"], "left").select("ask", "key", "at", "o").union(none)
 
 
 def clicks_once(clicks: DataFrame) -> DataFrame:

@@ -10,7 +10,8 @@ and the calibration from the rest. Every document is scored, in one pass without
 
 Defined results: a null or empty text has zero features and still gets a score; rows are judged one by
 one, so repeated rows, ties and null ids change nothing (a null id is held out); without usable labels
-every score is 0.5 less a margin, and nothing is predicted toxic; an empty table gives no rows.
+every score is 0.5 less a margin, and nothing is predicted toxic; an empty table gives no rows; other
+columns of either table are ignored, whatever their names.
 """
 
 from __future__ import annotations
