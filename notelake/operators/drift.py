@@ -6,11 +6,16 @@ first, else what follows its last dot), and either to the revision at which its
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions.text import segments
 from notelake.operators.history import resolve_paths, resolved_in
+from notelake.operators.similarity import fnv1a
+from notelake.operators.timeline import in_force, versions
 
 SOURCES = ["java", "ts", "tsx", "js", "jsx", "mjs"]
 # The language of a source file by its extension.
@@ -22,9 +27,19 @@ def language(path: Column) -> Column:
     return F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)))
 
 
+#: White space that a body's hash does not see.
+_BLANK = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
 def body_hash(source: Column) -> Column:
-    """16 digits that do not change with the white space of a body."""
-    return F.substring(F.sha2(F.btrim(F.regexp_replace(source, r"\s+", " ")), 256), 1, 16)
+    """16 hex digits, FNV-1a of the body with each run of white space as one blank; null stays null."""
+
+    @F.pandas_udf("string")
+    def hashed(bodies: pd.Series) -> pd.Series:
+        told = [_BLANK.sub(" ", b).strip(" ").encode("utf-8", "surrogatepass") for b in bodies.dropna()]
+        return pd.Series([f"{h:016x}" for h in fnv1a(told).tolist()], index=bodies.dropna().index, dtype=object).reindex(bodies.index)
+
+    return hashed(source)
 
 
 def file_hash(symbols: DataFrame, by: list[str]) -> DataFrame:
@@ -65,15 +80,44 @@ def _in_files(symbols: DataFrame) -> DataFrame:
     return found.unionByName(symbols.where("symbol = ''").select("repo", "path", "symbol", "start", "body_hash"))
 
 
-def drift(refs: DataFrame, now: DataFrame, then: DataFrame) -> DataFrame:
-    """refs(note, pos, repo, path, symbol, line) with verdict: citations whose path names one file (``unresolved`` has the others).
+def held(events: DataFrame) -> DataFrame:
+    """repo, path, name, since, until, start, body_hash: how long each state of a declaration held.
+
+    events: repo, path, name, at (a day), gone, start, body_hash: what commits left of a declaration; of one day there is one row.
+    """
+    return versions(events, ["repo", "path", "name"], "at").where("not gone").select("repo", "path", "name", F.col("at").alias("since"), "until", "start", "body_hash")
+
+
+def held_files(states: DataFrame) -> DataFrame:
+    """repo, path, since, until, file_hash: how long the declarations of a file stayed as they were. states: as of :func:`held`."""
+    days = states.select("repo", "path", F.explode(F.array("since", "until")).alias("at")).where("at is not null").distinct()
+    then = file_hash(in_force(days, states.select("repo", "path", "since", "until", "name", "start", "body_hash"), ["repo", "path"], "at"), ["repo", "path", "at"])
+    spans = versions(days.join(then, ["repo", "path", "at"], "left"), ["repo", "path"], "at")
+    return spans.where("file_hash is not null").select("repo", "path", F.col("at").alias("since"), "until", "file_hash")
+
+
+def drift(refs: DataFrame, states: DataFrame) -> DataFrame:
+    """Citations whose path names one file (``unresolved`` has the others), with their verdict.
+
+    Each note is judged by the tree of its own verification: a body that differs from the one in force at the end of that day is
+    suspect. A note that was never verified, a day before the history, a file or a symbol that was not there yet give no baseline and no suspicion.
 
-    now, then: repo, path, symbol, start, body_hash; symbol '' is the file, with the hash of its declarations.
+    refs: note, pos, repo, path, symbol ('' is the whole file), line, verified (a day or null); states: as of :func:`held`. What
+    holds still is the tree at HEAD. Gives note, pos, repo, path, symbol, line, line_now, verdict.
     """
-    files = now.select("repo", "path").distinct().withColumn("present", F.lit(True))
-    head = _in_files(now).select("repo", "path", "symbol", F.col("start").alias("line_now"), F.col("body_hash").alias("hash_now"))
-    base = _in_files(then).select("repo", "path", "symbol", F.col("body_hash").alias("hash_then"))
-    rows = refs.join(files, ["repo", "path"], "left").join(head, ["repo", "path", "symbol"], "left").join(base, ["repo", "path", "symbol"], "left")
+    files = held_files(states)
+    now = states.where("until is null").select("repo", "path", F.col("name").alias("symbol"), "start", "body_hash")
+    whole = lambda rows, *more: rows.select("repo", "path", F.lit("").alias("symbol"), F.lit(None).cast(states.schema["start"].dataType).alias("start"), F.col("file_hash").alias("body_hash"), *more)
+    head = _in_files(now.unionByName(whole(files.where("until is null")))).select("repo", "path", "symbol", F.col("start").alias("line_now"), F.col("body_hash").alias("hash_now"))
+    # every full and short name finds its declarations of that day: the full name first, then the first of the file
+    named = states.select("repo", "path", F.col("name").alias("symbol"), F.lit(0).alias("rank"), "name", "start", "body_hash", "since", "until")
+    short = named.where(F.col("name").rlike(r"^.+\.[^.]*$")).withColumns({"symbol": F.regexp_extract("name", r"^.+\.([^.]*)$", 1), "rank": F.lit(1)})
+    found = named.unionByName(short).unionByName(whole(files, "since", "until").withColumns({"rank": F.lit(0), "name": F.lit("")}))
+    asked = refs.where("verified is not null").select("repo", "path", "symbol", "verified").distinct()
+    base = in_force(asked, found, ["repo", "path", "symbol"], "verified").groupBy("repo", "path", "symbol", "verified").agg(F.min(F.struct("rank", "start", "name", "body_hash")).alias("x"))
+    base = base.select("repo", "path", "symbol", "verified", F.col("x.body_hash").alias("hash_then"))
+    present = now.select("repo", "path").distinct().withColumn("present", F.lit(True))
+    rows = refs.join(present, ["repo", "path"], "left").join(head, ["repo", "path", "symbol"], "left").join(base, ["repo", "path", "symbol", "verified"], "left")
     return rows.withColumn(
         "verdict", verdict(F.coalesce("present", F.lit(False)), F.col("symbol"), F.col("hash_now").isNotNull(), F.col("hash_then"), F.col("hash_now"), F.col("line"), F.col("line_now"))
     ).select("note", "pos", "repo", "path", "symbol", "line", "line_now", "verdict")

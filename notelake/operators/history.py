@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notelake.operators.timeline import last_before
+
 #: Commits of more files than this tell nothing about coupling.
 WIDE = 25
 
@@ -45,17 +47,16 @@ def uncovered(symbols: DataFrame, counted: DataFrame, cited: DataFrame, least_co
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, when: str, value: str) -> DataFrame:
-    """left with the ``value`` of the newest right row of its key at or before ``at`` (null if none).
+    """left with the ``value`` of the newest right row of its key at or before ``at`` (null if none; of one time the largest value).
 
-    Both sides are one sorted stream for each key: a union and a running last value, with no range join;
-    work and memory are linear in the rows.
+    Moments of a key are answered once, in cells of time (:func:`notelake.operators.timeline.last_before`), so a hot key is
+    not one task's sort, and go back to the rows by an equi join. Times may be timestamps or numbers.
     """
-    row = F.struct(*left.columns)
-    both = left.select(F.col(key).alias("k"), F.col(at).alias("t"), F.lit(1).alias("side"), row.alias("row"), F.lit(None).cast(right.schema[value].dataType).alias("v")).unionByName(
-        right.select(F.col(key).alias("k"), F.col(when).alias("t"), F.lit(0).alias("side"), F.lit(None).cast(left.select(row.alias("r")).schema["r"].dataType).alias("row"), F.col(value).alias("v"))
-    )
-    order = Window.partitionBy("k").orderBy("t", "side", F.col("v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("v", F.last("v", ignorenulls=True).over(order)).where("side = 1").select("row.*", F.col("v").alias(value))
+    number = lambda df, c: F.unix_micros(F.col(c).cast("timestamp")) if df.schema[c].dataType.typeName().startswith("timestamp") else F.col(c)
+    asked = left.withColumns({"_k": F.col(key), "_t": number(left, at)})
+    known = right.select(F.col(key).alias("_k"), number(right, when).alias("_t"), F.col(value).alias("value"))
+    found = last_before(asked.select("_k", "_t"), known, ["_k"], "_t").withColumnRenamed("value", "_v")
+    return asked.join(found, ["_k", "_t"], "left").select(*(F.col(f"`{c}`") for c in left.columns), F.col("_v").alias(value))
 
 
 def confidence(notes: DataFrame, findings: DataFrame, demotions: DataFrame) -> DataFrame:
@@ -79,22 +80,24 @@ def confidence(notes: DataFrame, findings: DataFrame, demotions: DataFrame) -> D
 def resolved_in(refs: DataFrame, files: DataFrame, by: list[str] | None = None) -> DataFrame:
     """ref_id, n, at: how many files a citation names, the smallest of them; citations that name none have no row.
 
-    An equi join on the basename (and on ``by``), then the cited parts in order; the fewest unstated parts win, but a
+    An equi join on the basename and the cited part before it (and on ``by``), then the cited parts in order; the fewest unstated parts win, but a
     bare file name keeps all its matches. A bare name needs no list of its matches: what it names is counted
     for each basename and repository first, so that a very common name meets one row.
     """
     from notelake.functions.text import is_subsequence, segments
 
     by = by or []
-    base = lambda c: F.try_element_at(F.col(c), F.lit(-1))
+    base = lambda c: F.lower(F.try_element_at(F.col(c), F.lit(-1)))
     want = refs.select("ref_id", *by, F.col("repo").alias("want_repo"), segments(F.col("path")).alias("want")).withColumn("base", base("want"))
     have = files.select(*by, "repo", "path", segments(F.col("path")).alias("have")).withColumn("base", base("have")).where("base is not null")
     spot = F.concat_ws(":", "repo", "path")
     counted = have.groupBy(*by, "base", "repo").agg(F.count("*").alias("n"), F.min(spot).alias("at"))
     whole = counted.groupBy(*by, "base").agg(F.sum("n").alias("n"), F.min("at").alias("at")).withColumn("want_repo", F.lit(""))
     bare = want.where(F.size("want") == 1).join(counted.withColumnRenamed("repo", "want_repo").where("want_repo <> ''").unionByName(whole), [*by, "base", "want_repo"]).select("ref_id", "n", "at")
-    # of longer ones the last two parts are not an equality (parts may be left out), the last one is
-    hits = want.where(F.size("want") > 1).join(have, [*by, "base"]).where(((F.col("want_repo") == "") | (F.col("want_repo") == F.col("repo"))) & is_subsequence(F.col("want"), F.col("have")))
+    # parts may be left out, so the last two of a longer one are no suffix; but its last part but one is some part of the file's folders,
+    # so a base name that many files have is no key by itself
+    folders = have.withColumn("part", F.explode(F.array_distinct(F.transform(F.slice("have", F.lit(1), F.size("have") - 1), F.lower))))
+    hits = want.where(F.size("want") > 1).withColumn("part", F.lower(F.try_element_at("want", F.lit(-2)))).join(folders, [*by, "base", "part"]).where(((F.col("want_repo") == "") | (F.col("want_repo") == F.col("repo"))) & is_subsequence(F.col("want"), F.col("have")))
     best = hits.groupBy("ref_id", (F.size("have") - F.size("want")).alias("extra")).agg(F.count("*").alias("n"), F.min(spot).alias("at"))
     return bare.unionByName(best.groupBy("ref_id").agg(F.min_by(F.struct("n", "at"), "extra").alias("b")).select("ref_id", "b.n", "b.at"))
 

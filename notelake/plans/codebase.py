@@ -11,7 +11,7 @@ from notelake.operators import history as H
 from notelake.operators.components import connected_components
 from notelake.plans import inputs as I
 from notelake.plans.registry import query
-from notelake.session import table
+from notelake.session import materialize, table
 
 # ------------------------------------------------------------------ graph: parts are notes, and a line links its part to that of its supplier's number
 
@@ -41,14 +41,14 @@ def orphans(spark, sf):
     return L.degrees(*_graph(spark, sf)).where("is_orphan").select("rel")
 
 
-# an order and a part of one of its cheap lines belong together; labels spread until none changes
-_LABELS = """e as (select distinct 2 * l_orderkey as a, 2 * l_partkey + 1 as b from lineitem where l_extendedprice < 2500),
+# an order and the part of a line belong together; labels spread until none changes
+_LABELS = """e as (select distinct 2 * l_orderkey as a, 2 * l_partkey + 1 as b from lineitem),
     u as (select a, b from e union select b, a from e),
     label(x, c) using key (x) as (select distinct a, a from u union (select u.a, min(l.c) from label l join u on u.b = l.x join recurring.label o on o.x = u.a group by u.a having min(l.c) < min(o.c)))"""
 
 
 def _together(spark, sf) -> DataFrame:
-    return connected_components(table(spark, sf, "lineitem").where("l_extendedprice < 2500").select((2 * F.col("l_orderkey")).alias("a"), (2 * F.col("l_partkey") + 1).alias("b")))
+    return connected_components(table(spark, sf, "lineitem").select((2 * F.col("l_orderkey")).alias("a"), (2 * F.col("l_partkey") + 1).alias("b")))
 
 
 @query("components", f"with recursive {_LABELS} select x as node, c as component from label")
@@ -88,27 +88,46 @@ def citations(spark, sf) -> DataFrame:
     )
 
 
-def _tree(spark, sf, head: bool) -> DataFrame:
-    """Declarations and files of one tree."""
-    named = declarations(spark, sf).where(F.col("head") == head)
-    files = D.file_hash(named, ["repo", "path"]).select("repo", "path", F.lit("").alias("symbol"), F.lit(None).cast("long").alias("start"), F.col("file_hash").alias("body_hash"))
-    return named.select("repo", "path", F.col("name").alias("symbol"), "start", "body_hash").unionByName(files)
+# the history of the tree: a line is what the commit of its day left of a declaration; returned lines took it away
+I.VIEWS["commits_of"] = """select 'r' || (l_linenumber // 4) as repo, 'f' || l_partkey as path, 'P' || l_partkey || '.m' || (cast(round(l_discount * 100) as integer) % 4) as name, date_diff('day', date '1970-01-01', cast(l_shipdate as date)) as at_day,
+    bool_and(l_returnflag = 'R') as gone, min(l_suppkey) as start, md5(cast(max(cast(l_quantity as integer)) as varchar)) as body_hash from lineitem group by 1, 2, 3, 4"""
+# a note is an order's, with a day of verification of its own; every fifth has none
+I.VIEWS["dated_citations"] = """select 'n' || l_orderkey as note, l_orderkey * 10 + l_linenumber as pos, 'r' || (l_linenumber // 4) as repo, 'f' || l_partkey as path,
+    case when l_tax < 0.03 then '' when l_tax < 0.055 then 'P' || l_partkey || '.m' || (cast(round(l_discount * 100) as integer) % 4) else 'm' || (cast(round(l_discount * 100) as integer) % 4) end as symbol,
+    case when l_linenumber = 1 then 0 else l_suppkey end as line, case when l_orderkey % 5 > 0 then 8000 + (l_orderkey * 37) % 2600 end as verified from lineitem"""
 
 
-def _sql_tree(name: str, head: bool) -> str:
-    return f"""{name}_d as (select * from declarations where head = {str(head).lower()}),
-    {name} as (select repo, path, '' as symbol, null as start, sha256(string_agg(name || ':' || body_hash, ';' order by start, name, body_hash)) as body_hash from {name}_d group by repo, path
-        union all select repo, path, wanted, arg_min(start, (rank, start, name)), arg_min(body_hash, (rank, start, name)) from (select *, name as wanted, 0 as rank from {name}_d union all select *, string_split(name, '.')[2], 1 from {name}_d) group by repo, path, wanted)"""
+def commits_of(spark, sf) -> DataFrame:
+    li = table(spark, sf, "lineitem")
+    name = F.concat(F.lit("P"), "l_partkey", F.lit(".m"), _number() % 4)
+    rows = li.select(F.concat(F.lit("r"), F.floor(F.col("l_linenumber") / 4)).alias("repo"), F.concat(F.lit("f"), "l_partkey").alias("path"), name.alias("name"), F.unix_date(F.col("l_shipdate").cast("date")).alias("at"), "l_returnflag", "l_suppkey", F.col("l_quantity").cast("int").alias("q"))
+    return rows.groupBy("repo", "path", "name", "at").agg(F.bool_and(F.col("l_returnflag") == "R").alias("gone"), F.min("l_suppkey").alias("start"), F.md5(F.max("q").cast("string")).alias("body_hash"))
+
+
+def dated_citations(spark, sf) -> DataFrame:
+    full, short = F.concat(F.lit("P"), "l_partkey", F.lit(".m"), _number() % 4), F.concat(F.lit("m"), _number() % 4)
+    return table(spark, sf, "lineitem").select(
+        F.concat(F.lit("n"), "l_orderkey").alias("note"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.concat(F.lit("r"), F.floor(F.col("l_linenumber") / 4)).alias("repo"), F.concat(F.lit("f"), "l_partkey").alias("path"),
+        F.when(F.col("l_tax") < 0.03, "").when(F.col("l_tax") < 0.055, full).otherwise(short).alias("symbol"), F.when(F.col("l_linenumber") == 1, 0).otherwise(F.col("l_suppkey")).alias("line"),
+        F.when(F.col("l_orderkey") % 5 > 0, 8000 + (F.col("l_orderkey") * 37) % 2600).cast("int").alias("verified"),
+    )
 
 
-_DRIFT = f"""{_sql_tree('n', True)}, {_sql_tree('t', False)}, f as (select distinct repo, path from n),
-    v as (select r.note, r.pos, r.repo, r.path, r.symbol, r.line, n.start as line_now, case when f.path is null then 'broken' when r.symbol <> '' and n.body_hash is null then 'broken' when t.body_hash <> n.body_hash then 'suspect'
+_PICK = "case when k.symbol = '' then sha256(string_agg(k.name || ':' || body_hash, ';' order by start, k.name, body_hash)) else arg_min(body_hash, (rank, start, k.name)) end"
+_DRIFT = f"""ev as materialized (select * from commits_of), nm as (select distinct repo, path, name, string_split(name, '.')[2] as short from ev),
+    q as (select distinct repo, path, symbol, verified from dated_citations),
+    k as (select q.*, n.name, case when n.name = q.symbol or q.symbol = '' then 0 else 1 end as rank from q join nm n on n.repo = q.repo and n.path = q.path and (q.symbol in ('', n.name, n.short))),
+    t as (select k.repo, k.path, k.symbol, k.verified, {_PICK} as hash_then from k asof join ev e on k.repo = e.repo and k.path = e.path and k.name = e.name and k.verified >= e.at_day where not e.gone group by k.repo, k.path, k.symbol, k.verified),
+    last as (select * from ev qualify row_number() over (partition by repo, path, name order by at_day desc) = 1),
+    f as (select distinct repo, path from last where not gone),
+    n as (select k.repo, k.path, k.symbol, case when k.symbol <> '' then arg_min(start, (rank, start, k.name)) end as start, {_PICK} as body_hash from (select distinct repo, path, symbol, name, rank from k) k join last using (repo, path, name) where not gone group by k.repo, k.path, k.symbol),
+    v as (select r.note, r.pos, r.repo, r.path, r.symbol, r.line, n.start as line_now, case when f.path is null then 'broken' when r.symbol <> '' and n.body_hash is null then 'broken' when t.hash_then <> n.body_hash then 'suspect'
         when r.symbol <> '' and r.line <> 0 and r.line <> n.start then 'repaired' else 'ok' end as verdict
-        from citations r left join f using (repo, path) left join n using (repo, path, symbol) left join t using (repo, path, symbol))"""
+        from dated_citations r left join f using (repo, path) left join n using (repo, path, symbol) left join t using (repo, path, symbol, verified))"""
 
 
 def _drift(spark, sf) -> DataFrame:
-    return D.drift(citations(spark, sf), _tree(spark, sf, True), _tree(spark, sf, False))
+    return D.drift(dated_citations(spark, sf), materialize(D.held(commits_of(spark, sf)), "held"))
 
 
 @query("drift_ladder", f"with {_DRIFT} select note, pos, repo, path, symbol, line, line_now, verdict from v")
@@ -126,22 +145,22 @@ def first_broken(spark, sf):
     return _drift(spark, sf).where("verdict = 'broken'").groupBy("note").agg(F.min("pos").alias("pos"), F.min_by("path", "pos").alias("path"))
 
 
-_CONF = "c as (select 'n' || s_suppkey as slug, case when s_acctbal < 0 then '' when s_acctbal < 3000 then 'low' when s_acctbal < 6000 then 'medium' else 'high' end as confidence from supplier), m as (select 'n' || s_suppkey as slug, 'high' as prior from supplier where s_nationkey < 8)"
+_CONF = """c as (select 'n' || o_orderkey as slug, case when o_totalprice < 40000 then '' when o_totalprice < 90000 then 'low' when o_totalprice < 150000 then 'medium' else 'high' end as confidence from orders),
+    m as (select 'n' || o_orderkey as slug, 'high' as prior from orders where o_custkey % 4 = 0)"""
 
 
 @query(
     "confidence_transitions",
-    f"""with {_DRIFT}, {_CONF}, b as (select note || case when symbol = '' then '' else symbol end as slug, bool_or(verdict = 'broken') as broken from v where symbol = '' group by 1),
+    f"""with {_DRIFT}, {_CONF}, b as (select note as slug, bool_or(verdict = 'broken') as broken from v group by 1),
     a as (select slug, confidence, prior, case when broken and confidence not in ('', 'low') and prior is null then 'demoted' when not broken and prior is not null then 'restored' else 'stamped' end as action from c join b using (slug) left join m using (slug))
     select slug, action, case action when 'demoted' then 'low' when 'restored' then prior else confidence end as confidence, case action when 'demoted' then confidence when 'restored' then null else prior end as remembered from a""",
 )
 def confidence_transitions(spark, sf):
-    """Citations of whole files decide; those of symbols would break every note."""
-    s = table(spark, sf, "supplier")
-    slug, bal = F.concat(F.lit("n"), "s_suppkey").alias("slug"), F.col("s_acctbal")
-    notes = s.select(slug, F.when(bal < 0, "").when(bal < 3000, "low").when(bal < 6000, "medium").otherwise("high").alias("confidence"))
-    findings = _drift(spark, sf).where("symbol = ''").select(F.col("note").alias("slug"), "pos", "verdict")
-    return H.confidence(notes, findings, s.where("s_nationkey < 8").select(slug, F.lit("high").alias("prior")))
+    o = table(spark, sf, "orders")
+    slug, price = F.concat(F.lit("n"), "o_orderkey").alias("slug"), F.col("o_totalprice")
+    notes = o.select(slug, F.when(price < 40000, "").when(price < 90000, "low").when(price < 150000, "medium").otherwise("high").alias("confidence"))
+    findings = _drift(spark, sf).select(F.col("note").alias("slug"), "pos", "verdict")
+    return H.confidence(notes, findings, o.where("o_custkey % 4 = 0").select(slug, F.lit("high").alias("prior")))
 
 
 _FIRST = "arg_min({0}, (rank, repo, path, start, name))"
