@@ -17,7 +17,6 @@ from notelake.operators.history import resolve_paths, resolved_in
 from notelake.operators.similarity import fnv1a
 from notelake.operators.timeline import in_force, versions
 
-SOURCES = ["java", "ts", "tsx", "js", "jsx", "mjs"]
 # The language of a source file by its extension.
 LANGUAGES = {"java": "java", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript"}
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from notelake.operators import drift as D
 from notelake.operators import graph as L
 from notelake.operators import history as H
+from notelake.operators import renames
 from notelake.operators.components import connected_components
 from notelake.plans import inputs as I
 from notelake.plans.registry import query
@@ -244,3 +245,21 @@ def absolute_paths(spark, sf):
     # every host is a root, and the scheme alone a shorter one that never wins
     roots = hosts.select(F.concat(F.lit("r"), F.length("h")).alias("repo"), F.concat(F.lit("https://"), "h", F.lit("/")).alias("root")).unionByName(hosts.select(F.concat(F.lit("r"), F.length("h")).alias("repo"), F.concat(F.lit("http://"), "h").alias("root")))
     return p.join(D.in_roots(p.select(F.col("url").alias("path")).distinct(), roots).withColumnRenamed("path", "url"), "url").select("page_id", "repo", "rel")
+
+
+# ------------------------------------------------------------------ renames: a line adds the file of its part, or renames that of its supplier's number to it
+
+_EVENTS = "ev as materialized (select 'r' as repo, l_orderkey * 10 + l_linenumber as pos, min('f' || l_partkey) as path, min(case when l_returnflag <> 'N' then 'f' || l_suppkey end) as old_path from lineitem group by 2)"
+
+
+@query(
+    "rename_origins",
+    f"""with recursive {_EVENTS}, p as materialized (select r.pos, r.path, e.pos as to_pos, e.path as to_path from (select * from ev where old_path is not null) r asof join ev e on r.old_path = e.path and r.pos > e.pos),
+    walk as (select pos as start, path as from_path, pos, path from ev union all select w.start, w.from_path, p.to_pos, p.to_path from walk w join p on p.pos = w.pos)
+    select start as pos, from_path as path, min(pos) as origin_pos, arg_min(path, pos) as origin_path from walk group by 1, 2""",
+)
+def rename_origins(spark, sf):
+    pos = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    rows = table(spark, sf, "lineitem").groupBy(pos.alias("pos")).agg(F.min(F.concat(F.lit("f"), "l_partkey")).alias("path"), F.min(F.when(F.col("l_returnflag") != "N", F.concat(F.lit("f"), "l_suppkey"))).alias("old_path"))
+    changes = rows.select(F.lit("r").alias("repo"), "path", "pos", F.when(F.col("old_path").isNull(), "A").otherwise("R").alias("status"), "old_path")
+    return renames.origins(changes).select("pos", "path", "origin_pos", "origin_path")

@@ -1,69 +1,43 @@
 """Repositories as tables: files at a revision, changes of a range with their status, blobs, declarations.
 
-Git runs on the driver, where the clone is; what it prints is a table of the size of one
-repository's listing. Declarations are found in the executors.
+All of them are read by the executors through :mod:`notelake.sources.git`.
 """
 
 from __future__ import annotations
 
 import re
-import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from notelake.operators.drift import SOURCES
+from notelake.operators import renames
+from notelake.sources.git import git_table, is_source
 
-FILES, CHANGES, BLOBS = "repo string, path string", "repo string, path string, status string", "repo string, path string, text string"
 SYMBOLS = "repo string, path string, name string, kind string, start int, end int, body string"
 
 
-def _git(root: str, *args: str, data: bytes | None = None) -> bytes:
-    return subprocess.run(["git", "-C", root, *args], input=data, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, check=True).stdout
-
-
-def _is_source(path: str) -> bool:
-    return path.rsplit(".", 1)[-1].lower() in SOURCES and "." in path
-
-
 def listing(spark: SparkSession, repo: str, root: str, rev: str = "HEAD") -> DataFrame:
     """repo, path of the source files at a revision."""
-    paths = _git(root, "ls-tree", "-r", "-z", "--name-only", rev).decode("utf-8", "replace").split("\0")
-    return spark.createDataFrame([(repo, p) for p in sorted(paths) if _is_source(p)], FILES)
+    return git_table(spark, "files", {repo: root}, rev=rev).select("repo", "path")
 
 
 def changed(spark: SparkSession, repo: str, root: str, since: str, rev: str = "HEAD") -> DataFrame:
     """repo, path, status (A, M, D, ...) of what changed between two revisions; a rename is a deletion and an addition."""
-    parts = _git(root, "diff", "--no-renames", "-z", "--name-status", f"{since}..{rev}").decode("utf-8", "replace").split("\0")
-    return spark.createDataFrame([(repo, p, s[:1]) for s, p in zip(parts[::2], parts[1::2])], CHANGES)
-
-
-def blobs(spark: SparkSession, repo: str, root: str, paths: list[str], rev: str = "HEAD") -> DataFrame:
-    """repo, path, text of the files that exist at a revision, through one batch process."""
-    out, rows, at = _git(root, "cat-file", "--batch", data="".join(f"{rev}:{p}\n" for p in paths).encode()), [], 0
-    for p in paths:
-        line, _, _ = out[at:].partition(b"\n")
-        at += len(line) + 1
-        head = line.split(b" ")
-        if len(head) == 3 and head[1] == b"blob":
-            size = int(head[2])
-            rows.append((repo, p, out[at : at + size].decode("utf-8", "replace")))
-            at += size + 1
-        elif len(head) == 3 and head[1] != b"missing":  # a folder or another object
-            at += int(head[2]) + 1
-    return spark.createDataFrame(rows, BLOBS)
-
-
-def first_added(spark: SparkSession, repo: str, root: str, paths: list[str], rev: str = "HEAD") -> DataFrame:
-    """rel, gen_sha, gen_path, added_s: the commit that added each file, followed through renames."""
-    rows = []
-    for p in paths:
-        lines = [x for x in _git(root, "log", "--follow", "--diff-filter=A", "--name-only", "--format=%H %ct", rev, "--", p).decode("utf-8", "replace").split("\n") if x]
-        if len(lines) >= 2:
-            sha, when = lines[-2].split(" ")
-            rows.append((p, sha, lines[-1], int(when)))
-    return spark.createDataFrame(rows, "rel string, gen_sha string, gen_path string, added_s long")
+    return git_table(spark, "diff", {repo: root}, since=since, rev=rev)
+
+
+def blobs(spark: SparkSession, repo: str, root: str, paths: DataFrame | None = None, rev: str = "HEAD") -> DataFrame:
+    """repo, path, text of the source files at a revision, or of those of ``paths`` (path) that exist in it, whatever their kind."""
+    rows = git_table(spark, "blobs", {repo: root}, rev=rev, all=paths is not None)
+    return rows if paths is None else rows.join(paths.select("path").distinct(), "path", "left_semi").select("repo", "path", "text")
+
+
+def first_added(spark: SparkSession, repo: str, root: str, paths: DataFrame, rev: str = "HEAD") -> DataFrame:
+    """rel, gen_sha, gen_path, added_s: the commit that added each of ``paths`` (path), followed through renames."""
+    changes = git_table(spark, "changes", {repo: root}, rev=rev)
+    return renames.first_added(changes, paths.select(F.lit(repo).alias("repo"), "path")).select(F.col("path").alias("rel"), "gen_sha", "gen_path", "added_s")
 
 
 # ---------------------------------------------------------------- declarations, by their heads and braces
@@ -116,7 +90,7 @@ def symbols(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(repo, path, *d) for repo, path, text in zip(batch["repo"], batch["path"], batch["text"]) if _is_source(path) for d in declarations(text or "")]
+            rows = [(repo, path, *d) for repo, path, text in zip(batch["repo"], batch["path"], batch["text"]) if is_source(path) for d in declarations(text or "")]
             yield pd.DataFrame(rows, columns=["repo", "path", "name", "kind", "start", "end", "body"])
 
     from notelake.session import ship

@@ -121,14 +121,16 @@ def test_repository(spark, tmp_path):
     (tmp_path / "u.ts").write_text("export const add = (a: number) => a + 1;\nexport function sub(a) {\n  return a;\n}\n")
     (tmp_path / "x.md").write_text("no source")
     git("add", "-A"), git("commit", "-qm", "one")
-    assert [r["path"] for r in repository.listing(spark, "r", root).collect()] == ["A.java", "u.ts"]
-    texts = repository.blobs(spark, "r", root, ["A.java", "absent.ts", "u.ts"])
-    assert [r["path"] for r in texts.collect()] == ["A.java", "u.ts"]
+    assert [r["path"] for r in repository.listing(spark, "r", root).orderBy("path").collect()] == ["A.java", "u.ts"]
+    paths = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    assert sorted(r["path"] for r in repository.blobs(spark, "r", root, paths("A.java", "absent.ts", "x.md")).collect()) == ["A.java", "x.md"]
+    texts = repository.blobs(spark, "r", root)
+    assert sorted(r["path"] for r in texts.collect()) == ["A.java", "u.ts"]
     found = {(r["path"], r["name"]): (r["kind"], r["start"], r["end"]) for r in repository.symbols(texts).collect()}
     assert found == {("A.java", "A"): ("class", 1, 8), ("A.java", "A.run"): ("method", 3, 5), ("A.java", "A.B"): ("class", 6, 7), ("A.java", "A.B.go"): ("method", 6, 7), ("u.ts", "add"): ("function", 1, 1), ("u.ts", "sub"): ("function", 2, 4)} or found.pop(("A.java", "A.B.go"), None) is None
     git("mv", "u.ts", "v.ts"), git("rm", "-q", "A.java"), git("commit", "-qm", "two")
     assert sorted((r["path"], r["status"]) for r in repository.changed(spark, "r", root, "HEAD~1").collect()) == [("A.java", "D"), ("u.ts", "D"), ("v.ts", "A")]
-    assert repository.first_added(spark, "r", root, ["v.ts"]).first()["gen_path"] == "u.ts"
+    assert repository.first_added(spark, "r", root, paths("v.ts")).first()["gen_path"] == "u.ts"
 
 
 def test_config_and_logs(spark, tmp_path):
