@@ -20,7 +20,7 @@ CELLS = 1024
 RADIX = 16
 
 
-def _celled(rows: DataFrame, at: str) -> DataFrame:
+def celled(rows: DataFrame, at: str) -> DataFrame:
     """``rows`` with ``cell``: even cells between the first and the last time."""
     ends = rows.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
     if ends["lo"] is None:
@@ -37,7 +37,7 @@ def last_before(points: DataFrame, values: DataFrame, keys: list[str], at: str)
     known = values.where("value is not null").where(" and ".join(f"`{c}` is not null" for c in [*keys, at])).groupBy(*keys, at).agg(F.max("value").alias("value"))
     asked = points.select(*keys, at).where(" and ".join(f"`{c}` is not null" for c in [*keys, at])).distinct()
     both = known.select(*keys, at, F.lit(0).alias("side"), "value").unionByName(asked.withColumn("side", F.lit(1)), allowMissingColumns=True)
-    rows = _celled(materialize(both, "timeline"), at)
+    rows = celled(materialize(both, "timeline"), at)
     within = Window.partitionBy(*keys, "cell").orderBy(at, "side").rowsBetween(Window.unboundedPreceding, 0)
     lasts = rows.groupBy(*keys, "cell").agg(F.max_by("value", F.when(F.col("side") == 0, F.col(at))).alias("last"))
     carry = lasts.select(*keys, "cell", F.last("last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))  # CELLS rows a key
@@ -47,7 +47,7 @@ def last_before(points: DataFrame, values: DataFrame, keys: list[str], at: str)
 
 def versions(events: DataFrame, keys: list[str], at: str) -> DataFrame:
     """The events (one for each key and time) with ``until``: the time of the next event of the key, null for the last."""
-    rows = _celled(materialize(events, "timeline"), at)
+    rows = celled(materialize(events, "timeline"), at)
     cells = rows.groupBy(*keys, "cell").agg(F.min(at).alias("first"))
     follows = cells.select(*keys, "cell", F.lead("first").over(Window.partitionBy(*keys).orderBy("cell")).alias("follows"))  # CELLS rows a key
     own = F.lead(at).over(Window.partitionBy(*keys, "cell").orderBy(at))

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from notelake.functions import sql as names
 from notelake.functions import text as T
 from notelake.functions.dates import week_key
 from notelake.functions.redact import INTERNAL_URL, STAGES, redaction
@@ -16,6 +17,7 @@ from notelake.operators import dataset as X
 from notelake.operators import gates as G
 from notelake.operators import graph as L
 from notelake.operators import history as H
+from notelake.operators import ledger
 from notelake.operators import recall as R
 from notelake.operators import similarity as S
 from notelake.operators import sinks as K
@@ -255,20 +257,28 @@ _EXTENSIONS = ", ".join(f"'{e}'" for e in T.SOURCE_EXTENSIONS)
 _NAME = "^([A-Z][A-Za-z0-9_]{2,})(?:\\.([A-Za-z_][A-Za-z0-9_]*))?(?:\\(\\))?$"
 
 
-@query(
-    "code_refs",
-    rf"""with {_TEXTS}, s as (select id, unnest(range(1, len(m) + 1)) as i, trim(unnest(m)) as raw from (select id, regexp_extract_all(body, '`([^`\n]{{1,200}})`', 1) as m from b)),
+_CODE_REFS = rf"""with {_TEXTS}, s as (select id, unnest(range(1, len(m) + 1)) as i, trim(unnest(m)) as raw from (select id, regexp_extract_all(body, '`([^`\n]{{1,200}})`', 1) as m from b)),
     t as (select id, raw, min(i) as i from s where raw <> '' and not regexp_matches(raw, '[ \t"''|$<>*?]') group by 1, 2),
     p as (select *, regexp_extract(raw, '(?::|#L)(\d{{1,6}})$', 1) as line, regexp_replace(raw, '(?::|#L)\d{{1,6}}$', '') as bare from t),
     k as (select *, lower(regexp_extract(bare, '(\.[^.]*)$', 1)) in ({_EXTENSIONS}) as is_path, regexp_extract(bare, '{_NAME}', 1) as a, regexp_extract(bare, '{_NAME}', 2) as m from p),
     f as (select *, row_number() over (partition by id order by i) as pos from k where is_path or (not contains(bare, '/') and a <> ''))
     select id, cast(pos as integer) as pos, case when is_path then 'path' else 'symbol' end as kind, case when is_path then replace(bare, chr(92), '/') else '' end as path, case when is_path then '' when m = '' then a else a || '.' || m end as symbol,
-        case when is_path and line <> '' then cast(line as integer) else 0 end as line from f""",
-)
+        case when is_path and line <> '' then cast(line as integer) else 0 end as line from f"""
+
+
+@query("code_refs", _CODE_REFS)
 def code_refs(spark, sf):
     return _rows(spark, sf, _BODIES).select("id", F.posexplode(T.body_refs(F.col("body"))).alias("pos", "r")).select("id", (F.col("pos") + 1).alias("pos"), "r.kind", "r.path", "r.symbol", "r.line")
 
 
+@query("sql_refs", _CODE_REFS)
+def sql_refs(spark, sf):
+    """The same from Spark SQL, by the registered functions."""
+    names.register(spark)
+    _rows(spark, sf, _BODIES).createOrReplaceTempView("note_bodies")
+    return spark.sql("select id, cast(at + 1 as int) as pos, ref.kind, ref.path, ref.symbol, ref.line from (select id, note_refs(body) as refs from note_bodies) n, lateral posexplode(n.refs) r(at, ref)")
+
+
 @query("code_fences", rf"with {_TEXTS}, f as (select id, unnest(list_filter(regexp_extract_all(body, '{_CODE}'), lambda x: starts_with(x, '```'))) as x from b) select id, lower(split_part(trim(split_part(x[4:-4], chr(10), 1)), ' ', 1)) as lang from f")
 def code_fences(spark, sf):
     return _rows(spark, sf, _BODIES).select("id", F.explode(T.fenced_blocks(F.col("body"))).alias("f")).select("id", "f.lang")
@@ -455,11 +465,55 @@ def budget_remaining(spark, sf):
     return today
 
 
-@query("route_engine", "select * from (values ('draft', 'api', false), ('critique', 'none', true), ('recall', 'none', false), ('verify', 'local', true)) v(stage, engine, exhausted)")
+_DAY_SPENT = "select event_type, sum(cast(value as decimal(18, 2))) as usd from events where cast(ts as date) = date '2024-01-05' group by 1"
+
+
+# the stages are the kinds of events; clicks are drafts by api, views critiques by advisor, and both are paid from what kinds of the same names spent that day
+@query(
+    "route_engine",
+    f"""with s as ({_DAY_SPENT}), left_ as (select 900 - coalesce((select usd from s where event_type = 'click'), 0) > 0 as api, 2000 - coalesce((select usd from s where event_type = 'view'), 0) > 0 as advisor),
+    st as (select distinct event_type as stage from events)
+    select stage, case when stage = 'error' then 'none' when stage in ('click', 'signup') then case when api then 'api' else 'local' end else case when advisor then 'advisor' when api then 'api' else 'none' end end as engine,
+        case when stage = 'error' then false when stage in ('click', 'signup') then not api else not advisor or not api end as exhausted from st, left_""",
+)
 def route_engine(spark, sf):
-    chains = spark.createDataFrame([("draft", ["api", "local"]), ("critique", ["advisor"]), ("recall", ["none"]), ("verify", ["advisor", "local", "none"])], "stage string, chain array<string>")
-    left = spark.createDataFrame([("api", 1.5), ("advisor", 0.0)], "tier string, remaining double")
-    return A.route(chains, left, spark.createDataFrame([("api",), ("advisor",), ("local",)], "engine string"), ["recall", "write", "index"])
+    e = table(spark, sf, "events")
+    spent = e.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.when(F.col("event_type") == "click", "api").when(F.col("event_type") == "view", "advisor").alias("tier"), F.col("value").cast("decimal(18,2)").alias("usd")).where("tier is not null")
+    caps = spark.createDataFrame([("api", 900.0), ("advisor", 2000.0)], "tier string, cap double")
+    left = A.remaining(spent.groupBy("day", "tier").agg(F.sum("usd").cast("double").alias("usd")), caps, "2024-01-05")
+    chain = F.when(F.col("event_type").isin("click", "signup"), F.array(*map(F.lit, ["api", "local"]))).otherwise(F.array(*map(F.lit, ["advisor", "api", "none"])))
+    stages = e.select(F.col("event_type").alias("stage"), chain.alias("chain")).distinct()
+    return A.route(stages, left, spark.createDataFrame([("api",), ("advisor",), ("local",)], "engine string"), ["error"])
+
+
+# calls are events: a day's are replayed in the order of time against budgets in cents
+_CHAINS = {"click": ["api", "local"], "view": ["advisor", "api", "none"], "purchase": ["api", "advisor", "none"], "signup": ["advisor", "host"]}
+_BUDGETS = {"api": 200_000, "advisor": 90_000}
+_CALLS = "select event_id as call_id, strftime(ts, '%Y-%m-%d') as day, epoch_us(ts) as us, event_type as stage, cast(floor(value * 100) as bigint) as cost from events where value >= 0"
+
+
+def _room(tier: str) -> str:
+    return f"({tier} < {_BUDGETS[tier]})"
+
+
+_WINNER = "case stage " + " ".join(
+    f"when '{stage}' then case " + " ".join(f"when {_room(c) if c in _BUDGETS else 'true'} then '{c}'" for c in chain if c != "host") + " else 'none' end" for stage, chain in _CHAINS.items()
+) + " else 'none' end"
+_OUT = "case stage " + " ".join(f"when '{stage}' then " + (" or ".join(f"not {_room(c)}" for c in chain if c in _BUDGETS) or "false") for stage, chain in _CHAINS.items()) + " else false end"
+
+
+@query(
+    "ledger_replay",
+    f"""with recursive c as materialized (select *, row_number() over (partition by day order by us, call_id) as i from ({_CALLS})),
+    walk as (select day, cast(0 as bigint) as i, cast(0 as hugeint) as api, cast(0 as hugeint) as advisor, cast(null as bigint) as call_id, cast(null as varchar) as stage, cast(null as varchar) as engine, false as exhausted from (select distinct day from c)
+        union all select day, i, api + case when engine = 'api' then cost else 0 end, advisor + case when engine = 'advisor' then cost else 0 end, call_id, stage, engine, exhausted from (
+            select c.day, c.i, w.api, w.advisor, c.call_id, c.stage, c.cost, {_WINNER.replace("case stage", "case c.stage")} as engine, {_OUT.replace("case stage", "case c.stage")} as exhausted from walk w join c on c.day = w.day and c.i = w.i + 1))
+    select call_id, day, stage, engine, exhausted from walk where i > 0""",
+)
+def ledger_replay(spark, sf):
+    e = table(spark, sf, "events").where("value >= 0")
+    calls = e.select(F.col("event_id").alias("call_id"), F.date_format("ts", "yyyy-MM-dd").alias("day"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").alias("stage"), F.floor(F.col("value") * 100).alias("cost"))
+    return ledger.replay(calls, _CHAINS, _BUDGETS, ["api", "advisor", "local"])
 
 
 # ------------------------------------------------------------------ datasets
