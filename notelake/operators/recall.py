@@ -1,15 +1,23 @@
-"""Ranked lexical retrieval for one or many questions.
+"""Ranked lexical retrieval for one or many questions, over an index that is written once.
 
-Questions are exploded to terms and meet the tokens of titles in equi joins. Tags and stack are met by class: documents
-of equal tags and stack that share no title word with a question have one score, so of each class
-the first by path are enough, and a term that is a tag of half of all documents meets a few rows.
-Documents that share no term enter by path, as far as the leaders are not filled. Bodies are read for
-the leaders alone, and do not move where these are few. Sums run over sorted arrays in one
+The index holds token sets, the postings of title words and the classes of documents with equal tags and stack, with document frequencies. A
+score depends on the title words that a question hits, on the number of title words, and on the class; equal scores go by path. So
+
+* words of few titles (``RARE``) are joined with their postings;
+* of the words of many titles that the questions ask for, a document has a set; documents of one set, title size and class have one score
+  for any question, so the first of them by path are enough, and a question meets sets instead of documents;
+* tags and stack are met by class, of which the first by path are enough;
+* documents that share no term enter by path, as far as the leaders are not filled.
+
+What is scored is thus bounded for each question by its words, by ``RARE``, and by the sets and classes there are, not by the documents that hold
+a frequent word. Bodies are read for the leaders alone, and do not move where these are few. Sums run over sorted arrays in one
 row, so they are the same on every partitioning.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +28,8 @@ from notelake.session import materialize
 LEADERS, SHOWN = 20, 10
 #: Leaders of all questions up to which the bodies stay where they are.
 MOST_BROADCAST = 50_000
+#: Titles that a word may be in to be met through its postings; frequent words of all questions that make up sets.
+RARE, SETS = 300, 4096
 NOTHING = "cast(array() as array<string>)"
 
 
@@ -33,45 +43,86 @@ def _weights(questions: DataFrame, wanted: str, frequency: DataFrame, n: int) ->
     return rows.select("question_id", "pos", "term", F.when(F.col("df") > 0, F.col("idf")).otherwise(mean).alias("weight"))
 
 
-def _frequency(documents: DataFrame, column: str, asked: DataFrame) -> DataFrame:
-    """Document frequency of the tokens that are asked for."""
-    return documents.select(F.explode(column).alias("term")).join(asked, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+@dataclass
+class Index:
+    """fronts: rel, cls, titled, title_set; classes: cls, tag_set, stack_set; heads: cls, rel; postings: term, rel; stats: term, title_df, tag_df, stack_df; n documents."""
+
+    documents: DataFrame
+    fronts: DataFrame
+    classes: DataFrame
+    heads: DataFrame
+    postings: DataFrame
+    stats: DataFrame
+    first: DataFrame
+    n: int
+
+
+def index(documents: DataFrame, most: int = LEADERS + SHOWN) -> Index:
+    """documents: rel, slug, title, tags, stack, body. ``most``: how many candidates a question may need."""
+    words = F.concat(tokens(F.coalesce("title", F.lit(""))), tokens(F.replace(F.coalesce("slug", F.lit("")), F.lit("-"), F.lit(" "))))
+    sets = documents.select("rel", F.array_sort(F.array_except(F.array_distinct(words), F.array(*map(F.lit, STOPWORDS)))).alias("title_set"), token_set(F.col("tags")).alias("tag_set"), token_set(F.col("stack")).alias("stack_set"))
+    sets = materialize(sets.withColumns({"cls": F.xxhash64("tag_set", "stack_set"), "titled": F.size("title_set") > 0}), "recall")
+    classes = materialize(sets.groupBy("cls", "tag_set", "stack_set").agg(F.count("*").alias("n")), "recall-classes")
+    place = F.row_number().over(Window.partitionBy("titled", "cls").orderBy("rel"))
+    heads = materialize(sets.select("rel", "cls", "titled", place.alias("place")).where(F.col("place") <= most).select("cls", "rel"), "recall-heads")
+    postings = materialize(sets.select(F.explode("title_set").alias("term"), "rel").repartitionByRange("term").sortWithinPartitions("term"), "recall-postings")
+    counts = lambda rows, c: rows.groupBy("term").agg(F.sum("n").alias(c))
+    title = counts(postings.withColumn("n", F.lit(1)), "title_df")
+    tag, stack = (counts(classes.select(F.explode(c).alias("term"), "n"), f) for c, f in (("tag_set", "tag_df"), ("stack_set", "stack_df")))
+    stats = materialize(title.join(tag, "term", "full_outer").join(stack, "term", "full_outer").na.fill(0), "recall-stats")
+    first = materialize(sets.select("rel").orderBy("rel").limit(most + LEADERS), "recall-first")
+    n = classes.agg(F.sum("n")).first()[0] or 0
+    return Index(documents, sets.select("rel", "cls", "title_set"), classes.drop("n"), heads, postings, stats, first, n)
+
+
+def _frequent(ix: Index, asking: DataFrame, frequent: list[str], most: int) -> DataFrame:
+    """question_id, rel: of each set of ``frequent`` words, title size and class the first documents, for the questions that ask for a word of the set."""
+    held = F.filter("title_set", lambda t: t.isin(frequent))  # a hash set; titles are short
+    rows = ix.fronts.select("rel", "cls", F.size("title_set").alias("size"), held.alias("held")).where(F.size("held") > 0)
+    place = F.row_number().over(Window.partitionBy("held", "size", "cls").orderBy("rel"))
+    firsts = rows.withColumn("place", place).where(F.col("place") <= most)
+    return firsts.select("rel", F.explode("held").alias("term")).join(asking, "term").select("question_id", "rel")
 
 
 def ranked(documents: DataFrame, questions: DataFrame, leaders: int = LEADERS, shown: int = SHOWN) -> DataFrame:
+    """question_id, rank, rel, score, matched_on of the candidates shown; see :func:`ask`."""
+    return ask(index(documents, leaders + shown), questions, leaders, shown)
+
+
+def ask(ix: Index, questions: DataFrame, leaders: int = LEADERS, shown: int = SHOWN) -> DataFrame:
     """question_id, rank, rel, score, matched_on of the candidates shown.
 
-    documents: rel, slug, title, tags, stack, body. questions: question_id, question, stack.
+    questions: question_id, question, stack. ``leaders`` and ``shown`` together are at most what the index was made for.
     """
-    docs = documents.select(
-        "rel",
-        "body",
-        F.array_sort(F.array_except(F.array_distinct(F.concat(tokens(F.coalesce("title", F.lit(""))), tokens(F.replace(F.coalesce("slug", F.lit("")), F.lit("-"), F.lit(" "))))), F.array(*map(F.lit, STOPWORDS)))).alias("title_set"),
-        token_set(F.col("tags")).alias("tag_set"),
-        token_set(F.col("stack")).alias("stack_set"),
-    )
-    front = materialize(docs.drop("body"), "recall")  # token sets alone; they are read several times
-    n = front.count()
+    n, most = ix.n, leaders + shown
     asked = questions.select("question_id", terms(F.coalesce("question", F.lit(""))).alias("terms"), terms(F.concat_ws(" ", F.coalesce("stack", F.expr(NOTHING)))).alias("hints"))
     words = asked.select(F.explode(F.array_union("terms", "hints")).alias("term")).distinct()
-    tag_df, stack_df = _frequency(front, "tag_set", words), _frequency(front, "stack_set", words)
+    known_words = materialize(ix.stats.join(words, "term", "left_semi"), "asked")
+    tag_df, stack_df = (known_words.where(F.col(c) > 0).select("term", F.col(c).alias("df")) for c in ("tag_df", "stack_df"))
     # hints count where some document carries them; question terms always
     known = asked.select("question_id", F.posexplode("hints").alias("pos", "term")).join(stack_df.select("term"), "term", "left_semi")
     known = known.groupBy("question_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda x: x["term"]).alias("known"))
     scope = asked.join(known, "question_id", "left").withColumn("stack_terms", F.array_distinct(F.concat(F.coalesce("known", F.expr(NOTHING)), "terms")))
     gather = lambda w, name: w.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "weight"))).alias(name))
     tag_w, stack_w = _weights(scope, "terms", tag_df, n), _weights(scope, "stack_terms", stack_df, n)
-    scope = scope.join(gather(tag_w, "tag_w"), "question_id", "left").join(gather(stack_w, "stack_w"), "question_id", "left")
-
-    # equal scores go by path: of a class no more than ``leaders + shown`` without a title word can be among the candidates
-    place = F.row_number().over(Window.partitionBy(F.size("title_set") > 0, "tag_set", "stack_set").orderBy("rel"))
-    heads = front.withColumn("place", place).where(F.col("place") <= leaders + shown)
-    token_rows = front.select("rel", F.explode("title_set").alias("term")).union(heads.select("rel", F.explode(F.array_union("tag_set", "stack_set")).alias("term")))
-    asking = scope.select("question_id", F.explode(F.array_union("terms", "stack_terms")).alias("term"))
-    pairs = token_rows.join(asking, "term").select("question_id", "rel").distinct()
-    by_path = front.select("rel").orderBy("rel").limit(2 * leaders)
-    pairs = pairs.union(asking.select("question_id").distinct().crossJoin(F.broadcast(by_path))).distinct()  # at most 2 * leaders rows on the right
-    scored = pairs.join(front, "rel").join(scope, "question_id")
+    scope = materialize(scope.join(gather(tag_w, "tag_w"), "question_id", "left").join(gather(stack_w, "stack_w"), "question_id", "left"), "questions")
+
+    asking = scope.select("question_id", F.explode("terms").alias("term"))
+    titled = known_words.where("title_df > 0").select("term", "title_df")
+    rare = asking.join(titled.where(F.col("title_df") <= RARE), "term").join(ix.postings, "term").select("question_id", "rel")
+    # of equal scores the first by path: of a class no more than ``most`` without a title word can be among the candidates
+    either = ix.classes.select("cls", F.explode(F.array_union("tag_set", "stack_set")).alias("term"))
+    wanted = scope.select("question_id", F.explode(F.array_union("terms", "stack_terms")).alias("term"))
+    by_class = wanted.join(either, "term").select("question_id", "cls").distinct().join(ix.heads, "cls").select("question_id", "rel")
+    by_path = scope.select("question_id").crossJoin(F.broadcast(ix.first.orderBy("rel").limit(2 * leaders)))  # 2 * leaders rows on the right
+    pairs = rare.union(by_class).union(by_path)
+    frequent = [r["term"] for r in titled.where(F.col("title_df") > RARE).orderBy(F.desc("title_df"), "term").limit(SETS + 1).collect()]
+    if len(frequent) > SETS:  # the least frequent of them are met through their postings
+        beyond = titled.where(F.col("title_df") > RARE).where(~F.col("term").isin(frequent[:SETS]))
+        pairs = pairs.union(asking.join(beyond, "term").join(ix.postings, "term").select("question_id", "rel"))
+    if frequent:
+        pairs = pairs.union(_frequent(ix, asking, frequent[:SETS], most))
+    scored = pairs.distinct().join(ix.fronts, "rel").join(ix.classes, "cls").join(scope, "question_id")
 
     def weighted(w: Column, have: Column) -> tuple[Column, Column]:
         den = F.aggregate(w, F.lit(0.0), lambda a, x: a + x["weight"])
@@ -92,7 +143,7 @@ def ranked(documents: DataFrame, questions: DataFrame, leaders: int = LEADERS, s
     first = materialize(first.where(F.col("rank") <= leaders + shown), "leaders")
     lead, rest = first.where(F.col("rank") <= leaders), first.where((F.col("rank") > leaders) & (F.col("rank") <= leaders + shown) & (F.col("score") > 0))
     few = F.broadcast(lead) if lead.count() <= MOST_BROADCAST else lead  # leaders a question, some hundred bytes each
-    read = docs.select("rel", "body").join(few, "rel").withColumn("body_v", saturated(tokens(F.coalesce("body", F.lit(""))), F.col("terms")))
+    read = ix.documents.select("rel", "body").join(few, "rel").withColumn("body_v", saturated(tokens(F.coalesce("body", F.lit(""))), F.col("terms")))
     full = [*front_channels, ("body", F.lit(True), F.col("body_v"))]
     named = lambda channels: F.filter(F.array(*(F.when(on & (v > 0), F.lit(c)) for c, on, v in channels)), lambda c: c.isNotNull())
     both = read.select("question_id", "rel", blend(full).alias("score"), named(full).alias("matched_on")).unionByName(rest.select("question_id", "rel", "score", named(front_channels).alias("matched_on")))

@@ -23,7 +23,7 @@ from notelake.operators import similarity as S
 from notelake.operators import sinks as K
 from notelake.plans import inputs as I
 from notelake.plans.registry import oracle_sql, queries, query
-from notelake.session import table
+from notelake.session import stamps, table
 
 def _list(values: list[str]) -> str:
     return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
@@ -90,14 +90,26 @@ def _many(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question"), F.expr("cast(array() as array<string>)").alias("stack"))
 
 
+_INDEXES: dict[tuple, R.Index] = {}
+
+
+def _recall_index(spark: SparkSession, sf: str) -> R.Index:
+    """The index of a folder's notes: written by the first query that asks, kept for the session while the files are the same."""
+    notes = _notes_for_recall(spark, sf)
+    key = (spark.sparkContext.applicationId, *sorted(stamps(spark, notes.inputFiles())))
+    if key not in _INDEXES:
+        _INDEXES[key] = R.index(notes)
+    return _INDEXES[key]
+
+
 @query("recall_topk", _recall_sql(_ONE) + _SHOWN)
 def recall_topk(spark, sf):
-    return R.ranked(_notes_for_recall(spark, sf), _one(spark))
+    return R.ask(_recall_index(spark, sf), _one(spark))
 
 
 @query("recall_batch", _recall_sql(_MANY) + _SHOWN)
 def recall_batch(spark, sf):
-    return R.ranked(_notes_for_recall(spark, sf), _many(spark, sf))
+    return R.ask(_recall_index(spark, sf), _many(spark, sf))
 
 
 @query(
@@ -111,7 +123,7 @@ def recall_batch(spark, sf):
 def recall_verdict(spark, sf):
     asked = _many(spark, sf)
     stale = I.notes(spark, sf).select("rel", (F.col("doc_id") % 2 == 0).alias("stale"))
-    return R.verdicts(R.ranked(_notes_for_recall(spark, sf), asked), asked, stale)
+    return R.verdicts(R.ask(_recall_index(spark, sf), asked), asked, stale)
 
 
 @query("terms_of_notes", f"select rel, array_to_string(list_sort(list_distinct(list_filter({_tokens('title')}, lambda t: not list_contains({STOP}, t)))), ' ') as terms from notes")

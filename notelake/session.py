@@ -53,6 +53,16 @@ def discard(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def stamps(spark: SparkSession, files: list[str]) -> list[tuple[str, int, int]]:
+    """Name, time and size of files: what an index that is kept must still agree with."""
+    out = []
+    for name in files:
+        at = spark._jvm.org.apache.hadoop.fs.Path(name)
+        found = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+        out.append((name, found.getModificationTime(), found.getLen()))
+    return out
+
+
 def partitions(df: DataFrame, megabytes: int = 64) -> int:
     """How many partitions a shuffle of about the tables that ``df`` reads needs: those of the session, more for large tables.
 
