@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from notelake.functions.text import slug
+from notelake.operators.ledger import running_total
+from notelake.operators.timeline import last_before
+from notelake.session import materialize
 
 
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -52,19 +55,29 @@ def drop_block(text: Column, begin: str, end: str) -> Column:
 def unique_slugs(titles: DataFrame, taken: DataFrame) -> DataFrame:
     """title, slug: the slug, or the first of slug-2, slug-3, ... that is free; equal titles follow each other.
 
-    What another title of the batch is itself called is not given out as a number either.
+    What another title of the batch is itself called is not given out as a number either. A base that most titles have, as ``untitled``, is no
+    single sort: equal titles are counted first, a base's titles are numbered by shares of a hash, and the k-th free number is looked up among
+    the counts of free numbers before each used one.
     """
     wanted = titles.select("title", F.coalesce(F.nullif(slug(F.col("title")), F.lit("")), F.lit("untitled")).alias("base"))
-    wanted = wanted.withColumn("turn", F.row_number().over(Window.partitionBy("base").orderBy("title")))
-    every = taken.select("slug").union(wanted.select("base")).distinct()
-    numbered = every.select(F.regexp_replace("slug", "-[0-9]{1,9}$", "").alias("base"), F.regexp_extract("slug", "-([0-9]{1,9})$", 1).try_cast("int").alias("n"))
+    counted = materialize(wanted.groupBy("base", "title").agg(F.count("*").alias("copies")), "slugs")
+    shared = counted.withColumn("share", F.substring(F.md5(F.coalesce("title", F.lit(""))), 1, 2))
+    shares = shared.groupBy("base", "share").agg(F.sum("copies").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("base").orderBy("share")) - F.col("n")  # 256 rows a base
+    own = F.sum("copies").over(Window.partitionBy("base", "share").orderBy("title").rowsBetween(Window.unboundedPreceding, 0)) - F.col("copies")
+    placed = shared.withColumn("own", own).join(shares.select("base", "share", before.alias("before")), ["base", "share"]).withColumn("from", F.col("own") + F.col("before"))
+    pieces = placed.select("base", "title", "from", "copies", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1, F.lit(1000).cast("long"))).alias("skip")).repartition("base", "from", "skip")
+    turns = pieces.select("base", "title", F.explode(F.sequence(F.col("skip"), F.least(F.col("skip") + 1000, F.col("copies")) - 1)).alias("at"), "from").select("base", "title", (F.col("from") + F.col("at") + 1).alias("turn"))
+
+    every = taken.select("slug").union(counted.select("base")).distinct()
+    numbers = every.select(F.regexp_replace("slug", "-[0-9]{1,9}$", "").alias("base"), F.regexp_extract("slug", "-([0-9]{1,9})$", 1).try_cast("long").alias("n")).where("n >= 2").distinct()
+    ranked = running_total(numbers.withColumn("one", F.lit(1).cast("long")), ["base"], ["n"], "one")
+    free_before = ranked.select("base", (F.col("n") - 1 - F.col("total")).alias("k"), F.col("total").alias("value"))
     exact = taken.select(F.col("slug").alias("base")).distinct().withColumn("used", F.lit(True))
-    used = numbered.where("n >= 2").groupBy("base").agg(F.sort_array(F.collect_set("n")).alias("numbers"))
-    rows = wanted.join(exact, "base", "left").join(used, "base", "left")
-    # the k-th number from 2 on that is not among the used ones
-    first = F.col("turn") + F.when(F.col("used"), 1).otherwise(0)
-    free = F.aggregate(F.coalesce("numbers", F.expr("cast(array() as array<int>)")), first, lambda at, n: F.when(n <= at, at + 1).otherwise(at))
-    return rows.select("title", F.when(F.col("used") | (F.col("turn") > 1), F.concat_ws("-", "base", free)).otherwise(F.col("base")).alias("slug"))
+    rows = turns.join(exact, "base", "left").withColumn("k", F.col("turn") + F.when(F.col("used"), 1).otherwise(0) - 2)  # free numbers before this one
+    found = last_before(rows.where("k >= 0").select("base", "k"), free_before, ["base"], "k")
+    named = rows.join(found, ["base", "k"], "left")
+    return named.select("title", F.when(F.col("k") < 0, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("k") + 2 + F.coalesce("value", F.lit(0)))).alias("slug"))
 
 
 def fragments(files: DataFrame, begin: str, end: str) -> DataFrame:

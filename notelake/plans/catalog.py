@@ -17,7 +17,7 @@ from notelake.operators import dataset as X
 from notelake.operators import gates as G
 from notelake.operators import graph as L
 from notelake.operators import history as H
-from notelake.operators import ledger
+from notelake.operators import ledger, pacing
 from notelake.operators import recall as R
 from notelake.operators import similarity as S
 from notelake.operators import sinks as K
@@ -636,3 +636,29 @@ from notelake.plans import codebase as _codebase  # noqa: E402, F401
 from notelake.plans import contracts as _contracts  # noqa: E402, F401
 
 __all__ = ["oracle_sql", "queries"]
+
+
+@query(
+    "probe_schedule",
+    """with u as (select distinct url from pages where url is not null), h as (select url, case when regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+') then regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]+)', 1) else url end as host from u),
+    n as (select *, row_number() over (partition by host order by substr(md5(url), 1, 2), url) - 1 as slot from h), l as (select host, max(5000) as last_ms from h where length(host) % 2 = 0 group by host)
+    select url, host, slot, greatest(4000, coalesce(last_ms + 1500, 4000)) + slot * 1500 as at_ms from n left join l using (host)""",
+)
+def probe_schedule(spark, sf):
+    pages = table(spark, sf, "pages").select("url")
+    probed = pages.where("url is not null").select(T.host(F.col("url")).alias("host")).distinct().where(F.length("host") % 2 == 0).withColumn("last_ms", F.lit(5000))
+    return pacing.schedule(pages, probed, 4000, 1500)
+
+
+@query("slugs_given_out", """with recursive b as materialized (select doc_id, coalesce(nullif('t' || (length(text) % 23) || case when lang = 'en' then '' else '-2' end, ''), 'untitled') as base from documents),
+    taken as materialized (select 't' || (user_id % 23) || case when user_id % 3 = 0 then '' else '-' || (user_id % 9) end as slug from events group by 1),
+    used as materialized (select slug from taken union select base from b),
+    free as materialized (select base, n, row_number() over (partition by base order by n) as k from (select distinct base from b), range(2, 5000) r(n) where base || '-' || n not in (select slug from used)),
+    t as (select base, cast(row_number() over (partition by base) as bigint) as turn from b), x as (select base, turn + case when base in (select slug from taken) then 1 else 0 end as first from t)
+    select case when first = 1 then x.base else x.base || '-' || free.n end as slug from x left join free on free.base = x.base and free.k = x.first - 1""")
+def slugs_given_out(spark, sf):
+    """Titles of few bases, against names that are taken."""
+    d, e = table(spark, sf, "documents"), table(spark, sf, "events")
+    titles = d.select(F.concat(F.lit("T"), F.length("text") % 23, F.when(F.col("lang") == "en", "").otherwise("-2")).alias("title"))
+    taken = e.select(F.concat(F.lit("t"), F.col("user_id") % 23, F.when(F.col("user_id") % 3 == 0, "").otherwise(F.concat(F.lit("-"), F.col("user_id") % 9))).alias("slug")).distinct()
+    return K.unique_slugs(titles, taken).select("slug")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.functions.text import conclusions, short_hash
+from notelake.operators.index_store import BUCKETS, IndexStore
 from notelake.sources.logs import ASK
 
 
@@ -43,30 +44,21 @@ def edits_within(added: DataFrame, edits: DataFrame, days: int = 7) -> DataFrame
     return a.join(e, F.expr(f"a.key = e.key and e.edited_ts between a.added_ts and a.added_ts + interval {days} days")).select("a.key", "added_ts", "edited_ts")
 
 
-def _newest(spark: SparkSession, path: str, before: int) -> str | None:
-    """The table of the last generation before an epoch, whatever epochs were skipped."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [x.getPath().getName() for x in fs.listStatus(at)] if fs.exists(at) else []
-    found = sorted(int(n.removeprefix("epoch=")) for n in names if n.startswith("epoch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
-    older = [n for n in found if n < before]
-    return f"{path}/epoch={older[-1]}" if older else None
+def note_stream(spark: SparkSession, folder: str, files_per_trigger: int = 1000) -> DataFrame:
+    """rel, mtime, size, body of notes as they come: the file name within its folder, its time and its size."""
+    rows = spark.readStream.schema("path string, modificationTime timestamp, length long, content binary").format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", files_per_trigger).load(folder)
+    rel = F.element_at(F.split("path", "/"), -1)
+    return rows.select(rel.alias("rel"), F.unix_millis("modificationTime").alias("mtime"), F.col("length").alias("size"), F.decode("content", "utf-8").alias("body"))
 
 
-def upsert(path: str, key: str, order: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: of each key the row with the largest ``order`` wins, in a batch and against what is stored; later batches win ties.
+def upsert(path: str, key: str, order: str, buckets: int = BUCKETS) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: of each key the row with the largest ``order`` wins, in a batch and against what is stored.
 
-    Generations are whole tables, so one is read while the next is written; a batch that is run again
-    overwrites its own. For tables of the size of a note index, not of a corpus.
+    Rows lie in an :class:`IndexStore`, so a batch writes the buckets it touches and is seen at once or not at all; a batch that is run
+    again makes no version.
     """
 
     def put(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        old = _newest(spark, path, epoch)
-        rows = batch.withColumn("_epoch", F.lit(1))
-        if old:
-            rows = rows.unionByName(spark.read.parquet(old).withColumn("_epoch", F.lit(0)))
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(*batch.columns), F.struct(order, "_epoch", F.xxhash64(*batch.columns))).alias("r")).select("r.*")
-        newest.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        IndexStore(batch.sparkSession, path, key, buckets, order).patch(batch, epoch=epoch)
 
     return put

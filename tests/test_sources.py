@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notelake.operators.asks import topics
+from notelake.operators.index_store import IndexStore
 from notelake.sources import logs, vault
 from notelake.streaming import incremental
 
@@ -81,4 +82,12 @@ def test_streams_equal_batches(spark, tmp_path):
     rows = incremental.ask_stream(spark, str(folder), 1).select("topic", F.col("ts").cast("string").alias("ts"))
     put = rows.writeStream.foreachBatch(incremental.upsert(out, "topic", "ts")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert put.awaitTermination(120)
-    assert spark.read.parquet(f"{out}/epoch=2").count() == 4
+    store = IndexStore(spark, out, "topic", order="ts")
+    newest = spark.read.schema(logs.ASK).json(str(folder)).groupBy("topic").agg(F.max("ts").cast("string").alias("ts"))
+    assert sorted(map(tuple, store.read().collect())) == sorted(map(tuple, newest.collect())) and store.versions() == [1, 2, 3]
+    incremental.upsert(out, "topic", "ts")(rows_of_first(spark, folder), 0)  # a batch that is run again
+    assert store.versions() == [1, 2, 3]
+
+
+def rows_of_first(spark, folder):
+    return spark.read.schema(logs.ASK).json(f"{folder}/0.json").select("topic", F.col("ts").cast("string").alias("ts"))
