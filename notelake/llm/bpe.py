@@ -18,7 +18,7 @@ import unicodedata
 import numpy as np
 
 #: Words of which a worker remembers the ids.
-MEMORY = 600_000
+MEMORY = 300_000
 WIDTHS = (8, 16, 32)
 NONE = np.int32(2**31 - 1)
 PLAIN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"

@@ -38,6 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notelake.llm.memory import trimmed
 from notelake.llm.sieve import sieve, sifted
 from notelake.llm.simhash_dedup import BLOCK, NO_ID, TAU, _ones, dealt, forest, keyed, links
 from notelake.operators.components import connected_components
@@ -401,7 +402,7 @@ def _alike(pairs: DataFrame, classes: DataFrame, bound: Similarity) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"])
 
     side = lambda end, size, maps: classes.select(F.col("node").alias(end), F.col("size").alias(size), F.col("whole").alias(maps))
-    return pairs.join(side("a", "x", "p"), "a").join(side("b", "y", "q"), "b").select("a", "b", "x", "y", "p", "q").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a", "x", "p"), "a").join(side("b", "y", "q"), "b").select("a", "b", "x", "y", "p", "q").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, words: DataFrame, bound: Similarity) -> DataFrame:
@@ -416,7 +417,7 @@ def _verified(pairs: DataFrame, words: DataFrame, bound: Similarity) -> DataFram
             yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
 
     both = pairs.join(words.select(F.col("node").alias("a"), F.col("words").alias("p")), "a").join(words.select(F.col("node").alias("b"), F.col("words").alias("q")), "b")
-    return both.select("a", "b", "p", "q").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "p", "q").mapInArrow(trimmed(run), "a long, b long")
 
 
 def _words_of(documents: DataFrame, classes: DataFrame, ends: DataFrame, width: int, doc_id: str, text: str) -> DataFrame:
@@ -424,7 +425,7 @@ def _words_of(documents: DataFrame, classes: DataFrame, ends: DataFrame, width:
     wanted = materialize(classes.join(ends, "node", "left_semi").select("node", "doc", "tkey"), "wanted")
     texts = sifted(keyed(documents, doc_id, text), sieve(wanted, "tkey"), "tkey").where("maybe").drop("maybe")
     gathered = texts.join(wanted, ["doc", "tkey"]).select("node", "text")
-    return materialize(gathered.mapInArrow(_sets(width), "node long, words binary").dropDuplicates(["node"]), "sets")
+    return materialize(gathered.mapInArrow(trimmed(_sets(width)), "node long, words binary").dropDuplicates(["node"]), "sets")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -445,7 +446,7 @@ def near_links(documents: DataFrame, width: int = 5, similarity: float = 0.8, do
     spark, bound = documents.sparkSession, Similarity(similarity)
     ship(spark)
     rows = keyed(documents, doc_id, text).select("doc", "text", "tkey")
-    every = materialize(rows.mapInArrow(_prints(width), ", ".join(f"{c} long" for c in PRINTS[:-1]) + ", whole binary"), "prints")
+    every = materialize(rows.mapInArrow(trimmed(_prints(width)), ", ".join(f"{c} long" for c in PRINTS[:-1]) + ", whole binary"), "prints")
     prints = every.where(f"kind = {TEXT}")
     facts = ["fp", "size", *MAPS, "whole"]
     classes = materialize(
@@ -468,17 +469,17 @@ def near_links(documents: DataFrame, width: int = 5, similarity: float = 0.8, do
     order = np.argsort(known)
     shared = spark.sparkContext.broadcast((known[order], top.column("n").to_numpy()[order]))
     n = partitions(documents, 16)
-    held = rows.mapInArrow(_prefixes(width, bound, shared), "key long, salt long, s1 long").repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "s1").mapInArrow(_held_by_several, "key long, s1 long")
+    held = rows.mapInArrow(trimmed(_prefixes(width, bound, shared)), "key long, salt long, s1 long").repartition(n, "key", "salt").sortWithinPartitions("key", "salt", "s1").mapInArrow(_held_by_several, "key long, s1 long")
     postings = materialize(held.join(classes.select("s1", "node").join(groups, "node"), "s1").select("key", "node", "grp"), "postings")
     mixed = materialize(postings.groupBy("key").agg(F.min("grp").alias("lo"), F.max("grp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n"), "mixed")
     n = partitions(postings, 8)
     few = postings.join(mixed.where(F.col("n") <= SMALL).select("key"), "key", "left_semi").join(classes.select("node", "size", *MAPS), "node").select(*FOLDED)
-    pairs = materialize(few.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_pairs(bound), "a long, b long").distinct(), "pairs")
+    pairs = materialize(few.repartition(n, "key").sortWithinPartitions("key").mapInArrow(trimmed(_pairs(bound)), "a long, b long").distinct(), "pairs")
     pairs = _alike(pairs, classes, bound)
     many = postings.join(mixed.where(F.col("n") > SMALL).select("key"), "key", "left_semi").join(classes.select("node", "size", "whole"), "node").withColumn("role", F.lit(0))
     crowded = mixed.where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     met = dealt(many, crowded, ["key"], ["node"]).select(*MET).repartition(n, "key", "cell").sortWithinPartitions("key", "cell", "role")
-    families = materialize(met.mapInArrow(_families(bound), "a long, b long").distinct(), "families")
+    families = materialize(met.mapInArrow(trimmed(_families(bound)), "a long, b long").distinct(), "families")
     found = materialize(pairs.union(families).distinct(), "candidates")
     more = classes.select("node").join(_ends(found), "node", "left_semi").join(words.select("node"), "node", "left_anti")
     sets = words.unionByName(_words_of(documents, classes, more, width, doc_id, text))

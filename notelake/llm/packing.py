@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from notelake.llm.bpe import encoder
+from notelake.llm.memory import trimmed
 from notelake.session import materialize, ship
 
 CAPACITY = 4096
@@ -80,7 +81,7 @@ def pieces(documents: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_i
             )
 
     ship(documents.sparkSession)
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, PIECES)
+    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(trimmed(run), PIECES)
 
 
 class Plan:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notelake.llm.memory import trimmed
 from notelake.llm.learn import MAX_TRAINING_ROWS, Isotonic, Trees, held_out, training_sample
 from notelake.session import materialize, ship
 
@@ -167,4 +168,4 @@ def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.
             x = np.array([features(t.as_py() or "", model.words) for t in batch.column(at)], dtype=np.float64).reshape(-1, FEATURES)
             yield batch.filter(pa.array(model.scores(x) < threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(trimmed(run), documents.schema)
