@@ -164,10 +164,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
     marks = materialize(
         lines.repartitionByRange(n, *by).sortWithinPartitions(*by).mapInArrow(_stream(min_docs), "h1 long, h2 long, doc long, tkey long, place int, state int"), "lines"
     )
-    # one or two boundary hashes for each partition; partial counts leave one row a task and hash, so a hot one is small
-    crossing = (
-        marks.where(f"state <> {DROP}").groupBy("h1", "h2").agg(F.max("doc").alias("keeper"), F.count_distinct(F.when(F.col("state") == OPEN, F.col("doc"))).alias("docs"), F.max("state").alias("known"))
-    ).where((F.col("docs") >= min_docs) | (F.col("known") == FACT))
+    # one or two boundary hashes for each partition. A document counts once for a hash: these are told apart first, dealt by hash and
+    # document, so what is left for a hot hash is one partial count a task
+    each = marks.where(f"state <> {DROP}").groupBy("h1", "h2", "doc").agg(F.max(F.when(F.col("state") == OPEN, 1).otherwise(0)).alias("open"), F.max("state").alias("known"))
+    crossing = each.groupBy("h1", "h2").agg(F.max("doc").alias("keeper"), F.sum("open").alias("docs"), F.max("known").alias("known")).where((F.col("docs") >= min_docs) | (F.col("known") == FACT))
     decided = marks.where(f"state = {OPEN}").join(crossing, ["h1", "h2"]).where("doc <> keeper").select("doc", "tkey", "place")
     drops = marks.where(f"state = {DROP}").select("doc", "tkey", "place").unionByName(decided)
 
