@@ -141,9 +141,9 @@ def drift_counts(spark, sf):
     return _drift(spark, sf).groupBy("verdict").agg(F.count("*").alias("findings"), F.count_distinct("note").alias("notes"))
 
 
-@query("first_broken", f"with {_DRIFT} select note, min(pos) as pos, arg_min(path, pos) as path from v where verdict = 'broken' group by note")
+@query("first_broken", f"with {_DRIFT} select note, min(pos) as pos, arg_min(path, (pos, path)) as path from v where verdict = 'broken' group by note")
 def first_broken(spark, sf):
-    return _drift(spark, sf).where("verdict = 'broken'").groupBy("note").agg(F.min("pos").alias("pos"), F.min_by("path", "pos").alias("path"))
+    return _drift(spark, sf).where("verdict = 'broken'").groupBy("note").agg(F.min("pos").alias("pos"), F.min_by("path", F.struct("pos", "path")).alias("path"))
 
 
 _CONF = """c as (select 'n' || o_orderkey as slug, case when o_totalprice < 40000 then '' when o_totalprice < 90000 then 'low' when o_totalprice < 150000 then 'medium' else 'high' end as confidence from orders),
