@@ -56,6 +56,16 @@ def weekly(stats: DataFrame, measures: list[str], keep: int = KEPT_WEEKS) -> Dat
     return rows.where(F.col("age") <= keep).drop("age")
 
 
+def week_row(notes: DataFrame, asked: DataFrame, graded: DataFrame, findings: DataFrame) -> DataFrame:
+    """One row, the measures of a week: notes, hit_rate, orphans, drift (notes with a broken or suspect citation).
+
+    notes: rel; asked: as of :func:`topics`; graded: rel, is_orphan; findings: note, verdict.
+    """
+    orphans = graded.where("is_orphan").agg(F.count("*").alias("orphans"))
+    drift = findings.where("verdict in ('broken', 'suspect')").agg(F.count_distinct("note").alias("drift"))
+    return notes.agg(F.count("*").alias("notes")).crossJoin(hit_rate(asked).select("hit_rate")).crossJoin(orphans).crossJoin(drift)  # one row each
+
+
 def remaining(spent: DataFrame, caps: DataFrame, day: str) -> DataFrame:
     """tier, spent, cap, remaining on a day, for tiers that have either."""
     today = spent.where(F.col("day") == day).groupBy("tier").agg(F.sum("usd").alias("usd"))

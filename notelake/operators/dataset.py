@@ -49,11 +49,26 @@ def check_format(tier: str, kind: str) -> None:
         raise ValueError(f"{tier} has no export as {kind}")
 
 
+# The volumes at which more can be done with a tier; pairs for distillation have a third.
+LADDERS = {"d1": (100, 1000), "d2": (100, 1000, 10_000), "d3": (100, 1000, 10_000), "d4": (100, 1000), "d5": (100, 1000)}
+
+
+def band(tier: Column, n: Column) -> Column:
+    """under-100, under-1000, under-10000 or over, by the ladder of the tier; empty for other tiers."""
+    found = F.lit("")
+    for name, steps in LADDERS.items():
+        of = F.lit("over")
+        for step in reversed(steps):
+            of = F.when(n < step, f"under-{step}").otherwise(of)
+        found = F.when(tier == name, of).otherwise(found)
+    return found
+
+
 def tier_stats(records: DataFrame) -> DataFrame:
-    """tier, n, first, last (stamps of zero do not count), band by volume. records: tier, stamp_s."""
+    """tier, n, first, last (stamps of zero do not count), band by the tier's own ladder. records: tier, stamp_s."""
     stamped = F.when(F.col("stamp_s") > 0, F.col("stamp_s"))
     counted = records.groupBy("tier").agg(F.count("*").alias("n"), F.min(stamped).alias("first"), F.max(stamped).alias("last"))
-    return counted.withColumn("band", F.when(F.col("n") < 100, "under-100").when(F.col("n") < 1000, "under-1000").otherwise("over"))
+    return counted.withColumn("band", band(F.col("tier"), F.col("n")))
 
 
 def distribution(records: DataFrame, column: str) -> DataFrame:

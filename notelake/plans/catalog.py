@@ -13,6 +13,7 @@ from notelake.functions.dates import week_key
 from notelake.functions.redact import INTERNAL_URL, STAGES, redaction
 from notelake.functions.score import round3, saturated
 from notelake.operators import asks as A
+from notelake.operators import capture as C
 from notelake.operators import dataset as X
 from notelake.operators import gates as G
 from notelake.operators import graph as L
@@ -559,9 +560,15 @@ def export_sft(spark, sf):
     return X.sft(c, F.col("role"), F.col("text"))
 
 
-@query("tier_stats", "select event_type as tier, count(*) as n, min(s) filter (s > 0) as first, max(s) filter (s > 0) as last, case when count(*) < 100 then 'under-100' when count(*) < 1000 then 'under-1000' else 'over' end as band from (select event_type, case when event_id % 11 = 0 then 0 else cast(floor(epoch(ts)) as bigint) end as s from events) group by 1")
+_TIERS = {"click": "d1", "view": "d2", "purchase": "d3", "signup": "d4", "error": "d5"}
+_TIER = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in _TIERS.items()) + " else event_type end"
+
+
+@query("tier_stats", f"""with c as (select {_TIER} as tier, count(*) as n, min(s) filter (s > 0) as first, max(s) filter (s > 0) as last from (select event_type, case when event_id % 11 = 0 then 0 else cast(floor(epoch(ts)) as bigint) end as s from events) group by 1)
+    select *, case when n < 100 then 'under-100' when n < 1000 then 'under-1000' when tier in ('d2', 'd3') and n < 10000 then 'under-10000' else 'over' end as band from c""")
 def tier_stats(spark, sf):
-    return X.tier_stats(table(spark, sf, "events").select(F.col("event_type").alias("tier"), F.when(F.col("event_id") % 11 == 0, F.lit(0)).otherwise(I.seconds("ts")).alias("stamp_s")))
+    tier = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in _TIERS.items() for x in kv)), F.col("event_type")), F.col("event_type"))
+    return X.tier_stats(table(spark, sf, "events").select(tier.alias("tier"), F.when(F.col("event_id") % 11 == 0, F.lit(0)).otherwise(I.seconds("ts")).alias("stamp_s")))
 
 
 @query("stack_distribution", "with c as (select value, count(*) as n from (select unnest([lang, case when doc_id % 5 = 0 then source else 'en' end]) as value from documents) group by value), t as (select sum(n) as total, max(n) as top from c) select value, n, n = top and floor(n * 100 / total) >= 60 as biased from c, t")
@@ -650,6 +657,11 @@ def probe_schedule(spark, sf):
     return pacing.schedule(pages, probed, 4000, 1500)
 
 
+@query("intent_hits", _recall_sql(_MANY) + " select question_id, rel, floor(score * 1000 + 0.5) / 1000 as score from o where rank = 1 and floor(score * 1000 + 0.5) / 1000 > 0.2")
+def intent_hits(spark, sf):
+    return C.intent_hits(R.ask(_recall_index(spark, sf), _many(spark, sf)), 0.2)
+
+
 @query("slugs_given_out", """with recursive b as materialized (select doc_id, coalesce(nullif('t' || (length(text) % 23) || case when lang = 'en' then '' else '-2' end, ''), 'untitled') as base from documents),
     taken as materialized (select 't' || (user_id % 23) || case when user_id % 3 = 0 then '' else '-' || (user_id % 9) end as slug from events group by 1),
     used as materialized (select slug from taken union select base from b),

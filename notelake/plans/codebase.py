@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notelake.operators import asks as A
 from notelake.operators import drift as D
 from notelake.operators import graph as L
 from notelake.operators import history as H
@@ -263,3 +264,29 @@ def rename_origins(spark, sf):
     rows = table(spark, sf, "lineitem").groupBy(pos.alias("pos")).agg(F.min(F.concat(F.lit("f"), "l_partkey")).alias("path"), F.min(F.when(F.col("l_returnflag") != "N", F.concat(F.lit("f"), "l_suppkey"))).alias("old_path"))
     changes = rows.select(F.lit("r").alias("repo"), "path", "pos", F.when(F.col("old_path").isNull(), "A").otherwise("R").alias("status"), "old_path")
     return renames.origins(changes).select("pos", "path", "origin_pos", "origin_path")
+
+
+# ------------------------------------------------------------------ citations in order, and the measures of a week
+
+
+@query(
+    "cited_refs",
+    """with f as (select 'n' || l_orderkey as note, case when l_returnflag = 'R' then 0 else 1 end as part, l_linenumber * 10000000 + l_partkey as pos, 'f' || l_partkey as raw from lineitem group by all)
+    select note, row_number() over (partition by note order by part, pos) - 1 as pos, raw from f""",
+)
+def cited_refs(spark, sf):
+    """Returned lines are the frontmatter of an order's note, the others its body."""
+    rows = table(spark, sf, "lineitem").select(F.concat(F.lit("n"), "l_orderkey").alias("note"), (F.col("l_returnflag") == "R").alias("front"), (F.col("l_linenumber").cast("long") * 10_000_000 + F.col("l_partkey")).alias("pos"), F.concat(F.lit("f"), "l_partkey").alias("raw")).distinct()
+    return D.cited_refs(rows.where("front"), rows.where("not front"))
+
+
+@query(
+    "week_row",
+    f"""with {_DEGREES}, {_DRIFT}, asked as (select topic, count(*) as asked, topic in (select slug from slugs) as written from asks group by topic)
+    select (select count(*) from nodes) as notes, (select case when sum(asked) > 0 then 100.0 * sum(asked) filter (written) / sum(asked) else 0 end from asked) as hit_rate,
+        (select count(*) from c where in_degree = 0 and not is_root) as orphans, (select count(distinct note) from v where verdict in ('broken', 'suspect')) as drift""",
+)
+def week_row(spark, sf):
+    asked = A.topics(I.asks(spark, sf), I.slugs(spark, sf))
+    nodes, edges = _graph(spark, sf)
+    return A.week_row(nodes, asked, L.degrees(nodes, edges).select("rel", "is_orphan"), _drift(spark, sf).select("note", "verdict"))

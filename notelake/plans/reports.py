@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from notelake.operators.asks import KEPT_WEEKS, MINUTES_SAVED, gaps, hit_rate
 from notelake.operators.sinks import write_if_changed
 
 
@@ -81,3 +82,26 @@ def suite(frames: dict[str, Callable[[], DataFrame]]) -> list[Report]:
         Report("dataset.md", "Dataset", frames.get("tiers"), ("tier",), 10),
     ]
     return [r for r in known if r.build is not None]
+
+
+def stats(asked: DataFrame, weeks: DataFrame, topics: int = 15) -> str:
+    """The figures of an ask log as text: hit rate, most asked, gaps, time saved, trend.
+
+    asked: topic, asked, written; weeks: week, notes, hit_rate, orphans, drift. Lists are as long as they say, and say if there is more.
+    """
+    rate = hit_rate(asked).first()
+    count = asked.count()
+
+    def section(title: str, rows: DataFrame, line, none: str, most: int) -> list[str]:
+        found = rows.limit(most + 1).collect()
+        lines = [f"- {line(r)}" for r in found[:most]] or [f"- {none}"]
+        return ["", f"## {title}", "", *lines, *(["- and more"] if len(found) > most else [])]
+
+    out = ["# Asks", "", f"{rate['hit_rate']:.1f} % of {rate['asked']} asks about {count} topics met a note."]
+    out += section("Most asked", asked.orderBy(down("asked"), "topic"), lambda r: f"{r['topic']}: {r['asked']}, {'written' if r['written'] else 'not written'}", "nothing was asked", topics)
+    out += section("Asked and not written", gaps(asked).orderBy(down("asked"), "topic"), lambda r: f"{r['topic']}: {r['asked']}", "no gaps", 2 * topics)
+    out += ["", "## Time saved", "", f"About {rate['minutes_saved']} minutes, at {MINUTES_SAVED} minutes for each of {rate['hits']} hits."]
+    shown = lambda r: f"{r['week']}: {r['notes']} notes, {r['hit_rate']:.1f} % hits, {r['orphans']} orphans, {r['drift']} drifted"
+    newest = weeks.orderBy(down("week")).limit(KEPT_WEEKS).orderBy("week")
+    out += section("Weeks", newest, shown, "no week was recorded", KEPT_WEEKS)
+    return "\n".join([*out, ""])
