@@ -5,7 +5,6 @@ All of them are read by the executors through :mod:`notelake.sources.git`.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from notelake.operators import renames
+from notelake.sources.declarations import declarations
 from notelake.sources.git import git_table, is_source
 
 SYMBOLS = "repo string, path string, name string, kind string, start int, end int, body string"
@@ -40,57 +40,12 @@ def first_added(spark: SparkSession, repo: str, root: str, paths: DataFrame, rev
     return renames.first_added(changes, paths.select(F.lit(repo).alias("repo"), "path")).select(F.col("path").alias("rel"), "gen_sha", "gen_path", "added_s")
 
 
-# ---------------------------------------------------------------- declarations, by their heads and braces
-
-_TYPE = re.compile(r"^[ \t]*(?:(?:public|protected|private|export|default|abstract|static|final|sealed|declare)\s+)*(class|interface|enum|record)\s+([A-Za-z_$][\w$]*)")
-_METHOD = re.compile(r"^[ \t]*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|static|final|abstract|synchronized|async|default|override|readonly|get|set)\s+)*(?:<[^>]+>\s*)?(?:[\w$<>\[\], ?.]+\s+)?([A-Za-z_$][\w$]*)\s*\([^;{}]*\)\s*(?::\s*[^{;=]+)?(?:throws\s+[\w.,\s]+)?\{")
-_FUNCTION = re.compile(r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*([A-Za-z_$][\w$]*)")
-_ARROW = re.compile(r"^[ \t]*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=>")
-_WORDS = {"if", "for", "while", "switch", "catch", "return", "new", "else", "do", "try", "function", "synchronized"}
-_QUOTED = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
-
-
-def declarations(source: str) -> list[tuple[str, str, int, int, str]]:
-    """name (qualified by the enclosing types), kind, first and last line, text of the declarations with a body."""
-    plain = _QUOTED.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)  # same length, so lines and places hold
-    lines, raw = plain.split("\n"), source.split("\n")
-    out, open_, depth = [], [], 0
-    for at, line in enumerate(lines):
-        head = None
-        joined = line if "{" in line or ";" in line else " ".join(lines[at : at + 4]).split("{")[0] + "{"
-        types = [x for x in open_ if x[1] in ("class", "interface", "enum", "record")]
-        if m := _TYPE.match(line):
-            head = (m[2], m[1])
-        elif m := _FUNCTION.match(line) or _ARROW.match(line):
-            head = (m[1], "function")
-        elif types and depth == types[-1][3] + 1 and (m := _METHOD.match(joined)) and m[1] not in _WORDS:
-            head = (m[1], "constructor" if m[1] == types[-1][4] else "method")
-        if head:
-            name = ".".join([*(x[4] for x in types), head[0]])
-            open_.append([name, head[1], at, depth, head[0], False])
-        for c in line:
-            if c == "{":
-                depth += 1
-                for x in open_:
-                    x[5] = x[5] or depth == x[3] + 1
-            elif c == "}":
-                depth -= 1
-                while open_ and open_[-1][5] and depth <= open_[-1][3]:
-                    name, kind, first, *_ = open_.pop()
-                    out.append((name, kind, first + 1, at + 1, "\n".join(raw[first : at + 1])))
-        while open_ and not open_[-1][5] and ";" in line and depth <= open_[-1][3]:  # a head without a body
-            name, kind, first, *_ = open_.pop()
-            if kind == "function":
-                out.append((name, kind, first + 1, at + 1, "\n".join(raw[first : at + 1])))
-    return sorted(out, key=lambda x: (x[2], x[3], x[0]))
-
-
 def symbols(files: DataFrame) -> DataFrame:
     """SYMBOLS of source texts (repo, path, text); other files give none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(repo, path, *d) for repo, path, text in zip(batch["repo"], batch["path"], batch["text"]) if is_source(path) for d in declarations(text or "")]
+            rows = [(repo, path, *d) for repo, path, text in zip(batch["repo"], batch["path"], batch["text"]) if is_source(path) for d in declarations(text or "", path.lower().endswith(".java"))]
             yield pd.DataFrame(rows, columns=["repo", "path", "name", "kind", "start", "end", "body"])
 
     from notelake.session import ship
