@@ -16,6 +16,7 @@ from notelake.functions.text import segments
 from notelake.operators.history import resolve_paths, resolved_in
 from notelake.operators.similarity import fnv1a
 from notelake.operators.timeline import in_force, versions
+from notelake.session import materialize
 
 # The language of a source file by its extension.
 LANGUAGES = {"java": "java", "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript"}
@@ -104,7 +105,7 @@ def drift(refs: DataFrame, states: DataFrame) -> DataFrame:
     refs: note, pos, repo, path, symbol ('' is the whole file), line, verified (a day or null); states: as of :func:`held`. What
     holds still is the tree at HEAD. Gives note, pos, repo, path, symbol, line, line_now, verdict.
     """
-    files = held_files(states)
+    files = materialize(held_files(states), "held-files")
     now = states.where("until is null").select("repo", "path", F.col("name").alias("symbol"), "start", "body_hash")
     whole = lambda rows, *more: rows.select("repo", "path", F.lit("").alias("symbol"), F.lit(None).cast(states.schema["start"].dataType).alias("start"), F.col("file_hash").alias("body_hash"), *more)
     head = _in_files(now.unionByName(whole(files.where("until is null")))).select("repo", "path", "symbol", F.col("start").alias("line_now"), F.col("body_hash").alias("hash_now"))

@@ -3,8 +3,9 @@
 A key may hold most rows, so nothing here sorts the rows of a key in one task. Times are cut into ``CELLS`` even cells; rows are ordered
 within a key's cell, and one row for each cell carries the last value from cell to cell. Rows of one key and one time are one row before that.
 
-Versions in force are found without a range join. A validity [from, to) is cut into aligned blocks of radix-16 widths, as few as possible, and a moment lies in
-one block of each width; so each pair that meets is a version and a moment in it, whatever the keys hold, and the join is an equi join.
+Versions in force are found by equi joins. The moments of a key of few versions (``DIRECT``) meet all of them. For other keys a validity [from, to) is cut into
+aligned blocks of radix-4 widths, as few as possible, and a moment lies in one block of each width; so each pair that meets is a version and a moment in
+it, however many versions a key has.
 
 Times are longs or whole days as integers. A null key or time matches nothing; an open end is null.
 """
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 from notelake.session import materialize
 
 CELLS = 1024
-RADIX = 16
+RADIX = 4
+#: Versions of a key up to which a moment meets each of them.
+DIRECT = 64
 
 
 def celled(rows: DataFrame, at: str) -> DataFrame:
@@ -76,17 +79,26 @@ def _blocks(start: Column, end: Column, levels: int) -> Column:
 
 def in_force(points: DataFrame, held: DataFrame, keys: list[str], at: str, start: str = "since", end: str = "until") -> DataFrame:
     """The rows of ``points`` joined with the rows of ``held`` of their key whose [start, end) has their time. Other columns must differ."""
-    span = held.where(F.col(start).isNotNull()).agg(F.min(start).alias("lo"), F.max(F.greatest(start, end)).alias("hi")).first()
+    held = held.where(F.col(start).isNotNull())
+    crowded = materialize(held.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > DIRECT).drop("n"), "crowded")
+    holds = (F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
+    columns = [*keys, *(c for c in [*points.columns, *held.columns] if c not in keys)]
+    if crowded.isEmpty():
+        return points.join(held, keys).where(holds).select(*columns)
+    few = points.join(crowded, keys, "left_anti").join(held, keys).where(holds).select(*columns)
+    return few.union(_by_blocks(points.join(crowded, keys, "left_semi"), held.join(crowded, keys, "left_semi"), keys, at, start, end).select(*columns))
+
+
+def _by_blocks(points: DataFrame, held: DataFrame, keys: list[str], at: str, start: str, end: str) -> DataFrame:
+    span = held.agg(F.min(start).alias("lo"), F.max(F.greatest(start, end)).alias("hi")).first()
     last = points.agg(F.max(at).alias("hi")).first()["hi"]
-    if span["lo"] is None or last is None:
-        return points.join(held, keys).where("false")
-    low, high = span["lo"], max(span["hi"], last) + 1  # an open end is beyond all times
+    low, high = span["lo"], max(span["hi"], span["hi"] if last is None else last) + 1  # an open end is beyond all times
     levels = 1
-    while RADIX ** (levels + 1) <= high - low:
+    while RADIX**levels < high - low:
         levels += 1
     from_ = (F.col(start) - F.lit(low)).cast("long")
     to = (F.coalesce(F.col(end), F.lit(high)) - F.lit(low)).cast("long")
-    blocks = held.where(F.col(start).isNotNull()).withColumn("_b", F.explode(_blocks(from_, to, levels))).select(*(F.col(f"`{c}`") for c in held.columns), F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
+    blocks = held.withColumn("_b", F.explode(_blocks(from_, to, levels))).select(*(F.col(f"`{c}`") for c in held.columns), F.col("_b.level").alias("_level"), F.col("_b.block").alias("_block"))
     moment = (F.col(at) - F.lit(low)).cast("long")
     places = F.array(*(F.struct(F.lit(k).alias("level"), F.floor(moment / F.lit(RADIX**k)).alias("block")) for k in range(levels)))
     asked = points.where(F.col(at) >= low).withColumn("_p", F.explode(places)).select(*(F.col(f"`{c}`") for c in points.columns), F.col("_p.level").alias("_level"), F.col("_p.block").alias("_block"))

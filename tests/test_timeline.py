@@ -36,9 +36,10 @@ def test_versions(spark, monkeypatch, cells):
     assert found == {(k, t): min((u for j, u in events if j == k and u > t), default=None) for k, t in events}
 
 
-@pytest.mark.parametrize("span", [1, 15, 16, 17, 300, 70_000])
-def test_in_force(spark, span):
-    """Every moment meets exactly the versions whose [since, until) has it, and each once."""
+@pytest.mark.parametrize("span, direct", [(1, 0), (15, 0), (16, 0), (17, 0), (300, 0), (70_000, 0), (300, 64), (300, 1000)])
+def test_in_force(spark, monkeypatch, span, direct):
+    """Every moment meets exactly the versions whose [since, until) has it, and each once, met directly or by blocks."""
+    monkeypatch.setattr(T, "DIRECT", direct)
     rng = random.Random(span)
     held = [("k" if i % 3 else "other", i, rng.choice([None, rng.randrange(-span, span + 1)]), rng.choice([None, 0, 1, 5, span])) for i in range(150)]
     held = [(k, i, a, None if a is None or d is None else a + d) for k, i, a, d in held]
