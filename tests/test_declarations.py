@@ -101,16 +101,15 @@ def test_typescript():
     assert found["Login"][1:] == (4, 9) and found["over"][1:] == (15, 15) and found["Base"][1:] == (16, 24) and found["Union"][1:] == (26, 28)
 
 
-def test_known_cases():
-    """Members are qualified, arrows are declarations and styled values are not, a reformat changes no body."""
-    java = "package com.food.order;\n\npublic class OrderConsumer {\n    private final Repo repo;\n\n    public void receive(String id) {\n        repo.save(id);\n    }\n}\n"
-    flat = "package com.food.order;\n\npublic class OrderConsumer {\n  private final Repo repo;\n  public void receive(String id) { repo.save(id); }\n}\n"
-    a, b = ({d.name: d for d in declarations(t, True)} for t in (java, flat))
-    assert (a["OrderConsumer.receive"].kind, a["OrderConsumer.receive"].start, b["OrderConsumer.receive"].start) == ("method", 6, 5)
-    assert a["OrderConsumer.receive"].body.split() == b["OrderConsumer.receive"].body.split()
-    arrows = told("const LoginPage: FC = (): ReactElement => {\n  return null;\n};\n\nconst Title = styled(Typography)`text-align: center;`;\n\nexport { LoginPage };\n", False)
-    assert list(arrows) == ["LoginPage"]
-    assert set(told("export function useAccounts() {\n  return 1;\n}\n\nexport class AccountsLoader {\n  render() {\n    return null;\n  }\n}\n", False)) == {"useAccounts", "AccountsLoader", "AccountsLoader.render"}
+def test_reformatted_bodies_and_values_that_are_no_functions():
+    """A reformat moves lines and changes no body; a variable counts if its value is a function, and a tagged template is none."""
+    long = "class Ledger {\n\n  long total;\n\n  void add(long cents)\n  {\n    total += cents;\n    log(\"added\");\n  }\n}\n"
+    short = "class Ledger {\n  long total;\n  void add(long cents) { total += cents; log(\"added\"); }\n}\n"
+    a, b = ({d.name: d for d in declarations(t, True)} for t in (long, short))
+    assert (a["Ledger.add"].kind, a["Ledger.add"].start, b["Ledger.add"].start) == ("method", 5, 3)
+    assert a["Ledger.add"].body.split() == b["Ledger.add"].body.split()
+    values = "const total = sum(1, 2);\nconst Row = view(Cell)`width: ${w}px;`;\nconst pay: Handler = (c): Result => {\n  return c;\n};\nlet k = x => x\nexport { pay };\n"
+    assert told(values, False) == {"pay": ("function", 3, 5), "k": ("function", 6, 6)}
 
 
 @pytest.mark.parametrize("java", [True, False])
