@@ -5,7 +5,7 @@ names the folder of every bucket, by a rename that fails if that version is ther
 writer that dies leaves nothing but folders that no manifest names, of two writers one gets an error, and what a patch writes grows with
 the buckets it touches and not with the index. A reader keeps the version it has opened.
 
-Defined results: of rows of one key in a patch the largest of ``order`` wins, ties by a hash of the row; a key both fresh and gone is fresh; a null key
+Defined results: of rows of one key in a patch the largest of ``order`` wins, ties by a hash of the row, and against stored rows the patch wins ties; a key both fresh and gone is fresh; a null key
 is a key; a patch without rows makes no version.
 """
 
@@ -76,8 +76,9 @@ class IndexStore:
         return {n.removeprefix("_bucket="): f"{name}/{n}" for n in found if n.startswith("_bucket=")}
 
     def _one_each(self, rows: DataFrame) -> DataFrame:
-        by = F.struct(*([self.order] if self.order else []), F.xxhash64(*rows.columns))
-        return rows.groupBy(F.col(self.key).alias("_key")).agg(F.max_by(F.struct(*rows.columns), by).alias("_row")).select("_row.*")
+        columns = [c for c in rows.columns if c != "_late"]
+        by = F.struct(*([self.order] if self.order else []), *(["_late"] if "_late" in rows.columns else []), F.xxhash64(*columns))
+        return rows.groupBy(F.col(self.key).alias("_key")).agg(F.max_by(F.struct(*columns), by).alias("_row")).select("_row.*")
 
     def read(self, version: int | None = None) -> DataFrame:
         held = self.manifest(version)
@@ -113,7 +114,7 @@ class IndexStore:
         if gone is not None:
             keep = old[self.key].eqNullSafe(F.col("_gone"))
             old = old.join(gone.select(F.col(self.key).alias("_gone")).distinct(), keep, "left_anti")
-        merged = self._one_each(old.unionByName(fresh)) if self.order else old.join(fresh.select(F.col(self.key).alias("_new")), old[self.key].eqNullSafe(F.col("_new")), "left_anti").unionByName(fresh)
+        merged = self._one_each(old.withColumn("_late", F.lit(0)).unionByName(fresh.withColumn("_late", F.lit(1)))) if self.order else old.join(fresh.select(F.col(self.key).alias("_new")), old[self.key].eqNullSafe(F.col("_new")), "left_anti").unionByName(fresh)
         made = self._folder(merged)
         folders = {b: f for b, f in held["folders"].items() if int(b) not in touched} | made
         return self._commit({"version": held["version"] + 1, "schema": held["schema"], "epoch": epoch if epoch is not None else held["epoch"], "folders": folders})

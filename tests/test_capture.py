@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from notelake.operators import capture, drift, gates, migrate, reports, sinks
+from notelake.operators.index_store import IndexStore
 from notelake.plans import captures, contracts
 from notelake.sources import config, logs, repository
 from notelake.streaming.incremental import upsert
@@ -154,7 +155,7 @@ def test_upsert_takes_the_newest(spark, tmp_path):
     put(rows(("a", 2, "new"), ("a", 1, "old"), ("b", 1, "b")), 0)
     put(rows(("a", 1, "late"), ("b", 1, "again"), ("c", 1, "c")), 3)  # epochs may be skipped
     put(rows(("c", 5, "c5")), 4)
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "t/epoch=4")).collect())) == [("a", 2, "new"), ("b", 1, "again"), ("c", 5, "c5")]
+    assert sorted(map(tuple, IndexStore(spark, str(tmp_path / "t"), "k").read().collect())) == [("a", 2, "new"), ("b", 1, "again"), ("c", 5, "c5")]
 
 
 def test_reports(spark):
