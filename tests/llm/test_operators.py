@@ -40,7 +40,7 @@ def empty(spark):
 @pytest.fixture(scope="module")
 def db():
     con = duckdb.connect()
-    for t in "documents embeddings pages".split():
+    for t in "documents embeddings pages clicks sales".split():
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
