@@ -272,7 +272,7 @@ def rename_origins(spark, sf):
 @query(
     "cited_refs",
     """with f as (select 'n' || l_orderkey as note, case when l_returnflag = 'R' then 0 else 1 end as part, l_linenumber * 10000000 + l_partkey as pos, 'f' || l_partkey as raw from lineitem group by all)
-    select note, row_number() over (partition by note order by part, pos) - 1 as pos, raw from f""",
+    select note, cast(row_number() over (partition by note order by part, pos) - 1 as integer) as pos, raw from f""",
 )
 def cited_refs(spark, sf):
     """Returned lines are the frontmatter of an order's note, the others its body."""
