@@ -139,7 +139,7 @@ def hook_payloads(spark, sf):
 _CITED = "u as (select page_id, url, case when length(html) % 4 = 0 then 'dead' when length(html) % 4 = 1 then 'unreachable' else 'alive' end as verdict from pages), c as (select distinct 'n' || (page_id // 3) as note, url from pages)"
 
 
-@query("dead_urls_of_notes", f"with {_CITED} select note, count(distinct url) as dead from c join (select distinct url from u where verdict = 'dead') d using (url) group by note")
+@query("dead_urls_of_notes", f"with {_CITED} select note, count(distinct url) as dead from c join (select url from u group by url having min(verdict) = 'dead') d using (url) group by note")
 def dead_urls_of_notes(spark, sf):
     return P.dead_per_note(*_cited(spark, sf))
 
