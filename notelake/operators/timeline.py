@@ -7,6 +7,8 @@ Versions in force are found by equi joins. The moments of a key of few versions
 aligned blocks of radix-4 widths, as few as possible, and a moment lies in one block of each width; so each pair that meets is a version and a moment in
 it, however many versions a key has.
 
+Where no key has more than ``PLAIN`` rows, the rows of a key are ordered as they are, without cells.
+
 Times are longs or whole days as integers. A null key or time matches nothing; an open end is null.
 """
 
@@ -21,6 +23,8 @@ CELLS = 1024
 RADIX = 4
 #: Versions of a key up to which a moment meets each of them.
 DIRECT = 64
+#: Rows of a key up to which they are ordered together.
+PLAIN = 4096
 
 
 def celled(rows: DataFrame, at: str) -> DataFrame:
@@ -48,9 +52,18 @@ def last_before(points: DataFrame, values: DataFrame, keys: list[str], at: str)
     return found.select(*keys, at, F.coalesce("own", "carry").alias("value"))
 
 
+def _crowded(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """The keys of more than ``most`` rows."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).drop("n")
+
+
 def versions(events: DataFrame, keys: list[str], at: str) -> DataFrame:
     """The events (one for each key and time) with ``until``: the time of the next event of the key, null for the last."""
-    rows = celled(materialize(events, "timeline"), at)
+    rows = materialize(events, "timeline")
+    if _crowded(rows, keys, PLAIN).isEmpty():
+        told = rows.where(" and ".join(f"`{c}` is not null" for c in [*keys, at]))
+        return told.withColumn("until", F.lead(at).over(Window.partitionBy(*keys).orderBy(at)))
+    rows = celled(rows, at)
     cells = rows.groupBy(*keys, "cell").agg(F.min(at).alias("first"))
     follows = cells.select(*keys, "cell", F.lead("first").over(Window.partitionBy(*keys).orderBy("cell")).alias("follows"))  # CELLS rows a key
     own = F.lead(at).over(Window.partitionBy(*keys, "cell").orderBy(at))
@@ -80,7 +93,7 @@ def _blocks(start: Column, end: Column, levels: int) -> Column:
 def in_force(points: DataFrame, held: DataFrame, keys: list[str], at: str, start: str = "since", end: str = "until") -> DataFrame:
     """The rows of ``points`` joined with the rows of ``held`` of their key whose [start, end) has their time. Other columns must differ."""
     held = held.where(F.col(start).isNotNull())
-    crowded = materialize(held.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > DIRECT).drop("n"), "crowded")
+    crowded = materialize(_crowded(held, keys, DIRECT), "crowded")
     holds = (F.col(at) >= F.col(start)) & (F.col(end).isNull() | (F.col(at) < F.col(end)))
     columns = [*keys, *(c for c in [*points.columns, *held.columns] if c not in keys)]
     if crowded.isEmpty():
