@@ -1,6 +1,6 @@
 """Where files come from: the commit that first added a path, followed back through renames.
 
-A rename points to the last addition or rename of its old path before it (one as-of lookup for all). Then pointers double: each round every
+A rename points to the last addition or rename of its old path before it (one as-of lookup for all). Then pointers double among the events that are pointed to: each round every
 pointer jumps to where its target points, so a chain of n renames takes log2(n) rounds, each an equi join. Names that are used again are no
 trouble, since an event is a path at a place of the history.
 """
@@ -14,6 +14,16 @@ from notelake.operators.timeline import last_before
 from notelake.session import materialize
 
 
+def _beyond(jumps: DataFrame, table: DataFrame) -> DataFrame:
+    """``jumps`` with far_path, far_pos: where the target points by ``table``, null where it does not."""
+    further = table.select("repo", F.col("path").alias("to_path"), F.col("pos").alias("to_pos"), F.col("to_path").alias("far_path"), F.col("to_pos").alias("far_pos"))
+    return jumps.join(further, ["repo", "to_path", "to_pos"], "left")
+
+
+def _jumped(joined: DataFrame) -> DataFrame:
+    return joined.select("repo", "path", "pos", F.coalesce("far_path", "to_path").alias("to_path"), F.coalesce("far_pos", "to_pos").alias("to_pos"))
+
+
 def origins(changes: DataFrame) -> DataFrame:
     """repo, path, pos, origin_pos, origin_path of every addition and rename.
 
@@ -27,12 +37,15 @@ def origins(changes: DataFrame) -> DataFrame:
     found = last_before(points, known, ["repo", "name"], "at").where("value is not null")
     step = asked.join(found.select("repo", F.col("name").alias("old_path"), F.col("at").alias("before"), "value"), ["repo", "old_path", "before"])
     jumps = materialize(step.select("repo", "path", "pos", F.col("old_path").alias("to_path"), F.col("value").alias("to_pos")), "renames")
+    # pointers double among the events that something was renamed from; all others follow in one step
+    targets = jumps.select("repo", F.col("to_path").alias("path"), F.col("to_pos").alias("pos")).distinct()
+    inner = materialize(jumps.join(targets, ["repo", "path", "pos"], "left_semi"), "renames")
     while True:
-        beyond = jumps.select("repo", F.col("path").alias("to_path"), F.col("pos").alias("to_pos"), F.col("to_path").alias("far_path"), F.col("to_pos").alias("far_pos"))
-        joined = materialize(jumps.join(beyond, ["repo", "to_path", "to_pos"], "left"), "renames")
+        joined = materialize(_beyond(inner, inner), "renames")
         if joined.where("far_pos is not null").isEmpty():
             break
-        jumps = joined.select("repo", "path", "pos", F.coalesce("far_path", "to_path").alias("to_path"), F.coalesce("far_pos", "to_pos").alias("to_pos"))
+        inner = _jumped(joined)
+    jumps = _jumped(_beyond(jumps, inner))
     return events.join(jumps, ["repo", "path", "pos"], "left").select("repo", "path", "pos", F.coalesce("to_pos", "pos").alias("origin_pos"), F.coalesce("to_path", "path").alias("origin_path"))
 
 

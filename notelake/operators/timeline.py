@@ -44,7 +44,11 @@ def last_before(points: DataFrame, values: DataFrame, keys: list[str], at: str)
     known = values.where("value is not null").where(" and ".join(f"`{c}` is not null" for c in [*keys, at])).groupBy(*keys, at).agg(F.max("value").alias("value"))
     asked = points.select(*keys, at).where(" and ".join(f"`{c}` is not null" for c in [*keys, at])).distinct()
     both = known.select(*keys, at, F.lit(0).alias("side"), "value").unionByName(asked.withColumn("side", F.lit(1)), allowMissingColumns=True)
-    rows = celled(materialize(both, "timeline"), at)
+    rows = materialize(both, "timeline")
+    if _crowded(rows, keys, PLAIN).isEmpty():
+        so_far = Window.partitionBy(*keys).orderBy(at, "side").rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("value", F.last("value", ignorenulls=True).over(so_far)).where("side = 1").select(*keys, at, "value")
+    rows = celled(rows, at)
     within = Window.partitionBy(*keys, "cell").orderBy(at, "side").rowsBetween(Window.unboundedPreceding, 0)
     lasts = rows.groupBy(*keys, "cell").agg(F.max_by("value", F.when(F.col("side") == 0, F.col(at))).alias("last"))
     carry = lasts.select(*keys, "cell", F.last("last", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))  # CELLS rows a key
