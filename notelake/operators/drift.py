@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from notelake.functions.text import segments
-from notelake.operators.history import resolve_paths, resolved_in
+from notelake.operators.history import resolved_in
 from notelake.operators.similarity import fnv1a
 from notelake.operators.timeline import in_force, versions
 from notelake.session import materialize
@@ -191,11 +191,13 @@ def unresolved(refs: DataFrame, files: DataFrame, deleted: DataFrame | None, fil
     whole run calls broken what resolved to one file when the note was verified, if it is deep, and skips the rest.
     refs: note, pos, path, repo ('' any), rev; files: repo, path; files_then: repo, path, rev; deleted: repo, path.
     """
-    keyed = refs.withColumn("ref_id", F.struct("note", "pos"))  # a citation is known by its note and place
-    status = resolve_paths(keyed.select("ref_id", "path", "repo"), files)
-    rows = keyed.join(status, "ref_id").where("status <> 'resolved'").drop("repo_path")
-    ambiguous = rows.where("status = 'ambiguous'").select("note", "pos", "path", F.lit(None).cast("string").alias("repo_path"), F.lit("skipped").alias("verdict"))
-    none = rows.where("status = 'unresolved'")
+    keyed = materialize(refs.withColumn("ref_id", F.struct("note", "pos")), "cited")  # a citation is known by its note and place
+    found = resolved_in(keyed.select("ref_id", "path", "repo"), materialize(files.select("repo", "path"), "files")).select("ref_id", "n")
+    rows = keyed.join(found, "ref_id", "left").where("n is null or n > 1")
+    if deleted is None and deep:
+        rows = materialize(rows, "unresolved")
+    ambiguous = rows.where("n > 1").select("note", "pos", "path", F.lit(None).cast("string").alias("repo_path"), F.lit("skipped").alias("verdict"))
+    none = rows.where("n is null").drop("n")
     if deleted is not None:
         base = lambda c: F.lower(F.try_element_at(segments(F.col(c)), F.lit(-1)))
         gone = deleted.select(base("path").alias("base"), F.struct("path", "repo").alias("at")).groupBy("base").agg(F.min("at").alias("at"))
