@@ -171,12 +171,12 @@ def outcomes(drafts: DataFrame, invalid: DataFrame, compiled: DataFrame, danglin
     (text), freshness_days (null: that of the type). invalid: draft, n (issues); compiled: draft, verdict, detail
     (the worst of its code blocks); dangling, similar: draft, n. Drafts without a row there have none.
     """
-    rows = drafts
+    c, body = F.col, F.coalesce("body", F.lit(""))
+    # what bodies tell is told where they are read, so they do not move
+    rows = drafts.withColumn("phrase", first_banned(body)).withColumn("blocks", F.size(fenced_blocks(body))).drop("body")
     for name, facts in (("n_issues", invalid), ("n_dangling", dangling), ("n_similar", similar)):
         rows = rows.join(facts.select("draft", F.col("n").alias(name)), "draft", "left").withColumn(name, F.coalesce(name, F.lit(0)))
     rows = rows.join(compiled.select("draft", F.col("verdict").alias("built"), F.col("detail").alias("built_detail")), "draft", "left")
-    c, body = F.col, F.coalesce("body", F.lit(""))
-    rows = rows.withColumn("phrase", first_banned(body)).withColumn("blocks", F.size(fenced_blocks(body)))
     floor = F.coalesce(by_type(floors or SOURCE_FLOOR, c("type")), F.lit(0))
     days = F.when(c("freshness_days") > 0, c("freshness_days")).otherwise(F.coalesce(by_type(FRESHNESS_BY_TYPE, c("type")), F.lit(0)))
     undated = (c("mode") == "create") & (F.coalesce("updated", F.lit("")) == "") & (F.coalesce("verified", F.lit("")) == "")
