@@ -48,10 +48,10 @@ def by_type(table: dict[str, int], kind: Column) -> Column:
     return F.try_element_at(F.create_map(*(x for k, v in table.items() for x in (F.lit(k), F.lit(v)))), kind)
 
 
-def issues(notes: DataFrame, stacks: list[str], aliases: dict[str, dict[str, str]], contract: dict[str, dict] | None = None) -> DataFrame:
-    """rel, key, code for every broken rule of every note, in one pass over the notes; list items give an issue each.
+def issue_list(stacks: list[str], aliases: dict[str, dict[str, str]], contract: dict[str, dict] | None = None) -> Column:
+    """array<struct<key, code>>: every broken rule of a note, told from its row alone; list items give an issue each.
 
-    notes: rel, error (why the frontmatter could not be read: 'no-frontmatter', 'bad-yaml', or null), keys
+    The row: error (why the frontmatter could not be read: 'no-frontmatter', 'bad-yaml', or null), keys
     array<string> as written, and of each key of the contract a column: text of scalars, array<string> of
     lists, array<struct<url, accessed, kind>> of sources; null is a missing key. A note with an error has that one issue.
     """
@@ -126,8 +126,12 @@ def issues(notes: DataFrame, stacks: list[str], aliases: dict[str, dict[str, str
             rules.append(F.coalesce(found, none))
     trail = F.filter(F.coalesce("engine_trail", F.expr("cast(array() as array<string>)")), lambda e: ~trail_sound(e))
     rules.append(F.transform(trail, lambda e: F.struct(F.lit("engine_trail").alias("key"), F.lit("engine-invariant").alias("code"))))
-    whole = F.when(F.col("error").isNotNull(), F.array(F.struct(F.lit("").alias("key"), F.col("error").alias("code")))).otherwise(F.flatten(F.array(*(F.coalesce(r, none) for r in rules))))
-    return notes.select("rel", F.explode(whole).alias("i")).select("rel", "i.key", "i.code")
+    return F.when(F.col("error").isNotNull(), F.array(F.struct(F.lit("").alias("key"), F.col("error").alias("code")))).otherwise(F.flatten(F.array(*(F.coalesce(r, none) for r in rules))))
+
+
+def issues(notes: DataFrame, stacks: list[str], aliases: dict[str, dict[str, str]], contract: dict[str, dict] | None = None) -> DataFrame:
+    """rel, key, code for every broken rule of every note, in one pass over the notes. notes: rel, and the columns of :func:`issue_list`."""
+    return notes.select("rel", F.explode(issue_list(stacks, aliases, contract)).alias("i")).select("rel", "i.key", "i.code")
 
 
 def trail_sound(entry: Column) -> Column:

@@ -117,9 +117,7 @@ def inbox_drafts(spark, sf):
 
 @query("scrub_vault")
 def scrub_vault(spark, sf):
-    notes = K.contracts(spark, sf)
-    judge = lambda rows: G.issues(rows, K.STACKS, K.ALIASES)
-    return C.scrubbed(notes, judge(notes), judge).select("rel", "title", "redactions", F.sha2("body", 256).alias("body_sha256"), "error")
+    return C.scrubbed_alone(K.contracts(spark, sf), G.issue_list(K.STACKS, K.ALIASES)).select("rel", "title", "redactions", F.sha2("body", 256).alias("body_sha256"), "error")
 
 
 @query("cached_sources", "select substr(sha256(url), 1, 16) || '.md' as file, '---' || chr(10) || 'url: ' || url || chr(10) || 'fetched: 2024-03-01' || chr(10) || 'ttl_days: 30' || chr(10) || '---' || chr(10) || coalesce(html, '') as text from pages where url is not null")
