@@ -5,7 +5,8 @@ score depends on the title words that a question hits, on the number of title wo
 
 * words of few titles (``RARE``) are joined with their postings;
 * of the words of many titles that the questions ask for, a document has a set; documents of one set, title size and class have one score
-  for any question, so the first of them by path are enough, and a question meets sets instead of documents;
+  for any question, so the first of them by path are enough, and a question meets sets instead of documents, in as many tasks as there are meetings for;
+  of these only its best go on;
 * tags and stack are met by class, of which the first by path are enough;
 * documents that share no term enter by path, as far as the leaders are not filled.
 
@@ -30,6 +31,8 @@ LEADERS, SHOWN = 20, 10
 MOST_BROADCAST = 50_000
 #: Titles that a word may be in to be met through its postings; frequent words of all questions that make up sets.
 RARE, SETS = 300, 4096
+#: Meetings of a question and a title in a frequent word that a task counts.
+MET = 1 << 18
 NOTHING = "cast(array() as array<string>)"
 
 
@@ -75,13 +78,37 @@ def index(documents: DataFrame, most: int = LEADERS + SHOWN) -> Index:
     return Index(documents, sets.select("rel", "cls", "title_set"), classes.drop("n"), heads, postings, stats, first, n)
 
 
-def _frequent(ix: Index, asking: DataFrame, frequent: list[str], most: int) -> DataFrame:
-    """question_id, rel: of each set of ``frequent`` words, title size and class the first documents, for the questions that ask for a word of the set."""
-    held = F.filter("title_set", lambda t: t.isin(frequent))  # a hash set; titles are short
+def _weighted(w: Column, have: Column) -> tuple[Column, Column]:
+    """Whether a channel counts, and the share of the weights that it has."""
+    den = F.aggregate(w, F.lit(0.0), lambda a, x: a + x["weight"])
+    num = F.aggregate(F.filter(w, lambda x: F.array_contains(have, x["term"])), F.lit(0.0), lambda a, x: a + x["weight"])
+    active = (F.coalesce(den, F.lit(0.0)) > 0) & (F.size(have) > 0)
+    return active, F.when(active, num / den).otherwise(F.lit(0.0))
+
+
+def _frequent(ix: Index, scope: DataFrame, shared: DataFrame, frequent: dict[str, int], most: int) -> DataFrame:
+    """question_id, rel: of each question the ``most`` best by the words of ``frequent``, tags and stack alone, if they hold such a word.
+
+    ``frequent``: words, and how often questions and titles meet in them. A document with no other word of the question has its true score here, and
+    one with others no more than it; the latter comes by postings too. So of the former none is lost that is among the ``most`` best of all.
+    """
+    held = F.filter("title_set", lambda t: t.isin(list(frequent)))  # a hash set; titles are short
     rows = ix.fronts.select("rel", "cls", F.size("title_set").alias("size"), held.alias("held")).where(F.size("held") > 0)
     place = F.row_number().over(Window.partitionBy("held", "size", "cls").orderBy("rel"))
-    firsts = rows.withColumn("place", place).where(F.col("place") <= most)
-    return firsts.select("rel", F.explode("held").alias("term")).join(asking, "term").select("question_id", "rel")
+    firsts = rows.withColumn("place", place).where(F.col("place") <= most).drop("place")
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), sum(frequent.values()) // MET)
+    den = lambda w: F.aggregate(w, F.lit(0.0), lambda a, x: a + x["weight"])
+    weighs = lambda w: F.coalesce(den(F.col(w)), F.lit(0.0)) > 0
+    asking = scope.select("question_id", F.explode("terms").alias("term"), F.size("terms").alias("n_terms"), weighs("tag_w").alias("tag_any"), weighs("stack_w").alias("stack_any"))
+    told = firsts.repartition(tasks, "rel").select("rel", "cls", "size", F.explode("held").alias("term")).join(asking, "term")
+    met = told.groupBy("question_id", "rel").agg(F.count("*").alias("hits"), *(F.first(c).alias(c) for c in ("cls", "size", "n_terms", "tag_any", "stack_any")))
+    sides = ix.classes.select("cls", (F.size("tag_set") > 0).alias("tag_has"), (F.size("stack_set") > 0).alias("stack_has"))
+    met = met.join(sides, "cls").join(shared, ["question_id", "cls"], "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    channels = [("title", F.col("size") > 0, f2(F.col("hits"), F.col("n_terms"), F.col("size"))), *((f"{c}s" if c == "tag" else c, F.col(f"{c}_any") & F.col(f"{c}_has"), zero(F.col(f"{c}_v"))) for c in ("tag", "stack"))]
+    scored = met.select("question_id", "rel", blend(channels).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("question_id").orderBy(F.col("score").desc(), "rel"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= most).select("question_id", "rel")
 
 
 def ranked(documents: DataFrame, questions: DataFrame, leaders: int = LEADERS, shown: int = SHOWN) -> DataFrame:
@@ -113,34 +140,32 @@ def ask(ix: Index, questions: DataFrame, leaders: int = LEADERS, shown: int = SH
     # of equal scores the first by path: of a class no more than ``most`` without a title word can be among the candidates
     either = ix.classes.select("cls", F.explode(F.array_union("tag_set", "stack_set")).alias("term"))
     wanted = scope.select("question_id", F.explode(F.array_union("terms", "stack_terms")).alias("term"))
-    by_class = wanted.join(either, "term").select("question_id", "cls").distinct().join(ix.heads, "cls").select("question_id", "rel")
+    sharing = wanted.join(either, "term").select("question_id", "cls").distinct().join(ix.classes, "cls").join(scope, "question_id")
+    shared = materialize(sharing.select("question_id", "cls", *(_weighted(F.col(f"{c}_w"), F.col(f"{c}_set"))[1].alias(f"{c}_v") for c in ("tag", "stack"))), "recall-shared")
+    by_class = shared.select("question_id", "cls").join(ix.heads, "cls").select("question_id", "rel")
     by_path = scope.select("question_id").crossJoin(F.broadcast(ix.first.orderBy("rel").limit(2 * leaders)))  # 2 * leaders rows on the right
     pairs = rare.union(by_class).union(by_path)
-    frequent = [r["term"] for r in titled.where(F.col("title_df") > RARE).orderBy(F.desc("title_df"), "term").limit(SETS + 1).collect()]
+    askers = asking.groupBy("term").agg(F.count("*").alias("askers"))
+    frequent = {r["term"]: r["title_df"] * r["askers"] for r in titled.where(F.col("title_df") > RARE).join(askers, "term").orderBy(F.desc("title_df"), "term").limit(SETS + 1).collect()}
     if len(frequent) > SETS:  # the least frequent of them are met through their postings
-        beyond = titled.where(F.col("title_df") > RARE).where(~F.col("term").isin(frequent[:SETS]))
+        frequent = dict(list(frequent.items())[:SETS])
+        beyond = titled.where(F.col("title_df") > RARE).where(~F.col("term").isin(list(frequent)))
         pairs = pairs.union(asking.join(beyond, "term").join(ix.postings, "term").select("question_id", "rel"))
     if frequent:
-        pairs = pairs.union(_frequent(ix, asking, frequent[:SETS], most))
+        pairs = pairs.union(_frequent(ix, scope, shared, frequent, most))
     scored = pairs.distinct().join(ix.fronts, "rel").join(ix.classes, "cls").join(scope, "question_id")
 
-    def weighted(w: Column, have: Column) -> tuple[Column, Column]:
-        den = F.aggregate(w, F.lit(0.0), lambda a, x: a + x["weight"])
-        num = F.aggregate(F.filter(w, lambda x: F.array_contains(have, x["term"])), F.lit(0.0), lambda a, x: a + x["weight"])
-        active = (F.coalesce(den, F.lit(0.0)) > 0) & (F.size(have) > 0)
-        return active, F.when(active, num / den).otherwise(F.lit(0.0))
-
     title = f2(F.size(F.array_intersect("terms", "title_set")), F.size("terms"), F.size("title_set"))
-    tag_on, tag_v = weighted(F.col("tag_w"), F.col("tag_set"))
-    stack_on, stack_v = weighted(F.col("stack_w"), F.col("stack_set"))
+    tag_on, tag_v = _weighted(F.col("tag_w"), F.col("tag_set"))
+    stack_on, stack_v = _weighted(F.col("stack_w"), F.col("stack_set"))
     first = scored.select(
-        "question_id", "rel", "terms", (F.size("title_set") > 0).alias("title_on"), title.alias("title_v"), tag_on.alias("tags_on"), tag_v.alias("tags_v"), stack_on.alias("stack_on"), stack_v.alias("stack_v")
+        "question_id", "rel", (F.size("title_set") > 0).alias("title_on"), title.alias("title_v"), tag_on.alias("tags_on"), tag_v.alias("tags_v"), stack_on.alias("stack_on"), stack_v.alias("stack_v")
     )
     front_channels = [(c, F.col(f"{c}_on"), F.col(f"{c}_v")) for c in ("title", "tags", "stack")]
     order = lambda: Window.partitionBy("question_id").orderBy(F.col("score").desc(), "rel")
     first = first.withColumn("score", blend(front_channels)).withColumn("rank", F.row_number().over(order()))
     # beyond the leaders a document keeps its score without a body, if that is above zero
-    first = materialize(first.where(F.col("rank") <= leaders + shown), "leaders")
+    first = materialize(first.where(F.col("rank") <= leaders + shown), "leaders").join(scope.select("question_id", "terms"), "question_id")
     lead, rest = first.where(F.col("rank") <= leaders), first.where((F.col("rank") > leaders) & (F.col("rank") <= leaders + shown) & (F.col("score") > 0))
     few = F.broadcast(lead) if lead.count() <= MOST_BROADCAST else lead  # leaders a question, some hundred bytes each
     read = ix.documents.select("rel", "body").join(few, "rel").withColumn("body_v", saturated(tokens(F.coalesce("body", F.lit(""))), F.col("terms")))
