@@ -193,14 +193,19 @@ _UNRESOLVED = f"""fs as ({_FILES}), rs as ({_SHAPED}), hits as (select note, pos
 
 
 def _shaped(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Citations, and files as often as a line names them. Texts that a citation's numbers tell are made once these are grouped."""
     li = table(spark, sf, "lineitem")
     base, folder, repo = F.concat(F.lit("F"), "l_partkey", F.lit(".java")), F.concat(F.lit("d"), "l_suppkey"), F.concat(F.lit("r"), "l_linenumber")
-    files = li.select((F.col("l_shipdate") >= F.lit(DAY).cast("timestamp_ntz")).alias("head"), repo.alias("repo"), F.concat_ws("/", F.lit("src"), folder, base).alias("path")).distinct()
+    files = li.select((F.col("l_shipdate") >= F.lit(DAY).cast("timestamp_ntz")).alias("head"), repo.alias("repo"), F.concat_ws("/", F.lit("src"), folder, base).alias("path"))
     pos = (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1000000 + F.col("l_partkey")
-    shaped = li.groupBy(F.concat(F.lit("n"), "l_suppkey").alias("note"), pos.alias("pos")).agg(
-        F.min(F.when(F.col("l_tax") < 0.04, "").otherwise(F.concat(folder, F.lit("/")))).alias("d"), F.min(base).alias("b"), F.min(F.when(F.col("l_quantity") > 25, repo).otherwise("")).alias("repo"), F.min(F.when(F.col("l_linestatus") == "F", "v1")).alias("rev")
+    lines = li.select(
+        "l_suppkey", pos.alias("pos"), F.coalesce(F.col("l_tax") < 0.04, F.lit(False)).alias("bare"), F.col("l_partkey").cast("string").alias("part"), F.when(F.col("l_quantity") > 25, F.col("l_linenumber").cast("string")).otherwise("").alias("line"), (F.col("l_linestatus") == "F").alias("then")
+    )
+    shaped = lines.repartition("l_suppkey", "pos").groupBy("l_suppkey", "pos").agg(F.bool_or("bare").alias("bare"), F.min("part").alias("part"), F.min("line").alias("line"), F.bool_or("then").alias("then"))
+    name = F.concat(F.lit("F"), "part", F.lit(".java"))
+    refs = shaped.select(
+        F.concat(F.lit("n"), "l_suppkey").alias("note"), "pos", F.when(F.col("bare"), name).otherwise(F.concat(folder, F.lit("/"), name)).alias("path"), F.when(F.col("line") == "", "").otherwise(F.concat(F.lit("r"), "line")).alias("repo"), F.when(F.col("then"), "v1").alias("rev")
     )
-    refs = shaped.select("note", "pos", F.concat("d", "b").alias("path"), "repo", "rev")
     return refs, files
 
 
@@ -217,9 +222,8 @@ def drift_unresolved(spark, sf):
 )
 def drift_deleted(spark, sf):
     refs, files = _shaped(spark, sf)
-    here = files.where("head").drop("head")
-    deleted = files.where("not head").drop("head").join(here, ["repo", "path"], "left_anti")
-    return D.unresolved(refs, here, deleted, files.where("not head").withColumn("rev", F.lit("v1")), deep=False)
+    deleted = files.groupBy("repo", "path").agg(F.bool_or("head").alias("here")).where("not here").drop("here")
+    return D.unresolved(refs, files.where("head").drop("head"), deleted, files.where("not head").withColumn("rev", F.lit("v1")), deep=False)
 
 
 @query(
